@@ -1,0 +1,79 @@
+"""Every registered query: name -> (spark, folder) -> DataFrame."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sightline.operators import answers as A
+from sightline.operators import detect as D
+from sightline.operators import source_metrics as S
+from sightline.sources.binding import ENGINE_MODELS, AnswerLog
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(name: str):
+    def register(build: Callable[[AnswerLog], DataFrame]) -> Callable[[AnswerLog], DataFrame]:
+        QUERIES[name] = lambda spark, root: build(AnswerLog(spark, root))
+        return build
+
+    return register
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Timestamps as text and lists as comma-separated text, to compare across engines."""
+    out = []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("timestamp", "timestamp_ntz"):
+            out.append(F.date_format(f.name, "yyyy-MM-dd HH:mm:ss").alias(f.name))
+        elif kind == "array":
+            out.append(F.array_join(f.name, ",").alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+for _name, _op in {
+    "brand_rates": A.brand_rates,
+    "overview": A.overview,
+    "engine_rates": A.engine_rates,
+    "engine_cards": A.engine_cards,
+    "share_of_voice": A.share_of_voice,
+    "quick_opportunities": A.quick_opportunities,
+    "prompt_engine_rates": A.prompt_engine_rates,
+    "engine_theme_matrix": A.engine_theme_matrix,
+    "theme_summary": A.theme_summary,
+    "theme_order": A.theme_summary_ordered,
+    "engine_stats": A.engine_stats,
+    "share_of_voice_series": A.share_of_voice_series,
+    "sov_daily_share": A.sov_daily_share,
+    "time_series": A.time_series,
+    "trend_pivot": lambda log: A.trend_pivot(log, list(ENGINE_MODELS)),
+    "answer_status": A.answer_status,
+    "prompt_matrix": A.prompt_matrix,
+    "prompt_history": lambda log: plain(A.prompt_history(log)),
+    "prompt_competitors": A.prompt_competitors,
+    "prompt_scorecard": A.prompt_scorecard,
+    "prompt_timeline": lambda log: plain(A.prompt_timeline(log)),
+    "competitor_overlap": A.competitor_overlap,
+    "prompts_without_brand": A.prompts_without_brand,
+    "project_stats": A.project_stats,
+    "engine_domains": S.engine_domains,
+    "top_domains": S.top_domains,
+    "competitor_pages": S.competitor_pages,
+    "domains_instead": S.domains_instead,
+    "brand_pages": S.brand_pages,
+    "brand_page_citations": lambda log: plain(S.brand_page_citations(log)),
+    "url_history": lambda log: plain(S.url_history(log, log.inspections)),
+    "source_owner": S.source_owner,
+    "track_domain_candidates": S.track_domain_candidates,
+    "detections": lambda log: plain(
+        D.detections(log.results, log.ranked_sources, log.ranked_cited_sources, log.texts_of(log.results), log.entities)
+    ),
+}.items():
+    query(_name)(_op)
