@@ -77,3 +77,213 @@ for _name, _op in {
     ),
 }.items():
     query(_name)(_op)
+
+# --- runs, planning, costs ---------------------------------------------------------------
+from sightline.operators import inspections as I  # noqa: E402
+from sightline.operators import runs as R  # noqa: E402
+from sightline.sources import ingest, responses  # noqa: E402
+from sightline.sources.binding import ts  # noqa: E402
+
+for _name, _op in {
+    "run_counters": lambda log: R.runs(log).select("run_id", "project_id", "status", "done_count", "error_count", "cost_usd"),
+    "runs_recent": lambda log: plain(R.runs_recent(log)),
+    "run_duration": R.run_duration,
+    "run_detail": lambda log: plain(R.run_detail(log)),
+    "plan_tasks": R.plan_tasks,
+    "remaining_tasks": R.remaining_tasks,
+    "retry_set": R.retry_set,
+    "run_outcome": R.run_outcome,
+    "engine_avg_cost": R.engine_avg_cost,
+    "answer_cost": R.answer_cost,
+    "inspection_cost_estimate": R.inspection_cost_estimate,
+    "inspection_answer_flags": I.answer_flags,
+    "inspection_cells": I.cell_kinds,
+    "inspection_verdict": I.verdict,
+    "inspection_summaries": lambda log: plain(I.inspection_summaries(log)),
+    "inspection_task_grid": I.planned_tasks,
+    "cited_instead": I.cited_instead,
+    "comparison_candidates": I.comparison_candidates,
+    "inspections_cost_since": lambda log: I.inspections_cost_since(log, ts("2001-07-20 00:00:00")),
+    "inspection_quota": lambda log: I.inspection_quota(log, ts("2001-08-01 00:00:00")),
+    "result_per_engine": I.result_per_engine,
+    "result_score": I.result_score,
+}.items():
+    query(_name)(_op)
+
+
+@query("list_projects")
+def _projects(log):
+    return plain(log.projects)
+
+
+@query("list_prompts")
+def _prompts(log):
+    return plain(log.prompts)
+
+
+@query("prompt_search")
+def _prompt_search(log):
+    """Prompts whose text holds 9, with one region as tag, active ones only."""
+    return log.prompts.filter(
+        F.contains(F.lower("text"), F.lit("9")) & F.array_contains("tags", "REGION_1") & F.col("active")
+    ).select("project_id", "prompt_id", "text")
+
+
+@query("tag_vocabulary")
+def _tags(log):
+    return log.prompts.select("project_id", F.explode("tags").alias("tag")).distinct()
+
+
+@query("entity_dictionary")
+def _entities(log):
+    return plain(log.entities).drop("ordinal")
+
+
+@query("orphan_checks")
+def _orphans(log):
+    """Rows without a parent, per relation."""
+    from sightline.schema import orphans
+
+    lines = log.raw("lineitem").select(F.col("l_orderkey").alias("result_id"))
+    answers = log.raw("orders").select(F.col("o_orderkey").alias("result_id"), F.col("o_custkey").alias("prompt_id"))
+    a = orphans(lines, "result_id", answers, "result_id").select(F.lit("sources.result_id").alias("relation"))
+    b = orphans(answers, "prompt_id", log.prompt_projects, "prompt_id").select(F.lit("results.prompt_id").alias("relation"))
+    return a.union(b).groupBy("relation").agg(F.count("*").alias("orphans"))
+
+
+# --- ingest --------------------------------------------------------------------------------
+@query("import_prompts_csv")
+def _import_csv(log):
+    """Prompt lines written from the customers, read back by the importer."""
+    web = F.when(F.col("prompt_id") % 3 == 0, " Non ").when(F.col("prompt_id") % 3 == 1, "oui").otherwise("")
+    lang = F.when(F.col("prompt_id") % 2 == 0, " en").otherwise("")
+    tags = F.array_join("tags", " , ")
+    lines = log.prompts.select(F.concat_ws(";", F.col("text"), lang, tags, web).alias("value"))
+    return plain(ingest.import_prompts_csv(lines))
+
+
+@query("ingest_results")
+def _ingest(log):
+    """A batch that overlaps the stored answers and holds every row twice."""
+    keys = [*ingest.RESULT_KEY, "created_at", "result_id"]
+    stored = log.results.filter(F.col("created_at") < ts("2001-02-01 00:00:00"))
+    batch = log.results.filter(F.col("created_at") >= ts("2001-01-10 00:00:00")).select(*keys)
+    return plain(ingest.ingest_results_idempotent(stored, batch.union(batch)))
+
+
+@query("upsert_page_cache")
+def _upsert(log):
+    """Pages by normalised URL, the latest fetch kept."""
+    from sightline.functions.urls import normalize_url
+
+    pages = log.raw("pages").select(
+        normalize_url(F.col("url")).alias("normalized_url"), "url", "page_id", (F.col("page_id") * 7919 % 1000003).alias("fetched_at")
+    )
+    old = pages.withColumn("fetched_at", F.col("fetched_at") - 500_000)
+    return ingest.upsert_latest_by_key(old, pages, ["normalized_url"], ["fetched_at", "page_id"])
+
+
+@query("promote_questions")
+def _promote(log):
+    """User turns that are not already an opening question, tagged with the page of the same number."""
+    turns = log.raw("conversations").filter("role = 'user'")
+    opening = turns.filter("turn = 0").select(F.lit("p").alias("project_id"), "text")
+    pages = log.raw("pages").select(F.col("page_id").alias("conv_id"), F.regexp_extract("url", "^[^?#]*", 0).alias("page"))
+    questions = turns.join(pages, "conv_id", "left").select(
+        F.lit("p").alias("project_id"), "text", F.lit("fr").alias("lang"), F.coalesce("page", F.lit("")).alias("page")
+    )
+    return plain(ingest.promote_questions(questions, opening)).select("text", "tags")
+
+
+@query("latest_within_ttl")
+def _latest_ttl(log):
+    """Last event of each user in the seven days before a moment."""
+    e = log.raw("events").select("user_id", "ts", "event_id", "event_type")
+    return plain(ingest.latest_within_ttl(e, ["user_id"], "ts", ts("2024-01-20 00:00:00"), 7 * 1440))
+
+
+@query("asof_within_ttl")
+def _asof(log):
+    """For each error, the last view of the same user within an hour."""
+    e = log.raw("events")
+    errors = e.filter("event_type = 'error'").select("user_id", "ts", "event_id")
+    views = e.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    return plain(ingest.asof_within_ttl(errors, views, "user_id", "ts", "view_id", 60))
+
+
+@query("normalize_engine_responses")
+def _responses(log):
+    """One raw response per answer, in the shape of its provider."""
+    k = F.col("result_id").cast("string")
+    page = F.concat(F.lit("https://www.s"), (F.col("result_id") % 90).cast("string"), F.lit(".example/p/"))
+    providers = log.engines.select("engine_id", "provider")
+    a = log.window().join(providers, "engine_id").select("result_id", "provider", k.alias("k"), page.alias("u"))
+    google = F.concat(
+        F.lit('{"sources":[{"sourceType":"url","url":"'), F.col("u"), F.lit('1"},{"sourceType":"url","url":"'), F.col("u"),
+        F.lit('2"},{"sourceType":"url","url":"'), F.col("u"), F.lit('1"}],"providerMetadata":{"google":{"groundingMetadata":{"webSearchQueries":[" q'),
+        F.col("k"), F.lit(' ","q'), F.col("k"), F.lit('",""],"groundingChunks":[{"web":{"uri":"'), F.col("u"), F.lit('1"}},{"web":{"uri":"'),
+        F.col("u"), F.lit('2"}},{"web":{"uri":"'), F.col("u"), F.lit('3"}}],"groundingSupports":[{"groundingChunkIndices":[1]}]}}}}'),
+    )
+    tool = F.concat(
+        F.lit('{"sources":[{"sourceType":"url","url":"'), F.col("u"), F.lit('1"},{"sourceType":"doc","url":"'), F.col("u"),
+        F.lit('9"}],"steps":[{"toolCalls":[{"toolName":"web_search","input":{"query":"q'), F.col("k"),
+        F.lit('"}},{"toolName":"other","input":{"query":"z"}}],"toolResults":[{"toolName":"web_search","output":'),
+        F.when(F.col("provider") == "anthropic", F.concat(F.lit('[{"url":"'), F.col("u"), F.lit('1"},{"url":"'), F.col("u"), F.lit('4","title":"T"}]')))
+        .otherwise(F.concat(F.lit('{"action":{"query":"r'), F.col("k"), F.lit('","sources":[{"type":"url","url":"'), F.col("u"), F.lit('5"},{"type":"x","url":"n"}]}}'))),
+        F.lit("}]}]}"),
+    )
+    pplx = F.concat(
+        F.lit('{"sources":[{"sourceType":"url","url":"'), F.col("u"), F.lit('1"}],"providerMetadata":{"perplexity":{"usage":{"numSearchQueries":'),
+        (F.col("result_id") % 3).cast("string"), F.lit("}}}}"),
+    )
+    raw = F.when(F.col("provider") == "google", google).when(F.col("provider") == "perplexity", pplx).otherwise(tool)
+    out = responses.normalize_engine_responses(a.select("result_id", "provider", raw.alias("response")))
+    return out.select(
+        "result_id",
+        F.array_join(F.transform("sources", lambda s: F.concat(s["url"], F.when(s["cited"], "+").otherwise("-"))), ",").alias("sources"),
+        F.array_join("search_queries", ",").alias("search_queries"),
+        "searches",
+    )
+
+
+@query("resolve_redirects")
+def _redirects(log):
+    """Sources given as search redirects; some of them never resolve."""
+    w = log.window().select("result_id")
+    s = log.sources.join(w, "result_id")
+    supplier, part = F.col("pos.l_suppkey"), F.col("pos.l_partkey") % 50
+    link = F.concat(
+        F.lit("https://vertexaisearch.cloud.google.com/grounding-api-redirect/"), supplier.cast("string"), F.lit("-"), part.cast("string")
+    )
+    given = s.select(
+        "result_id", "pos", F.when(part % 2 == 1, link).otherwise(F.col("url")).alias("url"), F.col("domain").alias("title"),
+        F.when(part % 2 == 1, "vertexaisearch.cloud.google.com").otherwise(F.col("domain")).alias("domain"),
+    )
+    table = s.filter((part % 2 == 1) & (supplier % 3 != 0)).select(link.alias("url"), F.concat(F.lit("https://"), F.col("domain"), F.lit("/r/"), part.cast("string")).alias("location")).distinct()
+    return responses.resolve_source_redirects(given, table).select("result_id", "url", "domain")
+
+
+@query("neutrality_violations")
+def _neutrality(log):
+    """Answer texts checked as if they were questions."""
+    w = log.window()
+    q = log.texts_of(w).join(w.select("result_id", "project_id"), "result_id").select(
+        F.col("result_id").alias("question_id"), "project_id", F.col("raw_text").alias("text")
+    )
+    return I.neutrality_violations(q, log.entities)
+
+
+@query("valid_questions")
+def _valid(log):
+    turns = log.raw("conversations").filter("role = 'user'")
+    return I.valid_questions(turns.select(F.col("conv_id").alias("group_id"), "text"))
+
+
+@query("mention_spans")
+def _spans(log):
+    """Spans of the brand's and rivals' names in the answer texts."""
+    w = log.window()
+    terms = log.entities.groupBy("project_id").agg(F.array_sort(F.flatten(F.collect_list("terms"))).alias("terms"))
+    t = log.texts_of(w).join(w.select("result_id", "project_id"), "result_id").join(terms, "project_id")
+    spans = t.select("result_id", F.explode(D.mention_spans("raw_text", "terms")).alias("s"))
+    return spans.select("result_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), F.col("s.term").alias("term"))
