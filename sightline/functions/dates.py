@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sightline.functions import constants as K
-from sightline.functions.text import _MONTH_ALT, normalize_text
+from sightline.functions.text import _MONTH_ALT, let, normalize_text
 
 _YEAR = r"(?:19|20)\d{2}"
 _ANY_DATE = (
@@ -24,42 +24,41 @@ def _month_number(name: Column) -> Column:
 
 
 def _two(value: Column) -> Column:
-    return F.lpad(value.cast("int").cast("string"), 2, "0")
+    return F.lpad(value.cast("string"), 2, "0")
 
 
 def parse_written_date(raw: Column, lang: Column | str = "fr") -> Column:
     """ISO, ``12 mars 2026``, ``March 12, 2026`` or ``12/03/2026`` -> YYYY-MM-DD, else null."""
     lang = F.lit(lang) if isinstance(lang, str) else lang
-    s = F.trim(normalize_text(raw))
-    iso = rf"^({_YEAR})-(\d{{2}})-(\d{{2}})"
+    iso = rf"^{_YEAR}-\d{{2}}-\d{{2}}"
     day_first = rf"^(\d{{1,2}})(?:er)?\s+({_MONTH_ALT})\.?\s+({_YEAR})"
     month_first = rf"^({_MONTH_ALT})\.?\s+(\d{{1,2}}),?\s+({_YEAR})"
     numeric = rf"^(\d{{1,2}})[/.](\d{{1,2}})[/.]({_YEAR})"
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(s, pattern, group)
-
-    a = F.nullif(part(numeric, 1), F.lit("")).cast("int")
-    b = F.nullif(part(numeric, 2), F.lit("")).cast("int")
-    first_is_day = (lang != "en") | (a > 12)
-    day = F.when(first_is_day, a).otherwise(b)
-    month = F.when(first_is_day, b).otherwise(a)
-    dash = F.lit("-")
-    return (
-        F.when(s.rlike(iso), F.regexp_extract(s, r"^\d{4}-\d{2}-\d{2}", 0))
-        .when(
-            s.rlike(day_first),
-            F.concat(part(day_first, 3), dash, _two(_month_number(part(day_first, 2))), dash, _two(F.nullif(part(day_first, 1), F.lit("")))),
-        )
-        .when(
-            s.rlike(month_first),
-            F.concat(part(month_first, 3), dash, _two(_month_number(part(month_first, 1))), dash, _two(F.nullif(part(month_first, 2), F.lit("")))),
+    def day_text(year: Column, month: Column, day: Column) -> Column:
+        return F.concat_ws("-", year, _two(month), _two(day))
+
+    def from_numbers(p: Column) -> Column:
+        first_is_day = (lang != "en") | (p["a"] > 12)
+        day = F.when(first_is_day, p["a"]).otherwise(p["b"])
+        month = F.when(first_is_day, p["b"]).otherwise(p["a"])
+        return F.when(month.between(1, 12) & day.between(1, 31), day_text(p["year"], month, day))
+
+    def read(s: Column) -> Column:
+        def part(pattern: str, group: int) -> Column:
+            return F.regexp_extract(s, pattern, group)
+
+        numbers = F.struct(
+            part(numeric, 1).try_cast("int").alias("a"), part(numeric, 2).try_cast("int").alias("b"), part(numeric, 3).alias("year")
         )
-        .when(
-            s.rlike(numeric) & month.between(1, 12) & day.between(1, 31),
-            F.concat(part(numeric, 3), dash, _two(month), dash, _two(day)),
+        return (
+            F.when(s.rlike(iso), part(iso, 0))
+            .when(s.rlike(day_first), day_text(part(day_first, 3), _month_number(part(day_first, 2)), part(day_first, 1).try_cast("int")))
+            .when(s.rlike(month_first), day_text(part(month_first, 3), _month_number(part(month_first, 1)), part(month_first, 2).try_cast("int")))
+            .when(s.rlike(numeric), let(numbers, from_numbers))
         )
-    )
+
+    return let(F.trim(normalize_text(raw)), read)
 
 
 def date_after_marker(normalized: Column, markers: str, lang: Column | str = "fr") -> Column:
@@ -109,10 +108,12 @@ def effective_date(modified: Column, published: Column, title_year: Column, now:
             F.lit("année du titre").alias("source"),
         ),
     )
-    best = F.array_max(F.filter(candidates, lambda c: c["at"].isNotNull()))
-    return F.struct(
-        F.least(best["at"], F.when(best["at"].isNotNull(), now)).alias("date"),
-        F.coalesce(best["source"], F.lit("aucune")).alias("source"),
+    return let(
+        F.array_max(F.filter(candidates, lambda c: c["at"].isNotNull())),
+        lambda best: F.struct(
+            F.least(best["at"], F.when(best["at"].isNotNull(), now)).alias("date"),
+            F.coalesce(best["source"], F.lit("aucune")).alias("source"),
+        ),
     )
 
 

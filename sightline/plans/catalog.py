@@ -123,9 +123,9 @@ def _prompts(log):
 
 @query("prompt_search")
 def _prompt_search(log):
-    """Prompts whose text holds 9, with one region as tag, active ones only."""
+    """Prompts whose text holds 9, with Europe as tag, active ones only."""
     return log.prompts.filter(
-        F.contains(F.lower("text"), F.lit("9")) & F.array_contains("tags", "REGION_1") & F.col("active")
+        F.contains(F.lower("text"), F.lit("9")) & F.array_contains("tags", "EUROPE") & F.col("active")
     ).select("project_id", "prompt_id", "text")
 
 

@@ -162,7 +162,7 @@ def ingest_sql() -> None:
         f"""SELECT prompt_id, project_id, text, array_to_string(tags,',') AS tags, active, web_search,
         strftime(TIMESTAMP '1995-01-01'+to_minutes(CAST(prompt_id AS INTEGER)),{FMT}) AS created_at FROM prompts"""
     )
-    q["prompt_search"] = with_ctes("SELECT project_id, prompt_id, text FROM prompts WHERE contains(lower(text),'9') AND list_contains(tags,'REGION_1') AND active")
+    q["prompt_search"] = with_ctes("SELECT project_id, prompt_id, text FROM prompts WHERE contains(lower(text),'9') AND list_contains(tags,'EUROPE') AND active")
     q["tag_vocabulary"] = with_ctes("SELECT DISTINCT project_id, unnest(tags) AS tag FROM prompts")
     q["entity_dictionary"] = with_ctes("SELECT project_id, entity_id, entity_type, name, name AS terms, domain AS domains FROM entities")
     q["orphan_checks"] = """SELECT relation, count(*) AS orphans FROM (SELECT 'sources.result_id' AS relation FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
