@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,3 +187,90 @@ def mention_spans(texts: pd.Series, terms: pd.Series) -> pd.Series:
         return sorted(out, key=lambda s: s["start"])
 
     return pd.Series([spans(x, w) for x, w in zip(texts, terms)])
+
+
+def project_dictionaries(entities: DataFrame) -> DataFrame:
+    """The entities of each project as one list; a project tracks a short list of names by design."""
+    domains = F.filter(F.transform("domains", normalize_domain), lambda d: d != "")
+    terms = F.transform(
+        F.filter("terms", lambda t: F.trim(t) != ""),
+        lambda t: F.struct(t.alias("term"), F.trim(normalize_text(t)).alias("bare"), term_pattern(t).alias("pattern")),
+    )
+    entry = F.struct("ordinal", "entity_id", "entity_type", domains.alias("domains"), terms.alias("terms"))
+    return entities.groupBy("project_id").agg(F.array_sort(F.collect_list(entry.alias("e"))).alias("dictionary"))
+
+
+def detect_rows(answers: DataFrame, entities: DataFrame) -> DataFrame:
+    """Detection inside each answer row (result_id, project_id, raw_text, sources, error).
+
+    For answers that hold their sources as a list: one join with the small
+    dictionaries, then expressions only. It keeps no state, so it also runs on a stream.
+    """
+    rows = answers.filter(F.col("error").isNull()).join(project_dictionaries(entities), "project_id")
+    flat = rows.select(
+        "result_id",
+        "project_id",
+        "dictionary",
+        normalize_text(F.col("raw_text")).alias("body"),
+        F.transform("sources", lambda s: normalize_domain(s["url"])).alias("hosts"),
+        F.transform(
+            F.filter("sources", lambda s: F.coalesce(s["cited"], F.lit(True))), lambda s: normalize_domain(s["url"])
+        ).alias("cited_hosts"),
+    )
+
+    def rank(hosts: str, e) -> Column:
+        owned = F.transform(
+            F.col(hosts), lambda h: F.exists(e["domains"], lambda d: (h == d) | h.endswith(F.concat(F.lit("."), d)))
+        )
+        return F.nullif(F.array_position(owned, True), F.lit(0))
+
+    def term_hits(e) -> Column:
+        found = F.transform(
+            e["terms"],
+            lambda t: F.struct(
+                F.when(F.contains(F.col("body"), t["bare"]), F.regexp_instr("body", t["pattern"])).otherwise(0).alias("at"),
+                t["term"].alias("term"),
+            ),
+        )
+        return F.filter(found, lambda h: h["at"] > 0)
+
+    def domain_hits(e) -> Column:
+        found = F.transform(e["domains"], lambda d: F.struct(F.position(d, F.col("body")).alias("at"), d.alias("term")))
+        return F.filter(found, lambda h: h["at"] > 0)
+
+    verdicts = F.transform(
+        "dictionary",
+        lambda e: F.struct(
+            e["ordinal"].alias("ordinal"), e["entity_id"].alias("entity_id"), e["entity_type"].alias("entity_type"),
+            rank("cited_hosts", e).alias("citation_rank"), rank("hosts", e).alias("retrieved_rank"),
+            term_hits(e).alias("terms"), domain_hits(e).alias("domains"),
+        ),
+    )
+    with_hits = flat.withColumn("_v", verdicts).withColumn(
+        "_v",
+        F.transform(
+            "_v",
+            lambda v: F.struct(
+                v["ordinal"].alias("ordinal"), v["entity_id"].alias("entity_id"), v["entity_type"].alias("entity_type"),
+                v["citation_rank"].alias("citation_rank"), v["retrieved_rank"].alias("retrieved_rank"),
+                F.when(F.size(v["terms"]) > 0, v["terms"]).otherwise(v["domains"]).alias("hits"),
+            ),
+        ),
+    )
+    order = F.array_sort(
+        F.transform(
+            F.filter("_v", lambda v: F.size(v["hits"]) > 0),
+            lambda v: F.struct(F.array_min(F.transform(v["hits"], lambda h: h["at"])).alias("at"), v["ordinal"].alias("ordinal")),
+        )
+    )
+    v = with_hits.withColumn("_order", F.transform(order, lambda o: o["ordinal"])).select(
+        "result_id", "project_id", "_order", F.explode("_v").alias("v")
+    )
+    return v.select(
+        "result_id", "project_id", F.col("v.entity_type").alias("entity_type"), F.col("v.entity_id").alias("entity_id"),
+        F.col("v.citation_rank").isNotNull().alias("cited"), F.col("v.citation_rank").alias("citation_rank"),
+        F.col("v.retrieved_rank").isNotNull().alias("retrieved"), F.col("v.retrieved_rank").alias("retrieved_rank"),
+        (F.size("v.hits") > 0).alias("mentioned"),
+        F.nullif(F.array_position("_order", F.col("v.ordinal")), F.lit(0)).alias("mention_rank"),
+        F.transform("v.hits", lambda h: h["term"]).alias("matched_terms"),
+    )
