@@ -93,8 +93,8 @@ def months_since(moment: Column, now: Column) -> Column:
 def age_in_months(modified: Column, published: Column, now: Column) -> Column:
     """Age of the latest date (never in the future), one decimal; 60 without any date."""
     latest = F.greatest(to_instant(modified), to_instant(published))
-    age = F.round(months_since(F.least(latest, now), now), 1)
-    return F.coalesce(age, F.lit(60.0))
+    age = F.floor(months_since(F.least(latest, now), now) * 10 + 0.5) / 10
+    return F.when(latest.isNotNull(), age).otherwise(60.0)
 
 
 def effective_date(modified: Column, published: Column, title_year: Column, now: Column) -> Column:

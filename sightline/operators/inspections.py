@@ -36,8 +36,8 @@ def answer_flags(log) -> DataFrame:
         sites = all_owners(rows, brands).groupBy("result_id").agg(F.min("rank").alias(f"domain_{suffix}"))
         return sites.join(urls, "result_id", "full_outer")
 
-    cited = ranks(log.ranked_cited_sources, "rank")
-    seen = ranks(log.ranked_sources, "seen")
+    cited = ranks(log.inspection_ranked_cited, "rank")
+    seen = ranks(log.inspection_ranked, "seen")
     out = cells.join(cited, "result_id", "left").join(seen, "result_id", "left")
     return out.select(
         "inspection_id", "project_id", "question_index", "engine_id", "result_id", "error",
@@ -51,7 +51,7 @@ def answer_flags(log) -> DataFrame:
 def _rival_seen(log, cells: DataFrame) -> DataFrame:
     """Answers with a rival among any of their sources, retrieved-only ones included."""
     rivals = log.entities.filter(F.col("entity_type") == "competitor")
-    rows = log.sources.select("result_id", "domain").join(cells.select("result_id", "project_id"), "result_id")
+    rows = log.inspection_sources.select("result_id", "domain").join(cells.select("result_id", "project_id"), "result_id")
     return all_owners(rows, rivals).select("result_id").distinct()
 
 
@@ -108,7 +108,7 @@ def cited_instead(log, k: int = 8) -> DataFrame:
     """Hosts in the answers that do not cite the URL, one count per answer, with owner."""
     open_answers = answer_flags(log).filter(F.col("error").isNull() & ~F.col("url_cited"))
     hosts = (
-        log.sources.select("result_id", normalize_domain(F.col("domain")).alias("domain"))
+        log.inspection_sources.select("result_id", normalize_domain(F.col("domain")).alias("domain"))
         .join(open_answers.select("result_id", "inspection_id", "project_id"), "result_id")
         .filter(F.col("domain") != "")
         .distinct()
@@ -126,7 +126,7 @@ def comparison_candidates(log, k: int = K.MAX_COMPARISON_PAGES) -> DataFrame:
         "result_id", "inspection_id", "project_id", "question_index", "engine_id"
     )
     targets = log.inspections.select("inspection_id", normalize_url(F.col("url")).alias("target"))
-    rows = log.ranked_cited_sources.select("result_id", "rank", "domain", "url").join(open_answers, "result_id").join(targets, "inspection_id")
+    rows = log.inspection_ranked_cited.select("result_id", "rank", "domain", "url").join(open_answers, "result_id").join(targets, "inspection_id")
     own = log.entities.filter(F.col("entity_type") == "brand")
     theirs = all_owners(rows, own).select("result_id", "rank").distinct()
     third = rows.join(theirs, ["result_id", "rank"], "left_anti").withColumn(
@@ -169,7 +169,7 @@ def _scored_answers(log) -> DataFrame:
 
     flags = answer_flags(log).filter(F.col("error").isNull())
     brands = log.entities.filter(F.col("entity_type") == "brand").withColumn("domains", F.array().cast("array<string>"))
-    said = mention_pairs(flags, log.texts_of(flags), brands).select("result_id", F.lit(True).alias("_m"))
+    said = mention_pairs(flags, log.inspection_texts_of(flags), brands).select("result_id", F.lit(True).alias("_m"))
     j = flags.join(said, "result_id", "left").withColumn("mentioned", F.coalesce("_m", F.lit(False)))
     return j.withColumn("retrieved", F.col("url_retrieved") | F.col("domain_retrieved")).withColumn(
         "value", answer_value(F.col("url_cited"), F.col("domain_cited"), F.col("retrieved"), F.col("mentioned"))

@@ -57,7 +57,7 @@ def _stream_dedup(log):
 
 @query("stream_run_counters")
 def _stream_counters(log):
-    answers = log._answers(_stream(log, "orders")).select("run_id", "error", "cost_usd")
+    answers = log.answers_from(_stream(log, "orders")).select("run_id", "error", "cost_usd")
     updates = jobs.run_available(jobs.run_counters(answers), "stream-counters", "update")
     return jobs.latest_update(updates, ["run_id"]).withColumn("cost_usd", F.col("cost_usd").cast("double"))
 
@@ -74,6 +74,6 @@ def _stream_daily(log):
 @query("stream_cost_cap")
 def _stream_cap(log):
     caps = log.projects.select("project_id", (F.col("cost_cap_eur") / K.USD_TO_EUR).alias("cap_usd"))
-    answers = log._answers(_stream(log, "orders")).select("run_id", "project_id", "cost_usd")
+    answers = log.answers_from(_stream(log, "orders")).select("run_id", "project_id", "cost_usd")
     told = jobs.run_available(jobs.cost_cap(answers, caps), "stream-cap", "update")
     return told.select("run_id", F.round("cap_usd", 6).alias("cap_usd"))

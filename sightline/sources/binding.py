@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators.windows import ordinal
+from sightline.sources.log import engines_per_project
 
 AS_OF = "2001-08-02 00:00:00"
 DAYS = 365
@@ -158,10 +159,10 @@ class AnswerLog:
     @cached_property
     def project_engines(self) -> DataFrame:
         """Every engine under every project, disabled engines included."""
-        return self.engines.withColumn("project_id", F.explode(F.array(*[F.lit(p) for p in PROJECTS])))
+        return engines_per_project(self.projects, self.engines)
 
     # --- facts --------------------------------------------------------------------------
-    def _answers(self, orders: DataFrame) -> DataFrame:
+    def answers_from(self, orders: DataFrame) -> DataFrame:
         a = orders.select(
             F.col("o_orderkey").alias("result_id"),
             F.col("o_custkey").alias("prompt_id"),
@@ -180,12 +181,12 @@ class AnswerLog:
     @cached_property
     def results(self) -> DataFrame:
         """Every answer, all time."""
-        return self._answers(self.raw("orders"))
+        return self.answers_from(self.raw("orders"))
 
     def window(self, periods: int = 1) -> DataFrame:
         """Answers of the last ``periods`` windows; the bound reaches the parquet scan."""
         start = F.expr(f"timestamp_ntz'{self.as_of}' - interval {self.days * periods} days")
-        return self._answers(self.raw("orders").filter(F.col("o_orderdate") >= start))
+        return self.answers_from(self.raw("orders").filter(F.col("o_orderdate") >= start))
 
     def in_current(self) -> Column:
         return F.col("created_at") >= F.expr(f"timestamp_ntz'{self.as_of}' - interval {self.days} days")
@@ -255,6 +256,14 @@ class AnswerLog:
             F.array_join(F.transform(entries, lambda e: e["n_name"]), " ").alias("raw_text")
         )
 
+    # Inspection answers are answers of the log, so they share its sources and texts.
+    inspection_sources = property(lambda self: self.sources)
+    inspection_ranked = property(lambda self: self.ranked_sources)
+    inspection_ranked_cited = property(lambda self: self.ranked_cited_sources)
+
+    def inspection_texts_of(self, answers: DataFrame) -> DataFrame:
+        return self.texts_of(answers)
+
     # --- inspections ------------------------------------------------------------------------
     @staticmethod
     def _inspection(prompt_id: Column, project_id: Column) -> Column:
