@@ -15,24 +15,6 @@ from sightline.functions.urls import normalize_domain
 from sightline.operators.domains import all_owners
 
 
-def unnest_sources(results: DataFrame) -> DataFrame:
-    """Answers with a source array -> one row per source with its rank; a missing ``cited`` flag means cited."""
-    flat = results.select("result_id", F.posexplode("sources").alias("_i", "s"))
-    return flat.select(
-        "result_id",
-        (F.col("_i") + 1).cast("long").alias("rank"),
-        F.col("s.url").alias("url"),
-        normalize_domain(F.col("s.url")).alias("domain"),
-        F.coalesce(F.col("s.cited"), F.lit(True)).alias("cited"),
-    )
-
-
-def unnest_cited_sources(results: DataFrame) -> DataFrame:
-    """The same over the cited sources only, so the rank counts cited sources."""
-    cited = F.filter("sources", lambda s: F.coalesce(s["cited"], F.lit(True)))
-    return unnest_sources(results.withColumn("sources", cited))
-
-
 def _in_scope(rows: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.join(answers.select("result_id", "project_id"), "result_id")
 
@@ -43,10 +25,12 @@ def source_pairs(answers: DataFrame, sources: DataFrame, entities: DataFrame) ->
     return owned.groupBy("result_id", "entity_id", "entity_type").agg(F.max("cited").alias("cited"))
 
 
-def first_ranks(answers: DataFrame, ranked: DataFrame, entities: DataFrame, out: str) -> DataFrame:
-    """Rank of the first source of each entity in each answer."""
-    owned = all_owners(_in_scope(ranked.select("result_id", "domain", "rank"), answers), entities)
-    return owned.groupBy("result_id", "entity_id").agg(F.min("rank").alias(out))
+def first_ranks(answers: DataFrame, ranked: DataFrame, entities: DataFrame) -> DataFrame:
+    """Rank of the first source of each entity in each answer, among the cited sources and among all."""
+    owned = all_owners(_in_scope(ranked.select("result_id", "domain", "rank", "cited_rank"), answers), entities)
+    return owned.groupBy("result_id", "entity_id").agg(
+        F.min("cited_rank").alias("citation_rank"), F.min("rank").alias("retrieved_rank")
+    )
 
 
 def needles(entities: DataFrame) -> DataFrame:
@@ -90,20 +74,17 @@ def mention_pairs(answers: DataFrame, texts: DataFrame, entities: DataFrame) ->
     )
 
 
-def detections(
-    answers: DataFrame, ranked: DataFrame, ranked_cited: DataFrame, texts: DataFrame, entities: DataFrame
-) -> DataFrame:
+def detections(answers: DataFrame, ranked: DataFrame, texts: DataFrame, entities: DataFrame) -> DataFrame:
     """One verdict per (answer, entity of its project), for answers without error."""
     ok = answers.filter(F.col("error").isNull()).select("result_id", "project_id")
     grid = ok.join(entities.select("project_id", "entity_id", "entity_type", "ordinal"), "project_id")
-    cited = first_ranks(ok, ranked_cited, entities, "citation_rank")
-    retrieved = first_ranks(ok, ranked, entities, "retrieved_rank")
+    ranks = first_ranks(ok, ranked, entities)
     order = W.partitionBy("result_id").orderBy("first_index", "ordinal")
     mentioned = mention_pairs(ok, texts, entities).select(
         "result_id", "entity_id", "matched_terms", F.row_number().over(order).cast("long").alias("mention_rank")
     )
     keys = ["result_id", "entity_id"]
-    joined = grid.join(cited, keys, "left").join(retrieved, keys, "left").join(mentioned, keys, "left")
+    joined = grid.join(ranks, keys, "left").join(mentioned, keys, "left")
     return joined.select(
         "result_id", "project_id", "entity_type", "entity_id",
         F.col("citation_rank").isNotNull().alias("cited"), "citation_rank",

@@ -25,20 +25,15 @@ def answer_flags(log) -> DataFrame:
     cells = answer_sources(log)
     brands = log.entities.filter(F.col("entity_type") == "brand")
 
-    def ranks(table: DataFrame, suffix: str) -> DataFrame:
-        rows = table.select("result_id", "rank", "domain", "url").join(
-            cells.select("result_id", "inspection_id", "project_id", "target"), "result_id"
-        )
-        # The host is compared first: only sources on the target's own host have their URL parsed.
-        same_host = F.substring_index("target", "/", 1) == normalize_domain(F.col("url"))
-        on_url = F.when(same_host, normalize_url(F.col("url")) == F.col("target"))
-        urls = rows.filter(on_url).groupBy("result_id").agg(F.min("rank").alias(f"url_{suffix}"))
-        sites = all_owners(rows, brands).groupBy("result_id").agg(F.min("rank").alias(f"domain_{suffix}"))
-        return sites.join(urls, "result_id", "full_outer")
-
-    cited = ranks(log.inspection_ranked_cited, "rank")
-    seen = ranks(log.inspection_ranked, "seen")
-    out = cells.join(cited, "result_id", "left").join(seen, "result_id", "left")
+    rows = log.inspection_ranked_of(cells).select("result_id", "rank", "cited_rank", "domain", "url").join(
+        cells.select("result_id", "project_id", "target"), "result_id"
+    )
+    # The host is compared first: only sources on the target's own host have their URL parsed.
+    same_host = F.substring_index("target", "/", 1) == normalize_domain(F.col("url"))
+    on_url = F.when(same_host, normalize_url(F.col("url")) == F.col("target"))
+    urls = rows.filter(on_url).groupBy("result_id").agg(F.min("cited_rank").alias("url_rank"), F.min("rank").alias("url_seen"))
+    sites = all_owners(rows, brands).groupBy("result_id").agg(F.min("cited_rank").alias("domain_rank"), F.min("rank").alias("domain_seen"))
+    out = cells.join(urls, "result_id", "left").join(sites, "result_id", "left")
     return out.select(
         "inspection_id", "project_id", "question_index", "engine_id", "result_id", "error",
         F.col("url_rank").isNotNull().alias("url_cited"), "url_rank",
@@ -126,7 +121,7 @@ def comparison_candidates(log, k: int = K.MAX_COMPARISON_PAGES) -> DataFrame:
         "result_id", "inspection_id", "project_id", "question_index", "engine_id"
     )
     targets = log.inspections.select("inspection_id", normalize_url(F.col("url")).alias("target"))
-    rows = log.inspection_ranked_cited.select("result_id", "rank", "domain", "url").join(open_answers, "result_id").join(targets, "inspection_id")
+    rows = log.inspection_ranked_of(log.inspection_answers).filter("cited").select("result_id", "rank", "domain", "url").join(open_answers, "result_id").join(targets, "inspection_id")
     own = log.entities.filter(F.col("entity_type") == "brand")
     theirs = all_owners(rows, own).select("result_id", "rank").distinct()
     third = rows.join(theirs, ["result_id", "rank"], "left_anti").withColumn(

@@ -93,8 +93,8 @@ def domains_instead(log, k: int = 30) -> DataFrame:
 
 def _brand_sources(log, ranked: bool) -> DataFrame:
     """Source rows on the brand's own hosts, with their page."""
-    table = log.ranked_sources if ranked else log.sources
     answers = log.window().select("result_id", "project_id", "prompt_id", "engine_id", "created_at")
+    table = log.ranked_of(answers) if ranked else log.sources
     rows = table.join(answers, "result_id")
     owned = all_owners(rows, log.entities.filter(F.col("entity_type") == "brand"))
     return owned.withColumn("page", _page(F.col("url")))
@@ -131,8 +131,8 @@ def url_history(log, urls: DataFrame) -> DataFrame:
     Both sides are compared in lower case: an upper-case path still matches.
     """
     wanted = urls.select("project_id", F.regexp_extract(F.lower(normalize_url(F.col("url"))), r"^[^?]*", 0).alias("bare")).distinct()
-    rows = log.ranked_sources.withColumn("bare", bare_url(F.col("url")))
     answers = log.window().select("result_id", "project_id", "prompt_id", "engine_id", "created_at")
+    rows = log.ranked_of(answers).withColumn("bare", bare_url(F.col("url")))
     return rows.join(answers, "result_id").join(wanted, ["project_id", "bare"]).select(
         "project_id", F.col("bare").alias("page"), "result_id", "prompt_id", "engine_id", "created_at", "rank"
     )

@@ -30,9 +30,10 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, r
 
 
 def ordinal(
-    df: DataFrame, keys: list[str], order: list[str], out: str, slices: list[Column], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[str], out: str, slices: list[Column], hot_rows: int = HOT_ROWS,
+    flag: str | None = None, flag_out: str = "flag_rank",
 ) -> DataFrame:
-    """1-based position of every row within its key.
+    """1-based position of every row within its key, and among the rows with ``flag`` set.
 
     Keys of ordinary size use a plain window. A key with more than ``hot_rows``
     rows is cut into ``slices`` (leading parts of the order): rows are numbered
@@ -40,20 +41,29 @@ def ordinal(
     task ever sorts the whole key. Without hot keys the second branch is empty
     and adaptive execution drops it.
     """
-    plain_window = W.partitionBy(*keys).orderBy(*order)
+    flagged = F.col(flag).cast("long") if flag else F.lit(0).cast("long")
+
+    def numbered(rows: DataFrame, by: list[str], before: Column, flagged_before: Column) -> DataFrame:
+        w = W.partitionBy(*by).orderBy(*order)
+        upto = w.rowsBetween(W.unboundedPreceding, 0)
+        added = {out: (F.row_number().over(w) + before).cast("long")}
+        if flag:
+            added[flag_out] = F.when(F.col(flag), F.sum(flagged).over(upto) + flagged_before)
+        return rows.withColumns(added)
+
+    zero = F.lit(0).cast("long")
     hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
-    plain = df.join(hot, keys, "left_anti").withColumn(out, F.row_number().over(plain_window).cast("long"))
+    plain = numbered(df.join(hot, keys, "left_anti"), keys, zero, zero)
 
     names = [f"_slice{i}" for i in range(len(slices))]
     sliced = df.join(hot, keys, "left_semi").select("*", *[s.alias(n) for s, n in zip(slices, names)])
-    cells = sliced.groupBy(*keys, *names).agg(F.count("*").alias("_n"))
+    cells = sliced.groupBy(*keys, *names).agg(F.count("*").alias("_n"), F.sum(flagged).alias("_f"))
     before = W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
-    offsets = cells.select(*keys, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(*keys, *names).orderBy(*order)
-    numbered = sliced.join(offsets, [*keys, *names]).withColumn(
-        out, (F.row_number().over(inside) + F.col("_before")).cast("long")
+    offsets = cells.select(
+        *keys, *names, F.coalesce(F.sum("_n").over(before), zero).alias("_before"), F.coalesce(F.sum("_f").over(before), zero).alias("_fbefore")
     )
-    return plain.unionByName(numbered.select(*plain.columns))
+    parts = numbered(sliced.join(offsets, [*keys, *names]), [*keys, *names], F.col("_before"), F.col("_fbefore"))
+    return plain.unionByName(parts.select(*plain.columns))
 
 
 def numbered_by_id(df: DataFrame, keys: list[str], id_col: str, out: str, width: int = 100_000) -> DataFrame:

@@ -73,7 +73,7 @@ for _name, _op in {
     "source_owner": S.source_owner,
     "track_domain_candidates": S.track_domain_candidates,
     "detections": lambda log: plain(
-        D.detections(log.results, log.ranked_sources, log.ranked_cited_sources, log.texts_of(log.results), log.entities)
+        D.detections(log.results, log.ranked_of(log.results), log.texts_of(log.results), log.entities)
     ),
 }.items():
     query(_name)(_op)

@@ -15,7 +15,7 @@ from sightline.operators.page_type import with_page_type
 from sightline.operators.signals import content_hash, extract_signals, page_info
 from sightline.plans.catalog import plain, query
 from sightline.sources.binding import ts
-from sightline.sources.stage import staged
+from sightline.sources.stage import spread, staged
 
 NOW = "2026-09-08 12:00:00"
 
@@ -23,23 +23,22 @@ NOW = "2026-09-08 12:00:00"
 # --- texts ------------------------------------------------------------------------------
 @query("normalize_documents")
 def _normalize(log):
-    return log.raw("documents").select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("fingerprint"))
+    return documents(log).select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("fingerprint"))
 
 
 @query("document_languages")
 def _langs(log):
-    return log.raw("documents").select("doc_id", text.guess_lang(F.col("text")).alias("lang"))
+    return documents(log).select("doc_id", text.guess_lang(F.col("text")).alias("lang"))
 
 
 @query("document_figures")
 def _figures(log):
-    return log.raw("documents").select("doc_id", text.count_numbers(F.col("text")).alias("figures"))
+    return documents(log).select("doc_id", text.count_numbers(F.col("text")).alias("figures"))
 
 
 @query("question_terms")
 def _terms(log):
-    q = log.raw("conversations").filter("role = 'user'")
-    return q.select("conv_id", "turn", F.array_join(text.key_terms(F.col("text")), " ").alias("terms"))
+    return user_turns(log).select("conv_id", "turn", F.array_join(text.key_terms(F.col("text")), " ").alias("terms"))
 
 
 def _classified(questions: DataFrame) -> DataFrame:
@@ -49,14 +48,13 @@ def _classified(questions: DataFrame) -> DataFrame:
 
 @query("question_intents")
 def _intents(log):
-    q = log.raw("conversations").filter("role = 'user'").select("conv_id", "turn", "text")
-    return _classified(q).select("conv_id", "turn", "intent", "place")
+    return _classified(user_turns(log)).select("conv_id", "turn", "intent", "place")
 
 
 @query("question_headings")
 def _question_lines(log):
     """Lines of the documents that read like a question or an entity heading, counted per document."""
-    lines = log.raw("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = documents(log).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.groupBy("doc_id").agg(
         F.count("*").alias("lines"),
         F.count_if(text.is_question_heading(F.col("line"))).alias("questions"),
@@ -134,7 +132,15 @@ def _local(log):
 
 # --- pages ------------------------------------------------------------------------------------
 def pages(log) -> DataFrame:
-    return log.raw("pages")
+    return spread(log.raw("pages"), "page_id")
+
+
+def documents(log) -> DataFrame:
+    return spread(log.raw("documents").select("doc_id", "text"), "doc_id")
+
+
+def user_turns(log) -> DataFrame:
+    return spread(log.raw("conversations").filter("role = 'user'").select("conv_id", "turn", "text"), "conv_id")
 
 
 def typed_signals(log) -> DataFrame:
@@ -221,7 +227,7 @@ def _access_scores(log):
 
 def questions_of_pages(log) -> DataFrame:
     """Questions put to a page: the user turns of the conversation of the same number."""
-    q = log.raw("conversations").filter("role = 'user'").select(
+    q = user_turns(log).select(
         F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("question_index"), F.col("text")
     )
     return _classified(q).withColumnRenamed("text", "question")

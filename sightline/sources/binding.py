@@ -216,26 +216,16 @@ class AnswerLog:
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
     ]
 
-    @cached_property
-    def ranked_sources(self) -> DataFrame:
-        """Sources with their 1-based rank in the answer."""
-        return ordinal(
-            self.sources,
-            ["result_id"],
-            ["pos"],
-            "rank",
-            slices=[F.col("pos.l_linenumber"), F.floor(F.col("pos.l_partkey") / 4096)],
-        )
-
-    @cached_property
-    def ranked_cited_sources(self) -> DataFrame:
-        """Cited sources with their 1-based rank among the cited ones."""
+    def ranked_of(self, answers: DataFrame) -> DataFrame:
+        """Sources of some answers with their 1-based rank, and the rank among the cited ones."""
         return ordinal(
-            self.sources.filter("cited"),
+            self.sources.join(answers.select("result_id"), "result_id", "left_semi"),
             ["result_id"],
             ["pos"],
             "rank",
             slices=[F.col("pos.l_linenumber"), F.floor(F.col("pos.l_partkey") / 4096)],
+            flag="cited",
+            flag_out="cited_rank",
         )
 
     def texts_of(self, answers: DataFrame) -> DataFrame:
@@ -258,8 +248,9 @@ class AnswerLog:
 
     # Inspection answers are answers of the log, so they share its sources and texts.
     inspection_sources = property(lambda self: self.sources)
-    inspection_ranked = property(lambda self: self.ranked_sources)
-    inspection_ranked_cited = property(lambda self: self.ranked_cited_sources)
+
+    def inspection_ranked_of(self, answers: DataFrame) -> DataFrame:
+        return self.ranked_of(answers)
 
     def inspection_texts_of(self, answers: DataFrame) -> DataFrame:
         return self.texts_of(answers)

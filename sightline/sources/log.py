@@ -89,29 +89,32 @@ class TableLog:
         return F.col("created_at") >= self._start(1)
 
     @staticmethod
-    def _unnested(table: DataFrame, cited_only: bool = False) -> DataFrame:
+    def _unnested(table: DataFrame) -> DataFrame:
         """One row per source; its place in the list is its rank. A missing ``cited`` flag means cited."""
-        sources = F.col("sources")
-        if cited_only:
-            sources = F.filter(sources, lambda s: F.coalesce(s["cited"], F.lit(True)))
-        return table.select(F.col("id").alias("result_id"), F.posexplode(sources).alias("_i", "s")).select(
+        flags = F.transform("sources", lambda s: F.coalesce(s["cited"], F.lit(True)))
+        listed = F.transform(
+            "sources",
+            lambda s, i: F.struct(
+                s["url"].alias("url"), s["domain"].alias("domain"), F.get("_flags", i).alias("cited"),
+                F.size(F.filter(F.slice("_flags", F.lit(1), i + 1), lambda x: x)).alias("nth"),
+            ),
+        )
+        rows = table.withColumn("_flags", flags).select(F.col("id").alias("result_id"), F.posexplode(listed).alias("_i", "s"))
+        return rows.select(
             "result_id",
             (F.col("_i") + 1).cast("long").alias("rank"),
-            (F.col("_i") + 1).cast("long").alias("pos"),
+            F.when(F.col("s.cited"), F.col("s.nth").cast("long")).alias("cited_rank"),
             F.col("s.url").alias("url"),
             F.coalesce("s.domain", normalize_domain(F.col("s.url"))).alias("domain"),
-            F.coalesce("s.cited", F.lit(True)).alias("cited"),
+            F.col("s.cited").alias("cited"),
         )
 
     @cached_property
     def sources(self) -> DataFrame:
         return self._unnested(self.tables["results"])
 
-    ranked_sources = property(lambda self: self.sources)
-
-    @cached_property
-    def ranked_cited_sources(self) -> DataFrame:
-        return self._unnested(self.tables["results"], cited_only=True)
+    def ranked_of(self, answers: DataFrame) -> DataFrame:
+        return self.sources.join(answers.select("result_id"), "result_id", "left_semi")
 
     @staticmethod
     def _texts(table: DataFrame, answers: DataFrame) -> DataFrame:
@@ -145,11 +148,8 @@ class TableLog:
     def inspection_sources(self) -> DataFrame:
         return self._unnested(self.tables["inspection_answers"])
 
-    inspection_ranked = property(lambda self: self.inspection_sources)
-
-    @cached_property
-    def inspection_ranked_cited(self) -> DataFrame:
-        return self._unnested(self.tables["inspection_answers"], cited_only=True)
+    def inspection_ranked_of(self, answers: DataFrame) -> DataFrame:
+        return self.inspection_sources.join(answers.select("result_id"), "result_id", "left_semi")
 
     def inspection_texts_of(self, answers: DataFrame) -> DataFrame:
         return self._texts(self.tables["inspection_answers"], answers)

@@ -32,3 +32,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a table that comes in few splits out to all cores before heavy work per row.
+    A large table has more splits than cores and passes unchanged, without a shuffle.
+    Meant for scans: counting the splits of a plan with shuffles would run them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

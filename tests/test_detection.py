@@ -48,7 +48,10 @@ def test_detect_rows(tables):
 
 def test_joined_detection_equals_the_row_form(tables):
     answers, entities = tables
-    got = D.detections(answers, D.unnest_sources(answers), D.unnest_cited_sources(answers), answers.select("result_id", "raw_text"), entities)
+    ranked = TableLog._unnested(
+        answers.select(F.col("result_id").alias("id"), F.transform("sources", lambda s: F.struct(s["url"].alias("url"), F.lit(None).cast("string").alias("domain"), s["cited"].alias("cited"))).alias("sources"))
+    )
+    got = D.detections(answers, ranked, answers.select("result_id", "raw_text"), entities)
     assert verdicts(got) == WANT
 
 
@@ -75,6 +78,19 @@ def test_ordinal_of_a_hot_key_equals_the_plain_window(spark):
     assert sorted(plain.collect()) == sorted(split.collect())
 
 
+def test_ordinal_counts_flagged_rows(spark):
+    df = spark.range(600).select((F.col("id") % 2).alias("k"), (F.col("id") * 13 % 601).alias("o"), (F.col("id") % 3 == 0).alias("f"))
+    args = dict(flag="f", flag_out="m")
+    plain = X.ordinal(df, ["k"], ["o"], "n", [F.floor(F.col("o") / 50)], hot_rows=10**9, **args)
+    split = X.ordinal(df, ["k"], ["o"], "n", [F.floor(F.col("o") / 50)], hot_rows=10, **args)
+    want, seen = [], {}
+    for r in sorted(df.collect(), key=lambda r: r.o):
+        n, m = seen.get(r.k, (0, 0))
+        seen[r.k] = (n + 1, m + r.f)
+        want.append((r.k, r.o, r.f, n + 1, m + 1 if r.f else None))
+    assert sorted(map(tuple, plain.collect()), key=lambda r: r[1]) == want == sorted(map(tuple, split.collect()), key=lambda r: r[1])
+
+
 def test_numbered_by_id(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 13).alias("x"))
     got = X.numbered_by_id(df, ["k"], "x", "n", width=500).toPandas()
@@ -90,8 +106,8 @@ def test_exact_median(spark):
 def test_binding_detections_equal_brute_force(spark, sf):
     """Plain Python over every answer of the smallest tables, with the list form of the detection."""
     log = AnswerLog(spark, sf)
-    got = D.detections(log.results, log.ranked_sources, log.ranked_cited_sources, log.texts_of(log.results), log.entities)
-    s = log.ranked_sources.select("result_id", "rank", F.struct("url", "cited").alias("s")).groupBy("result_id").agg(
+    got = D.detections(log.results, log.ranked_of(log.results), log.texts_of(log.results), log.entities)
+    s = log.ranked_of(log.results).select("result_id", "rank", F.struct("url", "cited").alias("s")).groupBy("result_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "s"))), lambda x: x["s"]).alias("sources")
     )
     listed = log.results.join(s, "result_id", "left").join(log.texts_of(log.results), "result_id", "left").withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
@@ -109,5 +125,5 @@ def test_recompute_replaces_one_project(spark, tmp_path):
 
 def test_table_log_detections(spark):
     log: TableLog = answer_log(spark)
-    got = D.detections(log.results, log.ranked_sources, log.ranked_cited_sources, log.texts_of(log.results), log.entities)
+    got = D.detections(log.results, log.ranked_of(log.results), log.texts_of(log.results), log.entities)
     assert got.filter("entity_type = 'brand' and cited and project_id = 'P'").count() == 2
