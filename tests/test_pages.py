@@ -77,7 +77,7 @@ def test_listicle_signals(page):
     assert (p.lists_count, p.tables_count, p.quote_count, p.h2_entities) == (1, 1, 1, 5)
     assert p.has_summary_block and not p.has_faq and p.about_contact_links and p.canonical_self
     assert (p.brand_name, p.brand_consistent) == ("Guidio", True)
-    assert p.placed if False else p.place_mentioned is True
+    assert p.place_mentioned is True
     assert p.lang_matches is True and p.json_ld_types == ["Article", "Organization", "ItemList"]
     assert [s.heading for s in p.sections][:2] == ["En bref", "1. Alphatek"]
 
