@@ -10,17 +10,17 @@ from sightline.sources.log import TableLog
 from answer_fixture import answer_log
 
 ENTITIES = [
-    ("P", 1, "brand", 0, "Gatto", ["Gatto", "Gatto City"], ["gatto.city"]),
+    ("P", 1, "brand", 0, "Nimbo", ["Nimbo", "Nimbo City"], ["nimbo.city"]),
     ("P", 2, "competitor", 1, "Félix", ["Félix"], ["felix.com"]),
     ("P", 3, "competitor", 2, "Mia", ["Mia"], ["mia.fr"]),
 ]
 ENTITY_TYPE = "project_id string, entity_id long, entity_type string, ordinal int, name string, terms array<string>, domains array<string>"
 ANSWER_TYPE = "result_id long, project_id string, raw_text string, sources array<struct<url:string,cited:boolean>>, error string"
 ANSWERS = [
-    (1, "P", "felix then Gatto City, not Miami", [("https://blog.gatto.city/a", None), ("https://www.felix.com", True)], None),
-    (2, "P", "see mia.fr", [("https://notgatto.city", True), ("https://felix.com", False), ("https://gatto.city:443/x", True)], None),
+    (1, "P", "felix then Nimbo City, not Miami", [("https://blog.nimbo.city/a", None), ("https://www.felix.com", True)], None),
+    (2, "P", "see mia.fr", [("https://notnimbo.city", True), ("https://felix.com", False), ("https://nimbo.city:443/x", True)], None),
     (3, "P", "nothing", [], None),
-    (4, "P", "Gatto", [("https://gatto.city", True)], "timeout"),
+    (4, "P", "Nimbo", [("https://nimbo.city", True)], "timeout"),
 ]
 
 
@@ -36,7 +36,7 @@ def tables(spark):
 
 
 WANT = {
-    (1, 1): (1, 1, 2, ["Gatto", "Gatto City"]), (1, 2): (2, 2, 1, ["Félix"]), (1, 3): (None, None, None, []),
+    (1, 1): (1, 1, 2, ["Nimbo", "Nimbo City"]), (1, 2): (2, 2, 1, ["Félix"]), (1, 3): (None, None, None, []),
     (2, 1): (2, 3, None, []), (2, 2): (None, 2, None, []), (2, 3): (None, None, 1, ["Mia"]),
     (3, 1): (None, None, None, []), (3, 2): (None, None, None, []), (3, 3): (None, None, None, []),
 }

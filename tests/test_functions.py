@@ -36,7 +36,7 @@ def test_terms_need_word_edges(spark):
 def test_urls(spark):
     u = ["https://www.Site.ca/Blog/Seo/?utm_source=x&b=2&a=1#t", "http://site.ca:80", "mailto:a@b.c", "https://x.ca/a?q=d%C3%A9j%C3%A0+vu"]
     assert column(spark, u, urls.normalize_url(V)) == ["site.ca/Blog/Seo?a=1&b=2", "site.ca", None, "x.ca/a?q=d%C3%A9j%C3%A0%20vu"]
-    assert column(spark, ["blog.gatto.city", "notgatto.city", "GATTO.city"], urls.domain_matches(V, F.lit("gatto.city"))) == [True, False, True]
+    assert column(spark, ["blog.nimbo.city", "notnimbo.city", "NIMBO.city"], urls.domain_matches(V, F.lit("nimbo.city"))) == [True, False, True]
     assert column(spark, ["https://fr.x.ca/a", "https://ax.ca/"], urls.same_site(V, F.lit("x.ca"))) == [True, False]
     assert column(spark, ["www.a.co.uk", "a.b.gouv.qc.ca", "x.y.com", "x.com"], urls.root_domain(V)) == ["a.co.uk", "gouv.qc.ca", "y.com", "x.com"]
     assert column(spark, ["agencies.semrush.com", "mylittlebigweb.com", "x.com.au"], urls.name_from_domain(V)) == ["Semrush", "Mylittlebigweb", "X"]
@@ -58,7 +58,7 @@ def test_dates(spark):
 
 
 def test_headings_numbers_language(spark):
-    h = ["Comment choisir ?", "1. Rablab", "FAQ", "Le SEO est mort", "what is it", "Ouvrir", "Que faire"]
+    h = ["Comment choisir ?", "1. Alphalab", "FAQ", "Le SEO est mort", "what is it", "Ouvrir", "Que faire"]
     assert column(spark, h, text.is_question_heading(V)) == [True, False, False, False, True, False, True]
     assert column(spark, h, text.is_entity_heading(V)) == [False, True, False, False, False, True, False]
     assert column(spark, ["500 $, 20 %, 12 mars 2026, 3 ans, 15 km", "rien"], text.count_numbers(V)) == [5, 0]
