@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import chat, packing, secrets
+from sightline.llm import chat, packing, quality, secrets
 from sightline.llm.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that each document is junk or abusive, and whether it stays."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

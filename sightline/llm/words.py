@@ -82,7 +82,12 @@ def of_texts(texts: pa.Array, lower: bool = False) -> Words:
     after = np.concatenate((inside[1:], [False])) if len(data) else inside
     end = np.flatnonzero(inside & (~after | first[1:])) + 1
     row = np.searchsorted(offsets, start, side="right") - 1
-    return Words(row, start, end, _hashes(data, start, end, _LOWER_BYTES if lower else _BYTES), data, offsets)
+    return Words(row, start, end, hash_of(data, start, end, lower), data, offsets)
+
+
+def hash_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of the given stretches of bytes (ascending, not overlapping)."""
+    return _hashes(data, start, end, _LOWER_BYTES if lower else _BYTES)
 
 
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
