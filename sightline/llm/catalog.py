@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import chat, fingerprint, packing, quality, secrets
+from sightline.llm import chat, decontaminate, fingerprint, packing, quality, secrets
 from sightline.llm.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,11 +63,18 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probability that each document is junk or abusive, and whether it stays."""
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """The documents that stay, with the probability that they are junk or abusive."""
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.where("keep").select("doc_id", "p_bad")
 
 
 @query
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness."""
     return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and the benchmark items that they repeat."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

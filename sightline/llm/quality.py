@@ -42,9 +42,7 @@ _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[[ord(c) for c in "#$%&*|<>{}[]~^=@\\_`"]] = 1
 _UPPER = np.zeros(256, dtype=np.int64)
 _UPPER[65:91] = 1
-_LETTER = np.zeros(256, dtype=np.int64)
-_LETTER[65:91] = _LETTER[97:123] = 1
-_LETTER[128:] = 1
+_LETTER = words.LETTER.astype(np.int64)
 
 
 def word_hashes(some: list[str]) -> np.ndarray:
@@ -52,19 +50,6 @@ def word_hashes(some: list[str]) -> np.ndarray:
     return words.of_texts(pa.array(list(some), pa.string()), lower=True).hash
 
 
-def _stripped(w: words.Words) -> words.Words:
-    """The words without punctuation at their ends; a word of punctuation only stays."""
-    inner = (_LETTER[w.data] > 0) | ((w.data >= 48) & (w.data <= 57))
-    start, end = w.start.copy(), w.end.copy()
-    while len(open_ := np.flatnonzero((start < end) & ~inner[np.minimum(start, len(w.data) - 1)])):
-        start[open_] += 1
-    while len(open_ := np.flatnonzero((start < end) & ~inner[np.maximum(end - 1, 0)])):
-        end[open_] -= 1
-    bare = start >= end
-    start, end = np.where(bare, w.start, start), np.where(bare, w.end, end)
-    return w._replace(start=start, end=end, hash=words.hash_of(w.data, start, end, lower=True))
-
-
 def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return part / np.maximum(whole, 1)
 
@@ -210,7 +195,7 @@ def classify(docs: DataFrame, labels: DataFrame, lexicon_rows: int = 20_000, tra
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text"):
-            votes = labeller_votes(_stripped(words.of_texts(batch.column("text"))), abuse, learned)
+            votes = labeller_votes(words.stripped(words.of_texts(batch.column("text"))), abuse, learned)
             arrays = [pa.array(votes[name], pa.int8()) for name in names]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *names])
 
@@ -243,7 +228,7 @@ def classify(docs: DataFrame, labels: DataFrame, lexicon_rows: int = 20_000, tra
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = model.value
         for batch in words.slices(batches, "text"):
-            w = _stripped(words.of_texts(batch.column("text")))
+            w = words.stripped(words.of_texts(batch.column("text")))
             row, slot, value = _features(w, labeller_votes(w, abuse, learned))
             z = np.bincount(row, weights[slot] * value, minlength=len(batch)) + bias
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -260,7 +245,7 @@ def _fit(docs: DataFrame, chosen: dict[int, float], abuse: np.ndarray, learned:
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text"):
-            w = _stripped(words.of_texts(batch.column("text")))
+            w = words.stripped(words.of_texts(batch.column("text")))
             row, slot, value = _features(w, labeller_votes(w, abuse, learned))
             order = np.argsort(row, kind="stable")
             ends = np.searchsorted(row[order], np.arange(len(batch) + 1)).astype(np.int32)

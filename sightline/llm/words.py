@@ -18,6 +18,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+LETTER = np.zeros(256, dtype=bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+DIGIT = np.zeros(256, dtype=bool)
+DIGIT[48:58] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,6 +94,21 @@ def hash_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool =
     return _hashes(data, start, end, _LOWER_BYTES if lower else _BYTES)
 
 
+def stripped(w: Words) -> Words:
+    """The words without punctuation at their ends, hashed as a-z; a word of punctuation only stays."""
+    inner = LETTER | DIGIT
+    start, end = w.start.copy(), w.end.copy()
+    for bound, step, at in ((start, 1, 0), (end, -1, -1)):
+        open_ = np.arange(len(start))
+        while len(open_):
+            open_ = open_[(start[open_] < end[open_])]
+            open_ = open_[~inner[w.data[bound[open_] + at]]]
+            bound[open_] += step
+    bare = start >= end
+    start, end = np.where(bare, w.start, start), np.where(bare, w.end, end)
+    return w._replace(start=start, end=end, hash=hash_of(w.data, start, end, lower=True))
+
+
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Polynomial hash of each word from prefix sums, a bounded stretch of bytes at a time."""
     out = np.empty(len(start), dtype=np.uint64)
