@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sightline.llm import chat, decontaminate, fingerprint, packing, quality, secrets
+from sightline.llm import chat, decontaminate, fingerprint, lines, packing, quality, secrets
 from sightline.llm.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,32 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents and the benchmark items that they repeat."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later copies of runs of three lines or more."""
+    cleaned = lines.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+SQL["op3_line_dedup"] = """
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), numbered AS (
+  SELECT doc_id, unnest(range(len(lines))) AS line, unnest(lines) AS words FROM split
+), windows AS (
+  SELECT doc_id, line, words || chr(10) || lead(words) OVER w || chr(10) || lead(words, 2) OVER w AS seen
+  FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY line)
+), later AS (
+  SELECT doc_id, line FROM windows WHERE trim(seen, ' ' || chr(10)) <> ''
+  QUALIFY row_number() OVER (PARTITION BY seen ORDER BY doc_id, line) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, line + more AS line FROM later, (SELECT unnest(range(3)) AS more)
+), marked AS (
+  SELECT n.*, g.line IS NOT NULL AS gone FROM numbered n LEFT JOIN gone g USING (doc_id, line)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(words, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
