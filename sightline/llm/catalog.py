@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import chat, decontaminate, fingerprint, lines, packing, quality, secrets
+from sightline.llm import chat, decontaminate, fingerprint, lines, packing, quality, secrets, substrings
 from sightline.llm.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
        sha256(coalesce(string_agg(words, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 13-word windows that an earlier one holds."""
+    return substrings.removed_words(table(spark, sf_dir, "documents")).drop("kept")

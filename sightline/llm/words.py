@@ -137,6 +137,15 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def stretches(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Hash of the words from start up to end and of a further number, by stretch."""
+    powers, inverses = _power_tables(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * powers[: len(hashes)], out=sums[1:])
+    more = (end - start).astype(np.uint64) * np.uint64(1 << 20) + extra.astype(np.uint64)
+    return mix(mix((sums[end] - sums[start]) * inverses[start]) + more * _BASE)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows again, cut so that each slice holds about size bytes of the text column."""
     for batch in batches:
