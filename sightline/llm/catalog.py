@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import chat, decontaminate, fingerprint, lines, packing, quality, secrets, substrings
+from sightline.llm import chat, decontaminate, fingerprint, lines, packing, quality, secrets, setjoin, substrings
 from sightline.llm.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,9 @@ FROM marked GROUP BY doc_id
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 13-word windows that an earlier one holds."""
     return substrings.removed_words(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the documents whose three-word shingles agree to 90 percent."""
+    return setjoin.similar_components(table(spark, sf_dir, "documents"))

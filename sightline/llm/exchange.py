@@ -21,13 +21,13 @@ SHARD_BYTES = 32 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
-def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``doc_id, text, block`` of every row, and a fitting number of shards."""
+def blocks(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """``doc_id, text, block`` of every row, and fitting numbers of blocks and of shards."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + total // BLOCK_BYTES
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block")
-    return docs.select("doc_id", "text", block), 1 + total // SHARD_BYTES
+    return docs.select("doc_id", "text", block), n_blocks, 1 + total // SHARD_BYTES
 
 
 def ids(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
@@ -61,6 +61,22 @@ def gathered(table: pa.Table, kinds: dict[str, type]) -> tuple[dict[str, np.ndar
     return out, counts
 
 
+def answered(table: pa.Table, counts: np.ndarray, kept: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+    """Each row of a shard answered with those of its entries that are kept."""
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    parts = {i: slice(ends[i], ends[i + 1]) for i in range(table.num_rows)}
+    left = [i for i, part in parts.items() if kept[part].any()]
+    made = {name: table.column(name).take(pa.array(left, pa.int64())) for name in ("block", "shard")}
+    for name, values in columns.items():
+        made[name] = pa.array([values[parts[i]][kept[parts[i]]].tobytes() for i in left], pa.binary())
+    return pa.table(made)
+
+
+def empty(columns: dict[str, type]) -> pa.Table:
+    kinds = {"block": pa.int64(), "shard": pa.int64()} | {name: pa.binary() for name in columns}
+    return pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
+
+
 def schema(columns: dict[str, type]) -> str:
     return "block long, shard long, " + ", ".join(f"{name} binary" for name in columns)
 

@@ -163,7 +163,7 @@ def _joined(key: np.ndarray, content: np.ndarray) -> np.ndarray:
 
 def removed_words(docs: DataFrame, size: int = 13, gram: int = 6) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept`` of every row of docs (``doc_id, text``)."""
-    read, n_shards = exchange.blocks(docs)
+    read, _, n_shards = exchange.blocks(docs)
 
     def slices_of(table: pa.Table):
         """ids, words and passages of a block, a slice at a time."""
@@ -192,11 +192,11 @@ def removed_words(docs: DataFrame, size: int = 13, gram: int = 6) -> DataFrame:
         group[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
         low, high = np.minimum.reduceat(got["low"][order], begin), np.maximum.reduceat(got["high"][order], begin)
         kept = (low < high)[group]
-        return _answers(table, counts, kept, {"key": got["key"]})
+        return exchange.answered(table, counts, kept, {"key": got["key"]})
 
     def contents(read_table: pa.Table, shared_table: pa.Table) -> pa.Table:
         if not read_table.num_rows or not shared_table.num_rows:
-            return _empty(CONTENTS)
+            return exchange.empty(CONTENTS)
         wanted = np.sort(exchange.gathered(shared_table, SHARED)[0]["key"])
         parts = [(np.zeros(0, dtype=U), np.zeros(0, dtype=U), np.zeros(0, dtype=I))]
         for _, own, _, found in slices_of(read_table):
@@ -214,7 +214,7 @@ def removed_words(docs: DataFrame, size: int = 13, gram: int = 6) -> DataFrame:
         """Ask the block of each first holder for the words of passages whose anchor has several."""
         got, counts = exchange.gathered(table, CONTENTS)
         several, first, _ = _references(got)
-        return _answers(table, counts, several & first, {"key": got["key"], "content": got["content"]})
+        return exchange.answered(table, counts, several & first, {"key": got["key"], "content": got["content"]})
 
     def passages(read_table: pa.Table, asked_table: pa.Table) -> pa.Table:
         if not read_table.num_rows or not asked_table.num_rows:
@@ -236,7 +236,7 @@ def removed_words(docs: DataFrame, size: int = 13, gram: int = 6) -> DataFrame:
 
     def answers(content_table: pa.Table, passage_table: pa.Table) -> pa.Table:
         if not content_table.num_rows:
-            return _empty(ANSWERS)
+            return exchange.empty(ANSWERS)
         got, counts = exchange.gathered(content_table, CONTENTS)
         _, _, low = _references(got)
         decided: dict[tuple[int, int], list[int]] = {}
@@ -340,16 +340,3 @@ def _references(got: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
     several[order] = np.repeat(np.repeat(per_key, per_key) > 1, sizes)
     return several, got["low"] == low, low
 
-
-def _answers(table: pa.Table, counts: np.ndarray, kept: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
-    """Each row of a shard answered with those of its entries that are kept."""
-    ends = np.concatenate(([0], np.cumsum(counts)))
-    left = [i for i in range(table.num_rows) if kept[ends[i] : ends[i + 1]].any()]
-    made = {"block": table.column("block").take(pa.array(left, pa.int64())), "shard": table.column("shard").take(pa.array(left, pa.int64()))}
-    for name, values in columns.items():
-        made[name] = pa.array([values[ends[i] : ends[i + 1]][kept[ends[i] : ends[i + 1]]].tobytes() for i in left], pa.binary())
-    return pa.table(made)
-
-
-def _empty(columns: dict[str, type]) -> pa.Table:
-    return pa.table({"block": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in columns}})
