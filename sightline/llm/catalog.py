@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import chat, decontaminate, fingerprint, lines, packing, quality, secrets, setjoin, substrings
+from sightline.llm import chat, decontaminate, fingerprint, html_blocks, lines, packing, quality, secrets, setjoin, substrings
 from sightline.llm.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the documents whose three-word shingles agree to 90 percent."""
     return setjoin.similar_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
