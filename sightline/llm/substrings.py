@@ -239,36 +239,28 @@ def removed_words(docs: DataFrame, size: int = 13, gram: int = 6) -> DataFrame:
             return exchange.empty(ANSWERS)
         got, counts = exchange.gathered(content_table, CONTENTS)
         _, _, low = _references(got)
-        decided: dict[tuple[int, int], list[int]] = {}
-        if passage_table.num_rows:
-            names = list(zip(*(passage_table.column(c).to_numpy().view(U).tolist() for c in ("key", "content"))))
-            sequences = [text.split() for text in passage_table.column("text").to_pylist()]
-            holder = {}
-            for k, c, d in zip(got["key"].tolist(), got["content"].tolist(), low.tolist()):
-                holder[k, c] = d
-            automaton = Automaton()
-            for name, sequence in zip(names, sequences):
-                automaton.add(sequence, holder[name])
-            automaton.finish()
-            for name, sequence in zip(names, sequences):
-                decided[name] = automaton.statistics(sequence, size)
-        pieces = []
-        at = 0
-        for block, shard, n in zip(content_table.column("block").to_pylist(), content_table.column("shard").to_pylist(), counts.tolist()):
-            own = slice(at, at + n)
-            at += n
-            lows, sizes = [], np.ones(n, dtype=np.int32)
-            plain = low[own]
-            if decided:
-                for i, name in enumerate(zip(got["key"][own].tolist(), got["content"][own].tolist())):
-                    each = decided.get(name) or [int(plain[i])]
-                    sizes[i] = len(each)
-                    lows.extend(each)
-                plain = np.array(lows, dtype=I)
-            pieces.append((block, shard, got["key"][own].tobytes(), got["content"][own].tobytes(), plain.tobytes(), sizes.tobytes()))
-        columns = list(zip(*pieces))
-        kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 4
-        return pa.table({name: pa.array(c, kind) for name, c, kind in zip(["block", "shard", *ANSWERS], columns, kinds)})
+        name = _joined(got["key"], got["content"])
+        decided, sizes, lows = _window_lows(passage_table, name, low, size)
+        # Entries of passages that an automaton decided get an id per window, others one.
+        at = np.minimum(np.searchsorted(decided, name), max(len(decided) - 1, 0))
+        many = decided[at] == name if len(decided) else np.zeros(len(name), dtype=bool)
+        n = np.ones(len(name), dtype=np.int32)
+        n[many] = sizes[at[many]]
+        start = np.cumsum(n, dtype=I) - n
+        every = np.empty(int(n.sum()), dtype=I)
+        every[start[~many]] = low[~many]
+        inside = np.arange(int(n[many].sum())) - np.repeat(np.cumsum(n[many], dtype=I) - n[many], n[many])
+        source = np.cumsum(sizes, dtype=I) - sizes
+        every[np.repeat(start[many], n[many]) + inside] = lows[np.repeat(source[at[many]], n[many]) + inside]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        bounds = np.concatenate((start, [len(every)]))[ends]
+        own = [slice(a, b) for a, b in zip(ends, ends[1:])]
+        made = {c: content_table.column(c) for c in ("block", "shard")}
+        for column, values in (("key", got["key"]), ("content", got["content"])):
+            made[column] = pa.array([values[part].tobytes() for part in own], pa.binary())
+        made["low"] = pa.array([every[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())
+        made["n"] = pa.array([n[part].tobytes() for part in own], pa.binary())
+        return pa.table(made)
 
     def finished(read_table: pa.Table, answer_table: pa.Table) -> pa.Table:
         got, _ = exchange.gathered(answer_table, {"n": np.int32}) if answer_table.num_rows else ({"n": np.zeros(0, dtype=np.int32)}, None)
@@ -340,3 +332,32 @@ def _references(got: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
     several[order] = np.repeat(np.repeat(per_key, per_key) > 1, sizes)
     return several, got["low"] == low, low
 
+
+def _window_lows(passages: pa.Table, name: np.ndarray, low: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the passages (ascending), how many windows each has, and each window's smallest id.
+
+    name, low: of all entries, to find the smallest id of each passage. Passages around
+    different anchors share no window, so each anchor has its own automaton, which is
+    dropped when its passages have been streamed.
+    """
+    if not passages.num_rows:
+        return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=I)
+    key, content = (passages.column(c).to_numpy().view(U) for c in ("key", "content"))
+    own = _joined(key, content)
+    order = np.argsort(name, kind="stable")
+    holder = low[order][np.searchsorted(name[order], own)].tolist()
+    texts = passages.column("text")
+    by_key = np.argsort(key, kind="stable")
+    begin = np.flatnonzero(np.concatenate(([True], key[by_key][1:] != key[by_key][:-1])))
+    found: list[np.ndarray] = [np.zeros(0, dtype=I)] * len(own)
+    for some in np.split(by_key, begin[1:]):
+        sequences = [(int(i), texts[int(i)].as_py().split()) for i in some]
+        automaton = Automaton()
+        for i, sequence in sequences:
+            automaton.add(sequence, holder[i])
+        automaton.finish()
+        for i, sequence in sequences:
+            found[i] = np.array(automaton.statistics(sequence, size), dtype=I)
+    order = np.argsort(own, kind="stable").tolist()
+    sizes = np.array([len(found[i]) for i in order], dtype=np.int32)
+    return own[order], sizes, np.concatenate([found[i] for i in order])
