@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm import words
+from sightline.llm.sources import checkpointed
 
 
 def bucket_lengths(counts: np.ndarray, n_buckets: int) -> list[int]:
@@ -100,7 +101,7 @@ def pack(
     """
     if max_len > budget:
         raise ValueError("a sequence of max_len must fit into the budget")
-    cut = pieces(lengths.select("doc_id", "n_tokens"), max_len)
+    cut = pieces(checkpointed(lengths.select("doc_id", "n_tokens")), max_len)  # texts are read once
     histogram = cut.groupBy("n_tokens").count().collect()  # at most max_len + 1 rows
     counts = np.zeros(max_len + 1, dtype=np.int64)
     for row in histogram:

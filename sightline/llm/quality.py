@@ -19,6 +19,7 @@ teaches nothing; null labels are no vote; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -182,8 +183,17 @@ def learn_abuse(docs: DataFrame, labels: DataFrame, rows: int, most: int = 256)
     return sorted(r["word"] for r in telling.collect())
 
 
-def classify(docs: DataFrame, labels: DataFrame, lexicon_rows: int = 20_000, train_rows: int = 8_000) -> DataFrame:
-    """``doc_id, p_bad, keep`` of every row of docs (``doc_id, text``).
+class Model(NamedTuple):
+    """What scoring needs: hashes of the abusive words, weights of the scorer and its bias."""
+
+    abuse: np.ndarray
+    learned: np.ndarray
+    weights: np.ndarray
+    bias: float
+
+
+def fit(docs: DataFrame, labels: DataFrame, lexicon_rows: int = 20_000, train_rows: int = 8_000) -> Model:
+    """Estimate the labellers and train the scorer on docs (``doc_id, text``).
 
     labels: ``doc_id, quality, toxic`` of some documents; they vote as labellers.
     """
@@ -223,22 +233,42 @@ def classify(docs: DataFrame, labels: DataFrame, lexicon_rows: int = 20_000, tra
     chosen = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     chosen = {r["doc_id"]: posterior[tuple(r[name] for name in FORM + TONE)] for r in chosen.collect()}
     weights, bias = _fit(docs, chosen, abuse, learned)
-    model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))  # N_WEIGHTS floats
+    return Model(abuse, learned, weights.astype(np.float32), float(bias))
+
+
+def bad_probability(texts: pa.Array, model: Model) -> np.ndarray:
+    """Probability that each text is junk or abusive; an empty one's is 0."""
+    w = words.stripped(words.of_texts(texts))
+    row, slot, value = _features(w, labeller_votes(w, model.abuse, model.learned))
+    z = np.bincount(row, model.weights[slot] * value, minlength=len(texts)) + model.bias
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return np.round(np.where(np.diff(w.of_row()) == 0, 0.0, p), 6)
+
+
+def classify(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
+    """``doc_id, p_bad, keep`` of every row of docs (``doc_id, text``); bounds: those of `fit`."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))  # N_WEIGHTS floats
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = model.value
         for batch in words.slices(batches, "text"):
-            w = words.stripped(words.of_texts(batch.column("text")))
-            row, slot, value = _features(w, labeller_votes(w, abuse, learned))
-            z = np.bincount(row, weights[slot] * value, minlength=len(batch)) + bias
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            empty = np.diff(w.of_row()) == 0
-            p = np.round(np.where(empty, 0.0, p), 6)
+            p = bad_probability(batch.column("text"), model.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(p < 0.5)], ["doc_id", "p_bad", "keep"])
 
     return docs.mapInArrow(score, "doc_id long, p_bad double, keep boolean")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
+    """The rows of docs, whatever their columns, whose text is neither junk nor abusive."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in words.slices(batches, "text"):
+            yield batch.filter(pa.array(bad_probability(batch.column("text"), model.value) < 0.5))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def _fit(docs: DataFrame, chosen: dict[int, float], abuse: np.ndarray, learned: np.ndarray):
     """Scorer of the chosen documents (a bounded number), from features made on the executors."""
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")

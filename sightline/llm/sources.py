@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -9,14 +11,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder of ``spark.checkpoint.dir`` and read again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the cluster's; only where none is named (tests) one below the
-    warehouse is used.
+    Only where none is named (tests) a folder below the warehouse is set.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again; their lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table of their own in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
