@@ -1,10 +1,10 @@
 """Quality classifier: weak labels by expectation-maximisation, then a hashed linear scorer.
 
-Overlapping heuristic labellers vote bad, good or nothing on every document. Two latent
-facts are estimated, each from its own labellers: whether the text's form is junk, and
-whether its tone is abusive. Expectation-maximisation over the counts of vote patterns of
-all documents gives each labeller's accuracy and each pattern's posterior; a document is
-bad if either fact holds. The posteriors of a bounded sample train a logistic scorer
+Overlapping heuristic labellers vote bad, good or nothing on every document. Two questions
+are estimated, each from its own labellers: whether the text's form is junk, and whether
+its tone is abusive. Expectation-maximisation over the counts of vote patterns of all
+documents gives each labeller's accuracy on each kind of bad text and each pattern's
+posterior; a document is bad if either answer is yes. The posteriors of a bounded sample train a logistic scorer
 over hashed words and votes, which scores every whole text.
 
 Bounds (parameters): ``lexicon_rows`` labelled rows teach the abusive words, and
@@ -85,29 +85,40 @@ def labeller_votes(w: words.Words, abuse: np.ndarray, learned: np.ndarray) -> di
     }
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of "bad" per vote pattern, P(vote | class) per labeller, and the prior.
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of "bad" per vote pattern, P(vote | class) per labeller, and how bad each class is.
 
-    patterns: one row per distinct pattern, votes -1, 0, 1; counts: documents of each.
-    Starts from "bad where any labeller says so"; accuracies are smoothed by one vote.
+    patterns: one row per distinct pattern, votes -1, 0, 1; the last labeller is the given
+    labels, the others read texts. counts: documents of each pattern.
+
+    Labellers are specialists, so bad texts come in kinds: the latent classes are "clean" and
+    one kind for each labeller, which starts with the patterns that it calls bad. Kinds that
+    two labellers find overlap and share their documents. A class is as bad as its
+    labelled members, which discounts a careless labeller; without any it counts as bad.
     """
-    bad = np.where((patterns == BAD).any(axis=1), 0.9, 0.1)
-    share = counts / max(counts.sum(), 1)
+    n_kinds = patterns.shape[1] - 1
+    called = (patterns[:, :-1] == BAD).astype(float)
+    some = called.sum(axis=1, keepdims=True)
+    share = np.where(some > 0, called / np.maximum(some, 1), 1 / n_kinds)
+    clean = np.where(some[:, 0] > 0, 0.02, np.where(patterns[:, -1] == BAD, 0.5, 0.98))
+    belongs = np.column_stack([clean, share * (1 - clean)[:, None]])
+    total = counts.sum()
+    votes = np.stack([patterns == v for v in (BAD, NONE, GOOD)], axis=2).astype(float)
     for _ in range(rounds):
-        weight = np.stack([share * (1 - bad), share * bad])
-        prior = weight[1].sum()
-        smooth = 1.0 / max(counts.sum(), 1)
-        given = np.stack(
-            [[[(w * (patterns[:, j] == v)).sum() + smooth for v in (BAD, NONE, GOOD)] for j in range(patterns.shape[1])] for w in weight]
-        )
-        given /= given.sum(axis=2, keepdims=True)
+        weight = belongs * counts[:, None]
+        prior = (weight.sum(axis=0) + 0.1) / (total + 0.1 * (n_kinds + 1))
+        given = np.einsum("pc,pjv->cjv", weight, votes) + 0.05
+        given[np.arange(1, n_kinds + 1), np.arange(n_kinds), 0] += 1.0  # a kind is what its labeller finds
+        said = given[:, :, [0, 2]] / given[:, :, [0, 2]].sum(axis=2, keepdims=True)
         # A labeller that abstains says nothing about the class.
-        log = np.log(np.clip([1 - prior, prior], 1e-9, 1))[:, None] + np.zeros((2, len(patterns)))
-        for j in range(patterns.shape[1]):
-            for v in (BAD, GOOD):
-                log[:, patterns[:, j] == v] += np.log(given[:, j, v + 1] / (given[:, j, 0] + given[:, j, 2]))[:, None]
-        bad = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-    return bad, given, float(prior)
+        log = np.log(prior) + np.einsum("pjv,cjv->pc", votes[:, :, [0, 2]], np.log(said))
+        belongs = np.exp(log - log.max(axis=1, keepdims=True))
+        belongs /= belongs.sum(axis=1, keepdims=True)
+    weight = belongs * counts[:, None]
+    labelled = np.stack([(weight * votes[:, -1, v : v + 1]).sum(axis=0) for v in (0, 2)])
+    badness = (labelled[0] + 2.0) / (labelled.sum(axis=0) + 2.0)
+    badness[0] = labelled[0, 0] / (labelled[:, 0].sum() + 2.0)
+    return belongs @ badness, given / given.sum(axis=2, keepdims=True), badness
 
 
 def _features(w: words.Words, votes: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon_rows: int = 20_000, train_ro
     # At most 3 ** 9 patterns, whatever the number of documents.
     counted = voted.groupBy(*FORM, *TONE).count().collect()
     counted.sort(key=lambda r: [r[name] for name in FORM + TONE])
-    table = np.array([[r[name] for name in FORM + TONE] for r in counted], dtype=int).reshape(len(counted), -1)
+    table = np.array([[r[name] for name in FORM + TONE] for r in counted], dtype=int).reshape(len(counted), len(FORM + TONE))
     counts = np.array([r["count"] for r in counted], dtype=float)
     clean = np.ones(len(counted))
     for group in (FORM, TONE):
