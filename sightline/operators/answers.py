@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from sightline.functions import constants as K
 from sightline.functions.dates import local_day
 from sightline.functions.pricing import exact_sum
-from sightline.operators.detect import brand_flags, entity_flags, source_pairs
+from sightline.operators.detect import brand_flags, cited_pairs, entity_flags
 from sightline.operators.rates import euros, percent, points, rate, status, theme_order, themes
 from sightline.operators.windows import exact_median, top_per_group
 
 
 def _brand(log, answers: DataFrame) -> DataFrame:
-    return brand_flags(answers, log.sources, log.texts_of(answers), log.entities)
+    return brand_flags(log, answers)
 
 
 def _ok(answers: DataFrame) -> DataFrame:
@@ -31,6 +31,12 @@ def _n(condition: Column) -> Column:
     return F.count_if(condition)
 
 
+def _sizes(log, answers: DataFrame, name: str) -> DataFrame:
+    """Number of sources of each of some answers."""
+    inside = log.sources.select("result_id").join(answers.select("result_id"), "result_id", "left_semi")
+    return inside.groupBy("result_id").agg(F.count("*").alias(name))
+
+
 def brand_rates(log) -> DataFrame:
     """Answers without error, cited and mentioned, per project on the window."""
     return _brand(log, _ok(log.window())).groupBy("project_id").agg(
@@ -38,8 +44,14 @@ def brand_rates(log) -> DataFrame:
     )
 
 
-def overview(log) -> DataFrame:
-    """Headline figures per project, both periods read in one pass."""
+def month_start(now: Column, zone: str) -> Column:
+    """Start of the calendar month of a moment in a time zone, as UTC."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), now)
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), F.date_trunc("MONTH", local).cast("timestamp_ntz"))
+
+
+def overview(log, zone: str = K.DEFAULT_TIME_ZONE) -> DataFrame:
+    """Headline figures per project: answers of both periods in one pass, and the month's costs."""
     cur, ok = log.in_current(), F.col("error").isNull()
     b = _brand(log, log.window(2)).groupBy("project_id").agg(
         _n(cur & ok).alias("answers"),
@@ -50,12 +62,12 @@ def overview(log) -> DataFrame:
         _n(~cur & ok & F.col("mentioned")).alias("_pm"),
     )
     answers = _ok(log.window())
-    pairs = source_pairs(answers, log.sources, log.entities).filter("cited")
+    pairs = cited_pairs(log, answers)
     sov = pairs.join(answers.select("result_id", "project_id"), "result_id").groupBy("project_id").agg(
         _n(F.col("entity_type") == "brand").alias("_brand"), F.count("*").alias("_all")
     )
-    month = F.date_trunc("MONTH", log.now).cast("timestamp_ntz")
-    runs = log.results.filter(F.col("created_at") >= month).groupBy("project_id").agg(exact_sum(F.col("cost_usd")).alias("_runs"))
+    month = month_start(log.now, zone)
+    runs = log.runs.filter(F.col("started_at") >= month).groupBy("project_id").agg(exact_sum(F.col("cost_usd")).alias("_runs"))
     insp = log.inspections.filter(F.col("created_at") >= month).groupBy("project_id").agg(exact_sum(F.col("cost_usd")).alias("_insp"))
     j = b.join(sov, "project_id", "left").join(runs, "project_id", "left").join(insp, "project_id", "left")
     zero = F.lit(0.0)
@@ -113,7 +125,7 @@ def share_of_voice(log) -> DataFrame:
     cur = log.in_current()
     answers = _ok(log.window(2))
     totals = answers.groupBy("project_id").agg(_n(cur).alias("answers"), _n(~cur).alias("_prev"))
-    seen = entity_flags(answers, log.sources, log.texts_of(answers), log.entities).join(
+    seen = entity_flags(log, answers).join(
         answers.select("result_id", "project_id", "prompt_id", "created_at"), "result_id"
     )
     counts = seen.groupBy("project_id", "entity_id").agg(
@@ -142,7 +154,7 @@ def share_of_voice(log) -> DataFrame:
 def _uncontested(log) -> DataFrame:
     """Cited rivals in answers that do not cite the brand: (result, entity) with the answer's columns."""
     answers = _ok(log.window())
-    cited = source_pairs(answers, log.sources, log.entities).filter("cited")
+    cited = cited_pairs(log, answers)
     rivals = cited.filter(F.col("entity_type") == "competitor").select("result_id", "entity_id")
     brand = cited.filter(F.col("entity_type") == "brand").select("result_id")
     return rivals.join(brand, "result_id", "left_anti").join(
@@ -233,7 +245,7 @@ def theme_summary_ordered(log) -> DataFrame:
 def engine_stats(log) -> DataFrame:
     """Latency, cost, sources and errors per project and engine."""
     answers = log.window()
-    sizes = log.sources.groupBy("result_id").agg(F.count("*").alias("n_sources"))
+    sizes = _sizes(log, answers, "n_sources")
     a = answers.join(sizes, "result_id", "left").fillna(0, ["n_sources"])
     ok = F.col("error").isNull()
     g = a.groupBy("project_id", "engine_id").agg(
@@ -257,7 +269,7 @@ def share_of_voice_series(log, zone: str = K.DEFAULT_TIME_ZONE) -> DataFrame:
     """Citations per local day and entity; every tracked entity appears on a day that has answers."""
     answers = _ok(log.window()).withColumn("day", local_day(F.col("created_at"), zone))
     days = answers.select("project_id", "day").distinct()
-    cited = source_pairs(answers, log.sources, log.entities).filter("cited")
+    cited = cited_pairs(log, answers)
     counts = cited.join(answers.select("result_id", "project_id", "day"), "result_id").groupBy("project_id", "day", "entity_id").agg(
         F.count("*").alias("cited")
     )
@@ -296,32 +308,38 @@ def answer_status(log) -> DataFrame:
     return _by_status(log, log.window()).groupBy("project_id", "engine_id", "status").agg(F.count("*").alias("answers"))
 
 
+def prompt_positions(log) -> DataFrame:
+    """Place of every prompt in its project's list: active ones first, then the newest."""
+    order = [F.desc("active"), F.desc("created_at"), F.asc("prompt_id")]
+    listed = log.prompts.select("project_id", "prompt_id", "active", "created_at")
+    return listed.withColumn("position", F.row_number().over(W.partitionBy("project_id").orderBy(*order)))
+
+
 def prompt_matrix(log) -> DataFrame:
-    """Latest answer per prompt x engine over all time (errors included) and the prompt's rate on the window."""
+    """Every prompt in display order with its latest answer per engine over all time (errors included) and
+    its citation rate on the window; a prompt without answers has one row with an empty cell."""
     latest = log.results.groupBy("prompt_id", "engine_id").agg(
-        F.max_by(F.struct("result_id", "project_id", "error"), F.struct("created_at", "result_id")).alias("a")
-    )
-    cells = _by_status(log, latest.select("prompt_id", "engine_id", "a.*")).select(
-        "prompt_id", "project_id", "engine_id", "result_id", "status"
+        F.max_by(F.struct("result_id", "error"), F.struct("created_at", "result_id")).alias("a")
     )
+    cells = _by_status(log, latest.select("prompt_id", "engine_id", "a.*")).select("prompt_id", "engine_id", "result_id", "status")
     rates = _brand(log, _ok(log.window())).groupBy("prompt_id").agg(
         F.count("*").alias("_t"), _n(F.col("cited")).alias("_c")
     )
-    return cells.join(rates, "prompt_id", "left").select(
-        "project_id", "prompt_id", "engine_id", "result_id", "status", rate(F.col("_c"), F.col("_t")).alias("citation_rate")
+    return prompt_positions(log).join(cells, "prompt_id", "left").join(rates, "prompt_id", "left").select(
+        "project_id", "position", "prompt_id", "engine_id", "result_id", "status", rate(F.col("_c"), F.col("_t")).alias("citation_rate")
     )
 
 
 def prompt_history(log) -> DataFrame:
     """Every answer of every prompt on the window, with status and the rivals cited in it."""
     answers = log.window()
-    cited = source_pairs(_ok(answers), log.sources, log.entities).filter("cited and entity_type = 'competitor'")
+    cited = cited_pairs(log, _ok(answers)).filter("entity_type = 'competitor'")
     names = log.entities.select("entity_id", "name").distinct()
     # At most one entry per rival of the project.
     rivals = cited.join(names, "entity_id", "left").groupBy("result_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.coalesce("name", F.lit(K.UNKNOWN_COMPETITOR)))), ",").alias("competitors")
     )
-    sizes = log.sources.groupBy("result_id").agg(F.count("*").alias("sources_count"))
+    sizes = _sizes(log, answers, "sources_count")
     return (
         _by_status(log, answers)
         .join(rivals, "result_id", "left")
@@ -339,7 +357,7 @@ def prompt_competitors(log) -> DataFrame:
     """Rivals per prompt: cited and mentioned answers, zero when never seen."""
     answers = _ok(log.window())
     rivals = log.entities.filter(F.col("entity_type") == "competitor")
-    seen = entity_flags(answers, log.sources, log.texts_of(answers), rivals).join(answers.select("result_id", "prompt_id"), "result_id")
+    seen = entity_flags(log, answers).filter("entity_type = 'competitor'").join(answers.select("result_id", "prompt_id"), "result_id")
     counts = seen.groupBy("prompt_id", "entity_id").agg(
         _n(F.col("cited")).alias("cited"), _n(F.col("mentioned")).alias("mentioned")
     )
@@ -360,7 +378,7 @@ def prompt_scorecard(log) -> DataFrame:
         F.count("*").alias("ok"), _n(F.col("cited")).alias("cited"), _n(F.col("mentioned")).alias("mentioned")
     )
     rivals = log.entities.filter(F.col("entity_type") == "competitor")
-    seen = entity_flags(answers, log.sources, log.texts_of(answers), rivals).join(answers.select("result_id", "prompt_id"), "result_id")
+    seen = entity_flags(log, answers).filter("entity_type = 'competitor'").join(answers.select("result_id", "prompt_id"), "result_id")
     rival_count = seen.groupBy("prompt_id").agg(F.count_distinct("entity_id").alias("rivals"))
     return own.join(rival_count, "prompt_id", "left").fillna(0, ["rivals"])
 
@@ -398,7 +416,7 @@ def prompts_without_brand(log) -> DataFrame:
         F.count("*").alias("answers"), _n(F.col("cited")).alias("_c"), _n(F.col("mentioned")).alias("mentioned")
     )
     never = own.filter(F.col("_c") == 0).drop("_c")
-    cited = source_pairs(answers, log.sources, log.entities).filter("cited and entity_type = 'competitor'")
+    cited = cited_pairs(log, answers).filter("entity_type = 'competitor'")
     names = log.entities.select("entity_id", "name").distinct()
     rivals = (
         cited.join(answers.select("result_id", "prompt_id"), "result_id")
@@ -419,7 +437,7 @@ def prompts_without_brand(log) -> DataFrame:
 def project_stats(log) -> DataFrame:
     """Cited and mentioned answers per entity over all detections."""
     answers = _ok(log.results)
-    seen = entity_flags(answers, log.sources, log.texts_of(answers), log.entities).groupBy("entity_id").agg(
+    seen = entity_flags(log, answers).groupBy("entity_id").agg(
         _n(F.col("cited")).alias("cited"), _n(F.col("mentioned")).alias("mentioned")
     )
     e = log.entities.select("project_id", "entity_id", "entity_type", "name")

@@ -19,16 +19,15 @@ def _in_scope(rows: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.join(answers.select("result_id", "project_id"), "result_id")
 
 
-def source_pairs(answers: DataFrame, sources: DataFrame, entities: DataFrame) -> DataFrame:
-    """(result, entity) pairs found among the sources, with whether one of them is cited."""
-    owned = all_owners(_in_scope(sources.select("result_id", "domain", "cited"), answers), entities)
-    return owned.groupBy("result_id", "entity_id", "entity_type").agg(F.max("cited").alias("cited"))
-
-
 def first_ranks(answers: DataFrame, ranked: DataFrame, entities: DataFrame) -> DataFrame:
-    """Rank of the first source of each entity in each answer, among the cited sources and among all."""
-    owned = all_owners(_in_scope(ranked.select("result_id", "domain", "rank", "cited_rank"), answers), entities)
-    return owned.groupBy("result_id", "entity_id").agg(
+    """Rank of the first source of each entity in each answer, among the cited sources and among all.
+
+    Sources are reduced to one row per answer and host before owners are looked up.
+    """
+    hosts = _in_scope(ranked, answers).groupBy("result_id", "project_id", "domain").agg(
+        F.min("cited_rank").alias("cited_rank"), F.min("rank").alias("rank")
+    )
+    return all_owners(hosts, entities).groupBy("result_id", "entity_id").agg(
         F.min("cited_rank").alias("citation_rank"), F.min("rank").alias("retrieved_rank")
     )
 
@@ -104,27 +103,24 @@ def recompute_detections(detected: DataFrame, path: str) -> None:
     )
 
 
-def entity_flags(answers: DataFrame, sources: DataFrame, texts: DataFrame, entities: DataFrame) -> DataFrame:
-    """Sparse (result, entity) rows that are cited or mentioned. Pairs seen nowhere are left out:
-    sums over this table equal sums over the dense verdicts."""
-    ok = answers.filter(F.col("error").isNull())
-    cited = source_pairs(ok, sources, entities).filter("cited").select(
-        "result_id", "entity_id", "entity_type", F.lit(1).alias("c"), F.lit(0).alias("m")
-    )
-    mentioned = mention_pairs(ok, texts, entities).select(
-        "result_id", "entity_id", "entity_type", F.lit(0).alias("c"), F.lit(1).alias("m")
-    )
-    return cited.unionByName(mentioned).groupBy("result_id", "entity_id", "entity_type").agg(
-        (F.max("c") == 1).alias("cited"), (F.max("m") == 1).alias("mentioned")
-    )
+def entity_flags(log, answers: DataFrame) -> DataFrame:
+    """Sparse (result, entity) verdicts of some answers, cited or mentioned, from the stored detections.
+    Pairs seen nowhere are left out: sums over this table equal sums over the dense verdicts."""
+    ok = answers.filter(F.col("error").isNull()).select("result_id")
+    seen = log.detections.filter("cited or mentioned")
+    return seen.select("result_id", "entity_id", "entity_type", "cited", "mentioned").join(ok, "result_id", "left_semi")
+
+
+def cited_pairs(log, answers: DataFrame) -> DataFrame:
+    """(result, entity) pairs cited in some answers."""
+    return entity_flags(log, answers).filter("cited").select("result_id", "entity_id", "entity_type")
 
 
-def brand_flags(answers: DataFrame, sources: DataFrame, texts: DataFrame, entities: DataFrame) -> DataFrame:
+def brand_flags(log, answers: DataFrame) -> DataFrame:
     """Every answer (errors included) with the verdict on its own brand."""
-    brands = entities.filter(F.col("entity_type") == "brand")
-    flags = entity_flags(answers, sources, texts, brands).select("result_id", "cited", "mentioned")
-    return answers.join(flags, "result_id", "left").withColumns(
-        {"cited": F.coalesce("cited", F.lit(False)), "mentioned": F.coalesce("mentioned", F.lit(False))}
+    brand = log.detections.filter("entity_type = 'brand' and (cited or mentioned)").select("result_id", "cited", "mentioned")
+    return answers.join(brand, "result_id", "left").withColumns(
+        {c: F.col("error").isNull() & F.coalesce(c, F.lit(False)) for c in ("cited", "mentioned")}
     )
 
 

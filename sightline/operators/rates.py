@@ -50,7 +50,3 @@ def theme_order(theme: Column) -> list[Column]:
     from sightline.functions.text import normalize_text
 
     return [(theme == K.NO_THEME).cast("int").asc(), normalize_text(theme).asc(), theme.asc()]
-
-
-def semi_in(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    return rows.join(keys.select(on), on, "left_semi")

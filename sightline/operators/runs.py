@@ -10,28 +10,20 @@ from sightline.functions import constants as K
 from sightline.functions.pricing import estimate_cost, exact_sum, price_of
 from sightline.operators.detect import brand_flags
 from sightline.operators.rates import euros
-from sightline.operators.windows import numbered_by_id, top_per_group
+from sightline.operators.windows import ordinal, top_per_group
 
 _CAP_BLOCK = 1000
 
 
 def runs(log) -> DataFrame:
-    """Runs with their counters, recomputed from the answers."""
-    r = log.results.groupBy("run_id", "project_id").agg(
-        F.min("created_at").alias("_first"),
-        F.max("created_at").alias("_last"),
+    """Every run with its counters, recomputed from its answers; a run without answers counts 0."""
+    counted = log.results.groupBy("run_id").agg(
         F.count("*").alias("done_count"),
         F.count_if(F.col("error").isNotNull()).alias("error_count"),
         exact_sum(F.col("cost_usd")).alias("cost_usd"),
     )
-    live = F.col("_last") >= F.date_trunc("MONTH", log.now).cast("timestamp_ntz")
-    return r.select(
-        "run_id", "project_id",
-        F.col("_first").alias("started_at"),
-        F.when(~live, F.col("_last")).alias("finished_at"),
-        F.when(live, "running").otherwise("done").alias("status"),
-        "done_count", "error_count", "cost_usd",
-    )
+    stored = log.runs.select("run_id", "project_id", "started_at", "finished_at", "status", "planned_count")
+    return stored.join(counted, "run_id", "left").fillna(0, ["done_count", "error_count"]).fillna(0.0, ["cost_usd"])
 
 
 def runs_recent(log, k: int = 50) -> DataFrame:
@@ -42,12 +34,12 @@ def run_duration(log) -> DataFrame:
     """Milliseconds until the end, or until now for a live run; null for a run that never ended."""
     live = F.col("status").isin("pending", "running")
     end = F.coalesce("finished_at", F.when(live, log.now))
-    return runs(log).select("run_id", F.timestamp_diff("MILLISECOND", F.col("started_at"), end).alias("duration_ms"))
+    return log.runs.select("run_id", F.timestamp_diff("MILLISECOND", F.col("started_at"), end).alias("duration_ms"))
 
 
 def run_detail(log) -> DataFrame:
     """Answers of every run with prompt text and the verdict on the brand."""
-    b = brand_flags(log.results, log.sources, log.texts_of(log.results), log.entities)
+    b = brand_flags(log, log.results)
     return b.join(log.prompts.select("prompt_id", "text"), "prompt_id").select(
         "run_id", "result_id", "prompt_id", "text", "engine_id", "repeat_index", "created_at", "error", "latency_ms",
         "cost_usd", "cited", "mentioned",
@@ -64,20 +56,20 @@ def plan_tasks(log) -> DataFrame:
     engines = log.project_engines.filter("enabled and usable").select(
         "project_id", "engine_id", F.col("ordinal").alias("engine_ordinal"), F.explode(modes).alias("web_search")
     )
-    prompts = log.prompts.filter("active").select("project_id", "prompt_id", "web_search")
+    prompts = log.prompts.filter("active").select("project_id", "prompt_id", "web_search", "created_at")
     repeats = log.projects.select("project_id", "repeats")
     tasks = prompts.join(engines, ["project_id", "web_search"]).join(repeats, "project_id").select(
-        "project_id", "prompt_id", "engine_id", "engine_ordinal",
+        "project_id", "prompt_id", "created_at", "engine_id", "engine_ordinal",
         F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("repeat_index"),
     )
-    # Repeats are at most 10, so prompt and repeat make one increasing integer.
-    keyed = tasks.withColumn("_id", F.col("prompt_id") * 10 + F.col("repeat_index"))
-    return numbered_by_id(keyed, ["project_id", "engine_id"], "_id", "turn").drop("_id")
+    return ordinal(
+        tasks, ["project_id", "engine_id"], ["created_at", "prompt_id", "repeat_index"], "turn", [F.date_trunc("DAY", F.col("created_at"))]
+    ).drop("created_at")
 
 
 def remaining_tasks(log) -> DataFrame:
     """Planned tasks of each project's latest run that have no answer yet."""
-    latest = log.results.groupBy("project_id").agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id"))
+    latest = log.runs.groupBy("project_id").agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))
     plan = plan_tasks(log).join(latest, "project_id").select("run_id", "project_id", "prompt_id", "engine_id", "repeat_index")
     done = log.results.select("run_id", "prompt_id", "engine_id", "repeat_index")
     return plan.join(done, ["run_id", "prompt_id", "engine_id", "repeat_index"], "left_anti")
@@ -124,14 +116,16 @@ def _money(column: Column) -> Column:
 
 
 def run_outcome(log) -> DataFrame:
-    """Outcome of every run: failed when all tasks failed or the cap was exceeded, else done."""
-    tasks = numbered_by_id(
-        log.results.select("run_id", "project_id", "result_id", "error", "cost_usd"), ["run_id"], "result_id", "task_no"
-    ).withColumn("batch", F.ceil(F.col("task_no") / K.TASKS_PER_BATCH))
+    """Outcome of every run: failed when all tasks failed (or there were none) or the cap was exceeded, else done.
+
+    Tasks count in the order of their answers, a few to a batch.
+    """
+    answers = log.results.select("run_id", "result_id", "created_at", "error", "cost_usd")
+    tasks = ordinal(answers, ["run_id"], ["created_at", "result_id"], "task_no", [F.date_trunc("HOUR", F.col("created_at"))])
+    tasks = tasks.withColumn("batch", F.ceil(F.col("task_no") / K.TASKS_PER_BATCH))
     costs = tasks.groupBy("run_id", "batch").agg(F.sum(_money(F.col("cost_usd"))).alias("cost"))
-    totals = tasks.groupBy("run_id", "project_id").agg(
-        F.count("*").alias("tasks"), F.count_if(F.col("error").isNotNull()).alias("errors")
-    )
+    counted = log.results.groupBy("run_id").agg(F.count("*").alias("tasks"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    totals = log.runs.select("run_id", "project_id").join(counted, "run_id", "left").fillna(0, ["tasks", "errors"])
     caps = totals.join(log.projects.select("project_id", "cost_cap_eur"), "project_id").select(
         "run_id", _money(F.col("cost_cap_eur") / K.USD_TO_EUR).alias("cap")
     )
@@ -151,7 +145,7 @@ def engine_avg_cost(log) -> DataFrame:
         (exact_sum(F.col("cost_usd")) / F.count("*")).alias("_avg")
     )
     fallback = estimate_cost(
-        price_of(F.col("model"), F.col("provider")),
+        price_of(F.col("model"), F.col("provider"), F.col("pricing")),
         F.lit(K.UNMEASURED_INPUT_TOKENS), F.lit(K.UNMEASURED_OUTPUT_TOKENS), F.lit(1),
     )
     return log.engines.join(measured, "engine_id", "left").select(
@@ -160,13 +154,12 @@ def engine_avg_cost(log) -> DataFrame:
 
 
 def answer_cost(log) -> DataFrame:
-    """Price-list cost of every answer of the window from its usage."""
-    usage = log.window().select("result_id", "engine_id", "latency_ms").join(
-        log.engines.select("engine_id", "provider", "model"), "engine_id"
-    )
-    price = price_of(F.col("model"), F.col("provider"))
-    cost = estimate_cost(price, F.col("latency_ms") * 3, F.col("latency_ms"), F.col("result_id") % 4)
-    return usage.select("result_id", "engine_id", F.round(cost, 9).alias("cost_usd"))
+    """Price-list cost of every answer of the window from its usage; an engine's own prices come first."""
+    engines = log.engines.select("engine_id", "provider", "model", "pricing")
+    used = log.window().select("result_id", "engine_id", "usage").join(engines, "engine_id")
+    price = price_of(F.col("model"), F.col("provider"), F.col("pricing"))
+    cost = estimate_cost(price, F.col("usage.input_tokens"), F.col("usage.output_tokens"), F.col("usage.searches"))
+    return used.select("result_id", "engine_id", F.round(cost, 9).alias("cost_usd"))
 
 
 def inspection_cost_estimate(log) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.urls import bare_url, normalize_url
-from sightline.operators.detect import source_pairs
+from sightline.operators.detect import cited_pairs
 from sightline.operators.domains import all_owners, with_owner
 from sightline.operators.rates import rate
 from sightline.operators.windows import top_per_group
@@ -65,7 +65,7 @@ def competitor_pages(log, k: int = 8) -> DataFrame:
 def domains_instead(log, k: int = 30) -> DataFrame:
     """Third-party hosts in answers that do not cite the brand."""
     answers = log.window().filter(F.col("error").isNull())
-    brand = source_pairs(answers, log.sources, log.entities.filter(F.col("entity_type") == "brand")).filter("cited")
+    brand = cited_pairs(log, answers).filter("entity_type = 'brand'")
     # One row per (answer, host): the distinct count becomes a plain count.
     seen = (
         _sources(log, answers, "engine_id")

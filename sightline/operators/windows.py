@@ -6,22 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-
-
-def latest_per_group(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the greatest by ``order``: an aggregate, so each task pre-reduces its rows."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest]).select(*df.columns)
-
-
-def first_per_group(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest]).select(*df.columns)
-
-
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """Top k rows per key. Spark cuts each task to k rows per key before the shuffle
     (window group limit), so a hot key costs k rows per task, not all of its rows."""
@@ -30,55 +14,30 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, r
 
 
 def ordinal(
-    df: DataFrame, keys: list[str], order: list[str], out: str, slices: list[Column], hot_rows: int = HOT_ROWS,
-    flag: str | None = None, flag_out: str = "flag_rank",
+    df: DataFrame, keys: list[str], order: list[str], out: str, slices: list[Column], flag: str | None = None,
+    flag_out: str = "flag_rank",
 ) -> DataFrame:
     """1-based position of every row within its key, and among the rows with ``flag`` set.
 
-    Keys of ordinary size use a plain window. A key with more than ``hot_rows``
-    rows is cut into ``slices`` (leading parts of the order): rows are numbered
+    Every key is cut into ``slices`` (leading parts of the order): rows are numbered
     inside their slice and shifted by the rows of the slices before it, so no
-    task ever sorts the whole key. Without hot keys the second branch is empty
-    and adaptive execution drops it.
+    task ever sorts the whole key.
     """
     flagged = F.col(flag).cast("long") if flag else F.lit(0).cast("long")
-
-    def numbered(rows: DataFrame, by: list[str], before: Column, flagged_before: Column) -> DataFrame:
-        w = W.partitionBy(*by).orderBy(*order)
-        upto = w.rowsBetween(W.unboundedPreceding, 0)
-        added = {out: (F.row_number().over(w) + before).cast("long")}
-        if flag:
-            added[flag_out] = F.when(F.col(flag), F.sum(flagged).over(upto) + flagged_before)
-        return rows.withColumns(added)
-
-    zero = F.lit(0).cast("long")
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
-    plain = numbered(df.join(hot, keys, "left_anti"), keys, zero, zero)
-
     names = [f"_slice{i}" for i in range(len(slices))]
-    sliced = df.join(hot, keys, "left_semi").select("*", *[s.alias(n) for s, n in zip(slices, names)])
+    sliced = df.select("*", *[s.alias(n) for s, n in zip(slices, names)])
     cells = sliced.groupBy(*keys, *names).agg(F.count("*").alias("_n"), F.sum(flagged).alias("_f"))
     before = W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
     offsets = cells.select(
         *keys, *names, F.coalesce(F.sum("_n").over(before), zero).alias("_before"), F.coalesce(F.sum("_f").over(before), zero).alias("_fbefore")
     )
-    parts = numbered(sliced.join(offsets, [*keys, *names]), [*keys, *names], F.col("_before"), F.col("_fbefore"))
-    return plain.unionByName(parts.select(*plain.columns))
-
-
-def numbered_by_id(df: DataFrame, keys: list[str], id_col: str, out: str, width: int = 100_000) -> DataFrame:
-    """1-based position by a unique integer id within each key, in blocks of ``width`` ids:
-    a block holds at most ``width`` rows, and only block counts are summed across blocks."""
-    block = df.withColumn("_block", F.floor(F.col(id_col) / width))
-    counts = block.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(*keys, "_block").orderBy(id_col)
-    return (
-        block.join(offsets, [*keys, "_block"])
-        .withColumn(out, (F.row_number().over(inside) + F.col("_before")).cast("long"))
-        .drop("_block", "_before")
-    )
+    inside = W.partitionBy(*keys, *names).orderBy(*order)
+    added = {out: (F.row_number().over(inside) + F.col("_before")).cast("long")}
+    if flag:
+        upto = inside.rowsBetween(W.unboundedPreceding, 0)
+        added[flag_out] = F.when(F.col(flag), F.sum(flagged).over(upto) + F.col("_fbefore"))
+    return sliced.join(offsets, [*keys, *names]).withColumns(added).drop(*names, "_before", "_fbefore")
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

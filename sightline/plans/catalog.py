@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators import answers as A
+from sightline.operators import details as X
 from sightline.operators import detect as D
+from sightline.operators import ranks as N
 from sightline.operators import source_metrics as S
 from sightline.sources.binding import ENGINE_MODELS, AnswerLog
 
@@ -40,7 +42,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 for _name, _op in {
     "brand_rates": A.brand_rates,
-    "overview": A.overview,
+    "overview": lambda log: A.overview(log, zone="UTC"),
     "engine_rates": A.engine_rates,
     "engine_cards": A.engine_cards,
     "share_of_voice": A.share_of_voice,
@@ -75,6 +77,7 @@ for _name, _op in {
     "detections": lambda log: plain(
         D.detections(log.results, log.ranked_of(log.results), log.texts_of(log.results), log.entities)
     ),
+    "stored_detections": lambda log: plain(log.detections),
 }.items():
     query(_name)(_op)
 
@@ -85,7 +88,7 @@ from sightline.sources import ingest, responses  # noqa: E402
 from sightline.sources.binding import ts  # noqa: E402
 
 for _name, _op in {
-    "run_counters": lambda log: R.runs(log).select("run_id", "project_id", "status", "done_count", "error_count", "cost_usd"),
+    "run_counters": lambda log: R.runs(log).select("run_id", "project_id", "status", "planned_count", "done_count", "error_count", "cost_usd"),
     "runs_recent": lambda log: plain(R.runs_recent(log)),
     "run_duration": R.run_duration,
     "run_detail": lambda log: plain(R.run_detail(log)),
@@ -124,9 +127,75 @@ def _prompts(log):
 @query("prompt_search")
 def _prompt_search(log):
     """Prompts whose text holds 9, with Europe as tag, active ones only."""
-    return log.prompts.filter(
-        F.contains(F.lower("text"), F.lit("9")) & F.array_contains("tags", "EUROPE") & F.col("active")
-    ).select("project_id", "prompt_id", "text")
+    return X.prompt_search(log, text="9", tag="EUROPE", active=True)
+
+
+@query("prompt_positions")
+def _prompt_positions(log):
+    return plain(A.prompt_positions(log))
+
+
+@query("list_engines")
+def _engines(log):
+    return X.list_engines(log)
+
+
+@query("list_inspections")
+def _inspection_list(log):
+    return plain(X.list_inspections(log))
+
+
+def _told(column: str, *fields: str) -> Column:
+    """A list of structs as text, to compare across engines."""
+    parts = lambda s: F.concat_ws(":", *[s[f].cast("string") for f in fields])
+    return F.coalesce(F.array_join(F.transform(column, parts), ","), F.lit("")).alias(column)
+
+
+@query("result_detail")
+def _result_detail(log):
+    """Every answer of the window with its verdicts and the dictionary of its project."""
+    d = X.result_detail(log, log.window().select("result_id"))
+    return d.select(
+        "result_id", F.col("prompt.text").alias("prompt"), F.col("engine.provider").alias("provider"), F.col("run.status").alias("run_status"),
+        _told("detections", "entity_type", "entity_id", "cited", "citation_rank", "mentioned", "mention_rank"), _told("entities", "entity_type", "name"),
+    )
+
+
+@query("nested_detail")
+def _nested(log):
+    return X.nested_detail(log).select("project_id", "brand_name", _told("competitors", "entity_id", "name"))
+
+
+@query("inspection_detail")
+def _inspection_detail(log):
+    d = X.inspection_detail(log, I.answer_flags(log))
+    return d.select("inspection_id", "url", "status", _told("answers", "question_index", "engine_id", "result_id", "url_cited"))
+
+
+for _name, _op in {
+    "wilson_interval": N.wilson_interval,
+    "mean_citation_rank": N.mean_citation_rank,
+    "brand_rank_among_domains": N.brand_rank_among_domains,
+    "taken_by": N.taken_by,
+    "competitor_duel": N.competitor_duel,
+}.items():
+    query(_name)(_op)
+
+
+@query("signal_calibration")
+def _calibration(log):
+    """Three signals of a URL held against whether answers cite it, per engine."""
+    from sightline.functions.urls import normalize_url
+
+    answers = log.window().select("result_id", "engine_id")
+    cited = log.sources.join(answers, "result_id").groupBy("engine_id", normalize_url(F.col("url")).alias("page")).agg(
+        F.max("cited").alias("cited")
+    )
+    number = F.regexp_extract("page", "([0-9]+)$", 1).cast("int")
+    pages = cited.select("page").distinct().select(
+        "page", (number % 2 == 0).alias("even"), (number >= 25).alias("late"), F.contains("page", F.lit("s1")).alias("one")
+    )
+    return N.signal_calibration(pages, cited, ["even", "late", "one"])
 
 
 @query("tag_vocabulary")
@@ -136,19 +205,35 @@ def _tags(log):
 
 @query("entity_dictionary")
 def _entities(log):
-    return plain(log.entities).drop("ordinal")
+    return plain(log.entities).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @query("orphan_checks")
 def _orphans(log):
-    """Rows without a parent, per relation."""
+    """Rows per relation, and how many of them lack their parent."""
     from sightline.schema import orphans
 
     lines = log.raw("lineitem").select(F.col("l_orderkey").alias("result_id"))
-    answers = log.raw("orders").select(F.col("o_orderkey").alias("result_id"), F.col("o_custkey").alias("prompt_id"))
-    a = orphans(lines, "result_id", answers, "result_id").select(F.lit("sources.result_id").alias("relation"))
-    b = orphans(answers, "prompt_id", log.prompt_projects, "prompt_id").select(F.lit("results.prompt_id").alias("relation"))
-    return a.union(b).groupBy("relation").agg(F.count("*").alias("orphans"))
+    answers = log.raw("orders").select(F.col("o_orderkey").alias("result_id"), F.col("o_custkey").alias("prompt_id"), F.col("o_orderpriority").alias("engine_id"))
+    runs = log.runs.select("run_id", "project_id")
+    checks = {
+        "sources.result_id": (lines, "result_id", answers),
+        "results.prompt_id": (answers, "prompt_id", log.prompt_projects),
+        "results.engine_id": (answers, "engine_id", log.engines),
+        "results.run_id": (log.results, "run_id", runs),
+        "runs.project_id": (runs, "project_id", log.projects),
+        "prompts.project_id": (log.prompt_projects, "project_id", log.projects),
+        "competitors.project_id": (log.entities, "project_id", log.projects),
+        "detections.result_id": (log.detections, "result_id", answers),
+        "inspection_answers.inspection_id": (log.inspection_answers, "inspection_id", log.inspections),
+        "documents.labels": (log.raw("labels").select("doc_id"), "doc_id", log.raw("documents")),
+    }
+    out = None
+    for relation, (child, key, parent) in checks.items():
+        lost = orphans(child.select(key), key, parent.select(key).distinct(), key).agg(F.count("*").alias("orphans"))
+        row = child.agg(F.count("*").alias("rows")).join(lost).select(F.lit(relation).alias("relation"), "rows", "orphans")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 # --- ingest --------------------------------------------------------------------------------
@@ -287,3 +372,21 @@ def _spans(log):
     t = log.texts_of(w).join(w.select("result_id", "project_id"), "result_id").join(terms, "project_id")
     spans = t.select("result_id", F.explode(D.mention_spans("raw_text", "terms")).alias("s"))
     return spans.select("result_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), F.col("s.term").alias("term"))
+
+
+# Names of the survey for queries registered under a shorter one.
+ALIASES = {
+    "ingest_results_idempotent": "ingest_results",
+    "upsert_latest_by_key": "upsert_page_cache",
+    "promote_questions_to_prompts": "promote_questions",
+    "resolve_source_redirects": "resolve_redirects",
+    "verdict": "inspection_verdict",
+    "cell_kind": "inspection_cells",
+    "answer_value": "result_per_engine",
+    "round_robin_order": "plan_tasks",
+    "running_cost_cap": "run_outcome",
+    "estimate_cost": "answer_cost",
+    "page_citations": "brand_page_citations",
+}
+for _alias, _name in ALIASES.items():
+    QUERIES[_alias] = QUERIES[_name]

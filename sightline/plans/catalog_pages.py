@@ -15,7 +15,7 @@ from sightline.operators.page_type import with_page_type
 from sightline.operators.signals import content_hash, extract_signals, page_info
 from sightline.plans.catalog import plain, query
 from sightline.sources.binding import ts
-from sightline.sources.stage import spread, staged
+from sightline.sources.stage import dealt
 
 NOW = "2026-09-08 12:00:00"
 
@@ -132,20 +132,20 @@ def _local(log):
 
 # --- pages ------------------------------------------------------------------------------------
 def pages(log) -> DataFrame:
-    return spread(log.raw("pages"), "page_id")
+    return dealt(log.raw("pages"), "page_id")
 
 
 def documents(log) -> DataFrame:
-    return spread(log.raw("documents").select("doc_id", "text"), "doc_id")
+    return dealt(log.raw("documents").select("doc_id", "text"), "doc_id")
 
 
 def user_turns(log) -> DataFrame:
-    return spread(log.raw("conversations").filter("role = 'user'").select("conv_id", "turn", "text"), "conv_id")
+    return dealt(log.raw("conversations").filter("role = 'user'").select("conv_id", "turn", "text"), "conv_id")
 
 
 def typed_signals(log) -> DataFrame:
-    """Signals and page type, written once: pages are parsed a single time per query."""
-    return staged(with_page_type(extract_signals(pages(log))).drop("main_text", "body_text"), "signals")
+    """Signals and page type of every page; lazy, so a query computes only the signals it reads."""
+    return with_page_type(extract_signals(pages(log))).drop("main_text", "body_text")
 
 
 @query("page_info")

@@ -9,7 +9,6 @@ from sightline.functions import constants as K
 from sightline.operators.detect import detect_rows
 from sightline.plans.catalog import plain, query
 from sightline.sources.binding import SCHEMAS
-from sightline.sources.stage import spread
 from sightline.streaming import jobs
 
 
@@ -38,7 +37,7 @@ def listed_answers(log, orders: DataFrame) -> DataFrame:
 
 @query("detect_rows")
 def _detect_rows(log):
-    return plain(detect_rows(listed_answers(log, spread(log.raw("orders"), "o_orderkey")), log.entities))
+    return plain(detect_rows(listed_answers(log, log.raw("orders")), log.entities))
 
 
 @query("stream_detect")
@@ -77,4 +76,4 @@ def _stream_cap(log):
     caps = log.projects.select("project_id", (F.col("cost_cap_eur") / K.USD_TO_EUR).alias("cap_usd"))
     answers = log.answers_from(_stream(log, "orders")).select("run_id", "project_id", "cost_usd")
     told = jobs.run_available(jobs.cost_cap(answers, caps), "stream-cap", "update")
-    return told.select("run_id", F.round("cap_usd", 6).alias("cap_usd"))
+    return told.select("run_id", F.round("cap_usd", 6).alias("cap_usd"), F.round("spent_usd", 6).alias("spent_usd"))

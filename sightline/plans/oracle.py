@@ -221,9 +221,10 @@ def answers_sql() -> None:
     st = "CASE WHEN error IS NOT NULL THEN 'error' WHEN cited THEN 'cited' WHEN mentioned THEN 'mentioned' ELSE 'none' END"
     q["answer_status"] = with_ctes(f"SELECT project_id, engine_id, {st} AS status, count(*) AS answers FROM b GROUP BY 1,2,3")
     q["prompt_matrix"] = with_ctes(
-        f"""SELECT l.project_id, l.prompt_id, l.engine_id, l.result_id, {st} AS status, r.c/nullif(r.t,0) AS citation_rate
-        FROM lb l LEFT JOIN r USING (prompt_id)""",
+        f"""SELECT p.project_id, p.position, p.prompt_id, l.engine_id, l.result_id, CASE WHEN l.result_id IS NOT NULL THEN {st} END AS status, r.c/nullif(r.t,0) AS citation_rate
+        FROM pos p LEFT JOIN lb l USING (prompt_id) LEFT JOIN r USING (prompt_id)""",
         extra={
+            "pos": "SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY active DESC, prompt_id DESC) AS position FROM prompts",
             "lb": "SELECT latest.*, coalesce(brand.cited,false) AS cited, coalesce(brand.mentioned,false) AS mentioned FROM latest LEFT JOIN brand USING (result_id)",
             "r": "SELECT prompt_id, count(*) AS t, count(*) FILTER (cited) AS c FROM b WHERE error IS NULL GROUP BY 1",
         },

@@ -7,10 +7,10 @@ from sightline.plans.oracle import AS_OF, SQL, big, with_ctes
 RUNS = f"""SELECT run_id, project_id, min(created_at) AS started_at,
     CASE WHEN max(created_at)<date_trunc('month',{AS_OF}) THEN max(created_at) END AS finished_at,
     CASE WHEN max(created_at)>=date_trunc('month',{AS_OF}) THEN 'running' ELSE 'done' END AS status,
-    count(*) AS done_count, count(*) FILTER (error IS NOT NULL) AS error_count, CAST(sum(cost_dec) AS DOUBLE) AS cost_usd
+    count(*) AS planned_count, count(*) AS done_count, count(*) FILTER (error IS NOT NULL) AS error_count, CAST(sum(cost_dec) AS DOUBLE) AS cost_usd
     FROM results GROUP BY 1,2"""
 FMT = "'%Y-%m-%d %H:%M:%S'"
-PRICES = """SELECT * FROM (VALUES ('1-URGENT',0.75,4.5,0.01),('2-HIGH',1.0,5.0,0.01),('3-MEDIUM',1.0,1.0,0.008),('4-NOT SPECIFIED',0.75,3.75,0.014),('5-LOW',2.5,15.0,0.01)) t(engine_id,pi,po,ps)"""
+PRICES = """SELECT * FROM (VALUES ('1-URGENT',0.75,4.5,0.01),('2-HIGH',1.0,5.0,0.01),('3-MEDIUM',1.0,1.0,0.008),('4-NOT SPECIFIED',0.75,3.75,0.014),('5-LOW',2.0,12.0,0.02)) t(engine_id,pi,po,ps)"""
 PRICE_CAST = "CAST(pi AS DOUBLE) AS pi, CAST(po AS DOUBLE) AS po, CAST(ps AS DOUBLE) AS ps"
 AVG_COST = {
     "prices": f"SELECT engine_id, {PRICE_CAST} FROM ({PRICES})",
@@ -59,9 +59,9 @@ NORM_PAGE_URL = """(
 
 def runs_sql() -> None:
     q = SQL
-    q["run_counters"] = with_ctes("SELECT run_id, project_id, status, done_count, error_count, cost_usd FROM rn", extra={"rn": RUNS})
+    q["run_counters"] = with_ctes("SELECT run_id, project_id, status, planned_count, done_count, error_count, cost_usd FROM rn", extra={"rn": RUNS})
     q["runs_recent"] = with_ctes(
-        f"SELECT run_id, project_id, strftime(started_at,{FMT}) AS started_at, strftime(finished_at,{FMT}) AS finished_at, status, done_count, error_count, cost_usd, rank FROM t WHERE rank<=50",
+        f"SELECT run_id, project_id, strftime(started_at,{FMT}) AS started_at, strftime(finished_at,{FMT}) AS finished_at, status, planned_count, done_count, error_count, cost_usd, rank FROM t WHERE rank<=50",
         extra={"rn": RUNS, "t": "SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY started_at DESC, run_id) AS rank FROM rn"},
     )
     q["run_duration"] = with_ctes(
@@ -82,7 +82,7 @@ def runs_sql() -> None:
         """SELECT t.run_id, CASE WHEN stop_batch IS NOT NULL OR errors=tasks THEN 'failed' ELSE 'done' END AS status,
         CASE WHEN stop_batch IS NOT NULL THEN least(stop_batch*3,tasks) ELSE tasks END AS done, stop_batch FROM tot t LEFT JOIN st USING (run_id)""",
         extra={
-            "tk": "SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY result_id)+2)//3 AS batch FROM results",
+            "tk": "SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY created_at, result_id)+2)//3 AS batch FROM results",
             "tot": "SELECT run_id, project_id, count(*) AS tasks, count(*) FILTER (error IS NOT NULL) AS errors FROM tk GROUP BY 1,2",
             "bt": "SELECT run_id, project_id, batch, sum(cost_dec) AS c FROM tk GROUP BY 1,2,3",
             "cu": "SELECT *, sum(c) OVER (PARTITION BY run_id ORDER BY batch) AS cum FROM bt",
@@ -164,9 +164,27 @@ def ingest_sql() -> None:
     )
     q["prompt_search"] = with_ctes("SELECT project_id, prompt_id, text FROM prompts WHERE contains(lower(text),'9') AND list_contains(tags,'EUROPE') AND active")
     q["tag_vocabulary"] = with_ctes("SELECT DISTINCT project_id, unnest(tags) AS tag FROM prompts")
-    q["entity_dictionary"] = with_ctes("SELECT project_id, entity_id, entity_type, name, name AS terms, domain AS domains FROM entities")
-    q["orphan_checks"] = """SELECT relation, count(*) AS orphans FROM (SELECT 'sources.result_id' AS relation FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
-        UNION ALL SELECT 'results.prompt_id' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) GROUP BY 1"""
+    q["entity_dictionary"] = with_ctes("SELECT project_id, entity_id, entity_type, CASE entity_type WHEN 'brand' THEN 0 ELSE entity_id+1 END AS ordinal, name, name AS terms, domain AS domains FROM entities")
+    def relation(name: str, child: str, key: str, parent: str) -> str:
+        return f"SELECT '{name}' AS relation, count(*) AS rows, count(*) FILTER ({key} NOT IN (SELECT {key} FROM {parent})) AS orphans FROM {child}"
+
+    q["orphan_checks"] = with_ctes(
+        " UNION ALL ".join(
+            [
+                relation("sources.result_id", "(SELECT l_orderkey AS result_id FROM lineitem)", "result_id", "results"),
+                relation("results.prompt_id", "(SELECT o_custkey AS prompt_id FROM orders)", "prompt_id", "prompts"),
+                relation("results.engine_id", "(SELECT o_orderpriority AS engine_id FROM orders)", "engine_id", "engines"),
+                relation("results.run_id", "results", "run_id", "rn"),
+                relation("runs.project_id", "rn", "project_id", "projects"),
+                relation("prompts.project_id", "prompts", "project_id", "projects"),
+                relation("competitors.project_id", "entities", "project_id", "projects"),
+                relation("detections.result_id", "flags", "result_id", "results"),
+                relation("inspection_answers.inspection_id", "ianswers", "inspection_id", "inspections"),
+                relation("documents.labels", "labels", "doc_id", "documents"),
+            ]
+        ),
+        extra={"rn": RUNS},
+    )
     q["import_prompts_csv"] = with_ctes(
         "SELECT text, CASE WHEN prompt_id%2=0 THEN 'en' ELSE 'fr' END AS lang, array_to_string(tags,',') AS tags, prompt_id%3<>0 AS web_search FROM prompts"
     )
@@ -211,5 +229,96 @@ def ingest_sql() -> None:
     )
 
 
+
+def detail_sql() -> None:
+    q = SQL
+    verdicts = """SELECT f.result_id, f.entity_type, f.entity_id, f.cited, f.mentioned, x.rank AS citation_rank, y.rank AS mention_rank FROM flags f
+        LEFT JOIN (SELECT r.result_id, e.entity_id, e.entity_type, min(c.rank) AS rank FROM cited_ranked c JOIN results r USING (result_id)
+            JOIN entities e ON e.project_id=r.project_id AND (c.domain=e.domain OR c.domain LIKE '%.'||e.domain) GROUP BY 1,2,3) x USING (result_id, entity_id, entity_type)
+        LEFT JOIN (SELECT result_id, entity_id, entity_type, row_number() OVER (PARTITION BY result_id ORDER BY pos, CASE entity_type WHEN 'brand' THEN -1 ELSE entity_id END) AS rank
+            FROM mention_pairs) y USING (result_id, entity_id, entity_type)"""
+    q["result_detail"] = with_ctes(
+        """SELECT w.result_id, p.text AS prompt, g.provider, rn.status AS run_status, coalesce(d.detections,'') AS detections, en.entities
+        FROM win w JOIN prompts p USING (prompt_id) JOIN pr g ON g.engine_id=w.engine_id JOIN rn ON rn.run_id=w.run_id
+        LEFT JOIN dl d ON d.result_id=w.result_id JOIN en ON en.project_id=w.project_id""",
+        extra={
+            "rn": RUNS,
+            "pr": "SELECT * FROM (VALUES ('1-URGENT','openai'),('2-HIGH','anthropic'),('3-MEDIUM','perplexity'),('4-NOT SPECIFIED','google'),('5-LOW','openai')) t(engine_id,provider)",
+            "vd": verdicts,
+            "dl": """SELECT result_id, string_agg(concat_ws(':', entity_type, entity_id, cited, citation_rank, mentioned, mention_rank), ',' ORDER BY entity_type, entity_id) AS detections FROM vd GROUP BY 1""",
+            "en": """SELECT project_id, string_agg(entity_type||':'||name, ',' ORDER BY CASE entity_type WHEN 'brand' THEN -1 ELSE entity_id END) AS entities FROM entities GROUP BY 1""",
+        },
+    )
+    q["stored_detections"] = SQL["detections"]
+    q["nested_detail"] = with_ctes(
+        """SELECT b.project_id, b.name AS brand_name, coalesce((SELECT string_agg(entity_id||':'||name, ',' ORDER BY entity_id) FROM entities c
+        WHERE c.project_id=b.project_id AND c.entity_type='competitor'),'') AS competitors FROM entities b WHERE b.entity_type='brand'"""
+    )
+    q["inspection_detail"] = with_ctes(
+        """SELECT i.inspection_id, i.url, i.status, coalesce(a.answers,'') AS answers FROM inspections i LEFT JOIN (
+        SELECT inspection_id, string_agg(concat_ws(':', question_index, engine_id, result_id, url_cited), ',' ORDER BY question_index, engine_id) AS answers FROM fl GROUP BY 1) a USING (inspection_id)""",
+        extra=FLAGS,
+    )
+    q["prompt_positions"] = with_ctes(
+        f"""SELECT project_id, prompt_id, active, strftime(TIMESTAMP '1995-01-01'+to_minutes(CAST(prompt_id AS INTEGER)),{FMT}) AS created_at,
+        row_number() OVER (PARTITION BY project_id ORDER BY active DESC, prompt_id DESC) AS position FROM prompts"""
+    )
+    q["list_engines"] = with_ctes(
+        """SELECT j.project_id, e.engine_id, e.engine_id AS label, provider, model, enabled, row_number() OVER (PARTITION BY j.project_id ORDER BY e.engine_id) AS position
+        FROM projects j CROSS JOIN engines e JOIN pr USING (engine_id)""",
+        extra={
+            "pr": """SELECT * FROM (VALUES ('1-URGENT','openai','gpt-5.4-mini'),('2-HIGH','anthropic','claude-haiku-4-5'),('3-MEDIUM','perplexity','sonar'),
+                ('4-NOT SPECIFIED','google','gemini-3.8-flash'),('5-LOW','openai','unlisted-model')) t(engine_id,provider,model)"""
+        },
+    )
+    q["list_inspections"] = with_ctes(
+        f"""SELECT project_id, inspection_id, url, status, strftime(created_at,{FMT}) AS created_at, position FROM (
+        SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, inspection_id) AS position FROM inspections) WHERE position<=50"""
+    )
+    bounds = lambda c: (
+        f"({c}/n+3.8416/(2*n)-1.96*sqrt(({c}/n)*(1-{c}/n)/n+3.8416/(4*n*n)))/(1+3.8416/n)",
+        f"({c}/n+3.8416/(2*n)+1.96*sqrt(({c}/n)*(1-{c}/n)/n+3.8416/(4*n*n)))/(1+3.8416/n)",
+    )
+    (cl, ch), (ml, mh) = bounds("c"), bounds("m")
+    q["wilson_interval"] = with_ctes(
+        f"""SELECT project_id, total, c/n AS citation_rate, {cl} AS citation_low, {ch} AS citation_high, m/n AS mention_rate, {ml} AS mention_low, {mh} AS mention_high FROM (
+        SELECT project_id, count(*) AS total, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (cited) AS DOUBLE) AS c, CAST(count(*) FILTER (mentioned) AS DOUBLE) AS m
+        FROM b WHERE error IS NULL GROUP BY 1)"""
+    )
+    q["mean_citation_rank"] = with_ctes(
+        """SELECT e.project_id, e.entity_type, e.entity_id, e.name, count(x.result_id) AS cited, avg(x.rank) AS mean_rank FROM entities e LEFT JOIN (
+        SELECT w.result_id, w.project_id, o.entity_id, o.entity_type, min(c.rank) AS rank FROM cited_ranked c JOIN win w USING (result_id)
+        JOIN entities o ON o.project_id=w.project_id AND (c.domain=o.domain OR c.domain LIKE '%.'||o.domain) WHERE w.error IS NULL GROUP BY 1,2,3,4) x
+        USING (project_id, entity_id, entity_type) GROUP BY 1,2,3,4"""
+    )
+    q["brand_rank_among_domains"] = with_ctes(
+        """SELECT t.project_id, t.domain, t.answers, t.place FROM (SELECT *, rank() OVER (PARTITION BY project_id ORDER BY answers DESC) AS place FROM (
+        SELECT project_id, domain, count(DISTINCT result_id) AS answers FROM wsources GROUP BY 1,2)) t
+        JOIN entities e ON e.project_id=t.project_id AND e.entity_type='brand' AND (t.domain=e.domain OR t.domain LIKE '%.'||e.domain)"""
+    )
+    q["taken_by"] = with_ctes(
+        """SELECT t.project_id, t.prompt_id, t.rank, t.domain, t.answers, o.entity_type AS owner_type, o.name AS owner_name FROM (
+        SELECT *, row_number() OVER (PARTITION BY project_id, prompt_id ORDER BY answers DESC, domain) AS rank FROM (
+            SELECT project_id, prompt_id, domain, count(DISTINCT result_id) AS answers FROM wsources s WHERE cited AND error IS NULL
+            AND NOT EXISTS (SELECT 1 FROM cited_pairs c WHERE c.result_id=s.result_id AND c.entity_type='brand') GROUP BY 1,2,3)) t
+        LEFT JOIN entities o ON o.project_id=t.project_id AND t.domain LIKE '%.'||o.domain WHERE rank<=3"""
+    )
+    q["competitor_duel"] = with_ctes(
+        """SELECT e.project_id, e.entity_id, e.name, count(*) FILTER (w.bc AND c.result_id IS NOT NULL) AS "both", count(*) FILTER (NOT w.bc AND c.result_id IS NOT NULL) AS rival_only,
+        count(*) FILTER (w.bc AND c.result_id IS NULL) AS brand_only, count(*) FILTER (NOT w.bc AND c.result_id IS NULL) AS neither
+        FROM entities e JOIN wb w USING (project_id) LEFT JOIN cited_pairs c ON c.result_id=w.result_id AND c.entity_id=e.entity_id AND c.entity_type='competitor'
+        WHERE e.entity_type='competitor' GROUP BY 1,2,3""",
+        extra={"wb": "SELECT project_id, result_id, cited AS bc FROM b WHERE error IS NULL"},
+    )
+    q["signal_calibration"] = with_ctes(
+        """SELECT engine_id, signal, has_signal, count(*) AS n, avg(CAST(cited AS INTEGER)) AS cited_share FROM (
+        SELECT engine_id, cited, unnest([{'signal':'even','has':num%2=0},{'signal':'late','has':num>=25},{'signal':'one','has':contains(page,'s1')}], recursive:=true) FROM pc) x(engine_id, cited, signal, has_signal) GROUP BY 1,2,3""",
+        extra={
+            "pc": "SELECT engine_id, page, bool_or(cited) AS cited, CAST(regexp_extract(page,'([0-9]+)$',1) AS INTEGER) AS num FROM wsources GROUP BY 1,2"
+        },
+    )
+
+
 runs_sql()
 ingest_sql()
+detail_sql()

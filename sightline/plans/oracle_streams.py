@@ -28,7 +28,7 @@ def streams_sql() -> None:
     q["stream_daily_rates"] = """SELECT strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Paris','%Y-%m-%d') AS day, event_type, count(*) AS total,
         count(*) FILTER ("value">10) AS cited, count(*) FILTER (event_id%2=0) AS mentioned FROM events GROUP BY 1,2"""
     q["stream_cost_cap"] = with_ctes(
-        "SELECT run_id, round((p*0.05+0.5)/0.92,6) AS cap_usd FROM results JOIN projects USING (project_id) GROUP BY run_id, p HAVING sum(cost_dec)>CAST((p*0.05+0.5)/0.92 AS DECIMAL(20,9))"
+        "SELECT run_id, round((p*0.05+0.5)/0.92,6) AS cap_usd, round(CAST(sum(cost_dec) AS DOUBLE),6) AS spent_usd FROM results JOIN projects USING (project_id) GROUP BY run_id, p HAVING sum(cost_dec)>CAST((p*0.05+0.5)/0.92 AS DECIMAL(20,9))"
     )
 
 

@@ -16,8 +16,11 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.functions.pricing import exact_sum
+from sightline.operators.detect import detections
 from sightline.operators.windows import ordinal
 from sightline.sources.log import engines_per_project
+from sightline.sources.stage import stored
 
 AS_OF = "2001-08-02 00:00:00"
 DAYS = 365
@@ -46,6 +49,7 @@ SCHEMAS = {
     "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "pages": "page_id long, url string, html string",
+    "labels": "doc_id long, quality int, toxic int",
     "conversations": "conv_id long, turn long, role string, text string",
 }
 
@@ -153,6 +157,10 @@ class AnswerLog:
             engine_attribute(F.col("engine_id"), 1).alias("model"),
             (F.col("engine_id") != "5-LOW").alias("enabled"),
             F.lit(True).alias("usable"),
+            F.when(
+                F.col("engine_id") == "5-LOW",
+                F.struct(F.lit(2.0).alias("input_per_mtok"), F.lit(12.0).alias("output_per_mtok"), F.lit(0.02).alias("per_search")),
+            ).alias("pricing"),
             F.substring("engine_id", 1, 1).cast("int").alias("ordinal"),
         )
 
@@ -163,6 +171,7 @@ class AnswerLog:
 
     # --- facts --------------------------------------------------------------------------
     def answers_from(self, orders: DataFrame) -> DataFrame:
+        latency = F.col("o_orderkey") * 7919 % 9000 + 200
         a = orders.select(
             F.col("o_orderkey").alias("result_id"),
             F.col("o_custkey").alias("prompt_id"),
@@ -170,9 +179,12 @@ class AnswerLog:
             F.col("o_orderdate").alias("created_at"),
             F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 5 == 0), "err").alias("error"),
             (F.col("o_totalprice") / 1e7).alias("cost_usd"),
-            (F.col("o_orderkey") * 7919 % 9000 + 200).alias("latency_ms"),
+            latency.alias("latency_ms"),
             (F.col("o_orderkey") % 7 != 0).alias("web_search"),
             (F.col("o_orderkey") % 2).cast("int").alias("repeat_index"),
+            F.struct(
+                (latency * 3).alias("input_tokens"), latency.alias("output_tokens"), (F.col("o_orderkey") % 4).alias("searches")
+            ).alias("usage"),
         )
         return a.join(self.prompt_projects, "prompt_id").withColumn(
             "run_id", F.concat("project_id", F.lit(":"), F.date_format("created_at", "yyyy-MM"))
@@ -183,6 +195,19 @@ class AnswerLog:
         """Every answer, all time."""
         return self.answers_from(self.raw("orders"))
 
+    @cached_property
+    def runs(self) -> DataFrame:
+        """One run per project and month; the month of ``as_of`` is still running."""
+        r = self.results.groupBy("run_id", "project_id").agg(
+            F.min("created_at").alias("started_at"), F.max("created_at").alias("_last"), F.count("*").cast("int").alias("planned_count"),
+            exact_sum(F.col("cost_usd")).alias("cost_usd"),
+        )
+        live = F.col("_last") >= F.date_trunc("MONTH", self.now).cast("timestamp_ntz")
+        return r.select(
+            "run_id", "project_id", "started_at", F.when(~live, F.col("_last")).alias("finished_at"),
+            F.when(live, "running").otherwise("done").alias("status"), "planned_count", "cost_usd",
+        )
+
     def window(self, periods: int = 1) -> DataFrame:
         """Answers of the last ``periods`` windows; the bound reaches the parquet scan."""
         start = F.expr(f"timestamp_ntz'{self.as_of}' - interval {self.days * periods} days")
@@ -223,7 +248,7 @@ class AnswerLog:
             ["result_id"],
             ["pos"],
             "rank",
-            slices=[F.col("pos.l_linenumber"), F.floor(F.col("pos.l_partkey") / 4096)],
+            slices=[F.col("pos.l_linenumber")],
             flag="cited",
             flag_out="cited_rank",
         )
@@ -246,6 +271,15 @@ class AnswerLog:
             F.array_join(F.transform(entries, lambda e: e["n_name"]), " ").alias("raw_text")
         )
 
+    @cached_property
+    def detections(self) -> DataFrame:
+        """The verdicts on every answer, written once per folder of tables and read from then on."""
+        return stored(
+            self.spark,
+            f"{self.root}/detections",
+            lambda: detections(self.results, self.ranked_of(self.results), self.texts_of(self.results), self.entities),
+        )
+
     # Inspection answers are answers of the log, so they share its sources and texts.
     inspection_sources = property(lambda self: self.sources)
 

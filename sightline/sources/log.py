@@ -6,18 +6,18 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions import constants as K
 from sightline.functions.urls import normalize_domain
+from sightline.operators.detect import detections
 
 
 def engines_per_project(projects: DataFrame, engines: DataFrame) -> DataFrame:
-    """Every engine under every project. Engines are a handful, so their list is one scalar value."""
-    listed = engines.agg(F.collect_list(F.struct(*engines.columns)).alias("engines")).scalar()
-    return projects.select("project_id", listed.alias("_e")).select("project_id", F.explode("_e").alias("e")).select(
-        "project_id", *[F.col(f"e.{c}").alias(c) for c in engines.columns]
-    )
+    """Every engine under every project: both are short lists, joined on a constant."""
+    one = F.lit(1).alias("_all")
+    return projects.select("project_id", one).join(engines.select("*", one), "_all").drop("_all")
 
 
 @dataclass
@@ -70,11 +70,15 @@ class TableLog:
     def project_engines(self) -> DataFrame:
         return engines_per_project(self.projects, self.engines)
 
+    @cached_property
+    def runs(self) -> DataFrame:
+        return self.tables["runs"].withColumnRenamed("id", "run_id").withColumnRenamed("cost_estimate", "cost_usd")
+
     def _answers(self, rows: DataFrame) -> DataFrame:
         runs = self.tables["runs"].select(F.col("id").alias("run_id"), "project_id")
         a = rows.select(
             F.col("id").alias("result_id"), "run_id", "prompt_id", "engine_id", "repeat_index", "created_at", "error",
-            F.col("cost_estimate").alias("cost_usd"), "latency_ms", "web_search",
+            F.col("cost_estimate").alias("cost_usd"), "latency_ms", "web_search", "usage",
         )
         return a.join(runs, "run_id")
 
@@ -90,24 +94,20 @@ class TableLog:
 
     @staticmethod
     def _unnested(table: DataFrame) -> DataFrame:
-        """One row per source; its place in the list is its rank. A missing ``cited`` flag means cited."""
-        flags = F.transform("sources", lambda s: F.coalesce(s["cited"], F.lit(True)))
-        listed = F.transform(
-            "sources",
-            lambda s, i: F.struct(
-                s["url"].alias("url"), s["domain"].alias("domain"), F.get("_flags", i).alias("cited"),
-                F.size(F.filter(F.slice("_flags", F.lit(1), i + 1), lambda x: x)).alias("nth"),
-            ),
-        )
-        rows = table.withColumn("_flags", flags).select(F.col("id").alias("result_id"), F.posexplode(listed).alias("_i", "s"))
-        return rows.select(
+        """One row per source; its place in the list is its rank. A missing ``cited`` flag means cited.
+
+        The rank among cited sources is a running count over the rows of one list.
+        """
+        rows = table.select(F.col("id").alias("result_id"), F.posexplode("sources").alias("_i", "s"))
+        flat = rows.select(
             "result_id",
             (F.col("_i") + 1).cast("long").alias("rank"),
-            F.when(F.col("s.cited"), F.col("s.nth").cast("long")).alias("cited_rank"),
             F.col("s.url").alias("url"),
             F.coalesce("s.domain", normalize_domain(F.col("s.url"))).alias("domain"),
-            F.col("s.cited").alias("cited"),
+            F.coalesce("s.cited", F.lit(True)).alias("cited"),
         )
+        upto = W.partitionBy("result_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+        return flat.withColumn("cited_rank", F.when(F.col("cited"), F.count_if("cited").over(upto)))
 
     @cached_property
     def sources(self) -> DataFrame:
@@ -123,6 +123,13 @@ class TableLog:
     def texts_of(self, answers: DataFrame) -> DataFrame:
         return self._texts(self.tables["results"], answers)
 
+    @cached_property
+    def detections(self) -> DataFrame:
+        """The stored verdicts; computed from the answers where the tables hold none."""
+        if "detections" in self.tables:
+            return self.tables["detections"]
+        return detections(self.results, self.ranked_of(self.results), self.texts_of(self.results), self.entities)
+
     # --- inspections -----------------------------------------------------------------
     @cached_property
     def inspections(self) -> DataFrame:

@@ -1,24 +1,20 @@
-"""Stage tables: a result that several steps read is written once."""
+"""Stage tables: a result that several steps or queries read is written once."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STORED: dict[tuple[str, str], str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = os.path.join(tempfile.gettempdir(), f"sightline-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder that the cluster names in ``spark.checkpoint.dir``; without one, the warehouse,
+    which a cluster shares too."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -34,9 +30,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a table that comes in few splits out to all cores before heavy work per row.
-    A large table has more splits than cores and passes unchanged, without a shuffle.
-    Meant for scans: counting the splits of a plan with shuffles would run them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that an application writes once, when it is first read."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STORED:
+        path = new_path(spark, name.rsplit("/", 1)[-1])
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt evenly by a key before heavy work per row (parsing a page, reading a long text):
+    how the files were cut then decides nothing, and one source's long rows do not meet in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
