@@ -69,32 +69,17 @@ def test_mention_spans(spark):
     assert [(x.start, x.end, x.term) for x in s] == [(0, 7, "le café"), (3, 7, "Café"), (8, 12, "Café"), (16, 20, "Café"), (25, 29, "Café")]
 
 
-def test_ordinal_of_a_hot_key_equals_the_plain_window(spark):
+def test_ordinal_counts_rows_and_flagged_rows(spark):
     df = spark.range(4000).select(
-        F.when(F.col("id") < 3000, 1).otherwise(F.col("id") % 50 + 2).alias("k"), (F.col("id") * 7919 % 4001).alias("o")
+        F.when(F.col("id") < 3000, 1).otherwise(F.col("id") % 50 + 2).alias("k"), (F.col("id") * 7919 % 4001).alias("o"), (F.col("id") % 3 == 0).alias("f")
     )
-    plain = X.ordinal(df, ["k"], ["o"], "n", [F.floor(F.col("o") / 100)], hot_rows=10**9)
-    split = X.ordinal(df, ["k"], ["o"], "n", [F.floor(F.col("o") / 100)], hot_rows=500)
-    assert sorted(plain.collect()) == sorted(split.collect())
-
-
-def test_ordinal_counts_flagged_rows(spark):
-    df = spark.range(600).select((F.col("id") % 2).alias("k"), (F.col("id") * 13 % 601).alias("o"), (F.col("id") % 3 == 0).alias("f"))
-    args = dict(flag="f", flag_out="m")
-    plain = X.ordinal(df, ["k"], ["o"], "n", [F.floor(F.col("o") / 50)], hot_rows=10**9, **args)
-    split = X.ordinal(df, ["k"], ["o"], "n", [F.floor(F.col("o") / 50)], hot_rows=10, **args)
+    split = X.ordinal(df, ["k"], ["o"], "n", [F.floor(F.col("o") / 100)], flag="f", flag_out="m")
     want, seen = [], {}
     for r in sorted(df.collect(), key=lambda r: r.o):
         n, m = seen.get(r.k, (0, 0))
         seen[r.k] = (n + 1, m + r.f)
         want.append((r.k, r.o, r.f, n + 1, m + 1 if r.f else None))
-    assert sorted(map(tuple, plain.collect()), key=lambda r: r[1]) == want == sorted(map(tuple, split.collect()), key=lambda r: r[1])
-
-
-def test_numbered_by_id(spark):
-    df = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 13).alias("x"))
-    got = X.numbered_by_id(df, ["k"], "x", "n", width=500).toPandas()
-    assert (got.sort_values("x").groupby("k").cumcount() + 1).eq(got.sort_values("x")["n"]).all()
+    assert sorted(map(tuple, split.collect()), key=lambda r: r[1]) == want
 
 
 def test_exact_median(spark):

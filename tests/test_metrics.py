@@ -1,9 +1,11 @@
 import pytest
-from answer_fixture import answer_log
+from answer_fixture import YESTERDAY, answer_log, rows
 from pyspark.sql import functions as F
 
 from sightline.operators import answers as A
+from sightline.operators import details as X
 from sightline.operators import inspections as I
+from sightline.operators import ranks as N
 from sightline.operators import runs as R
 from sightline.operators import source_metrics as S
 
@@ -107,11 +109,82 @@ def test_latest_cell_ignores_the_period(log):
 
 
 def test_plan_takes_turns_and_respects_modes(log):
-    t = R.plan_tasks  # repeats and modes come from the tables
-    keyed = log.prompts.withColumn("n", F.when(F.col("prompt_id") == "p1", 1).otherwise(2))
-    numbered = type(log)({**log.tables, "prompts": keyed.withColumn("id", F.col("n").cast("long")).drop("n", "prompt_id")}, log.as_of, log.days)
-    tasks = t(numbered).filter("project_id = 'P'").collect()
+    tasks = R.plan_tasks(log).filter("project_id = 'P'").collect()
     assert len(tasks) == 8 and max(x.turn for x in tasks) == 4
+    order = sorted((x.turn, x.prompt_id, x.repeat_index) for x in tasks if x.engine_id == "A")
+    assert order == [(1, "p1", 0), (2, "p1", 1), (3, "p2", 0), (4, "p2", 1)]
+    assert {x.prompt_id for x in R.remaining_tasks(log).collect()} == {"p1", "p2", "q1"}
+
+
+def test_runs_come_from_their_table(log):
+    r = by(R.runs(log), "run_id", project=None)
+    assert (r["run1"].status, r["run1"].started_at, r["run1"].done_count, r["run1"].error_count) == ("done", YESTERDAY, 8, 1)
+    assert r["run1"].cost_usd == pytest.approx(0.09)
+    assert by(R.run_duration(log), "run_id", project=None)["run1"].duration_ms is None
+    assert [x.run_id for x in R.runs_recent(log).filter("project_id = 'P'").collect()] == ["run1"]
+
+
+def test_run_outcome_with_string_ids(log, spark):
+    empty = rows(spark, "runs", [{"id": "run3", "project_id": "P", "status": "done", "started_at": YESTERDAY}])
+    more = type(log)({**log.tables, "runs": log.tables["runs"].unionByName(empty)}, log.as_of, log.days)
+    o = by(R.run_outcome(more), "run_id", project=None)
+    assert (o["run1"].status, o["run1"].done, o["run3"].status, o["run3"].done) == ("done", 8, "failed", 0)
+
+
+def test_prices_of_an_engine_come_first(log, spark):
+    used = log.tables["results"].withColumn("usage", F.expr("named_struct('input_tokens', 1000000L, 'output_tokens', 0L, 'total_tokens', 0L, 'searches', 2L)"))
+    own = F.expr("named_struct('input_per_mtok', 7.0D, 'output_per_mtok', 0.0D, 'per_search', 0.5D)")
+    engines = log.tables["engines"].withColumn("pricing", F.when(F.col("id") == "A", own))
+    c = by(R.answer_cost(type(log)({**log.tables, "results": used, "engines": engines}, log.as_of, log.days)), "result_id", project=None)
+    assert c["r1"].cost_usd == pytest.approx(8.0) and c["r3"].cost_usd == pytest.approx(1.016)
+
+
+def test_matrix_holds_prompts_without_answers(log, spark):
+    silent = rows(spark, "prompts", [{"id": "p0", "project_id": "P", "text": "never asked", "tags": [], "web_search": True, "active": True, "created_at": YESTERDAY}])
+    more = type(log)({**log.tables, "prompts": log.tables["prompts"].unionByName(silent)}, log.as_of, log.days)
+    m = [(x.position, x.prompt_id, x.engine_id) for x in A.prompt_matrix(more).filter("project_id = 'P'").collect()]
+    assert min(m) == (1, "p0", None) and {x[1] for x in m} == {"p0", "p1", "p2", "p3"}
+    assert max(m)[1] == "p3"  # inactive ones last
+
+
+def test_month_starts_in_the_zone(log):
+    row = log.projects.limit(1).select(A.month_start(F.lit("2026-03-01 00:30:00").cast("timestamp_ntz"), "America/Toronto").alias("m")).first()
+    assert str(row.m) == "2026-02-01 05:00:00"
+
+
+def test_stored_detections_are_read(log):
+    stored = log.detections.withColumn("cited", F.lit(False)).withColumn("mentioned", F.lit(False))
+    quiet = type(log)({**log.tables, "detections": stored}, log.as_of, log.days)
+    assert by(A.brand_rates(quiet), "project_id")["P"].cited == 0 and by(A.brand_rates(log), "project_id")["P"].cited == 2
+
+
+def test_details_are_nested(log):
+    d = {r.result_id: r for r in X.result_detail(log, log.results.filter("result_id = 'r1'")).collect()}
+    assert set(d) == {"r1"} and d["r1"].prompt.text == "best agency" and d["r1"].run.status == "done"
+    assert [(x.entity_type, x.cited) for x in d["r1"].detections] == [("brand", True), ("competitor", False)]
+    assert [e.name for e in d["r1"].entities] == ["Brandlab", "Digit"]
+    assert by(X.nested_detail(log), "project_id")["P"].competitors[0].name == "Digit"
+    i = by(X.inspection_detail(log, I.answer_flags(log)), "inspection_id")
+    assert [a.result_id for a in i["I1"].answers] == ["a1", "a2", "a3", "a4"] and i["I2"].answers is None
+    assert [r.inspection_id for r in X.list_inspections(log).filter("project_id = 'P'").orderBy("position").collect()] == ["I1", "I2"]
+    assert {r.prompt_id for r in X.prompt_search(log, text="AGENCY", tag="llm").collect()} == {"p2"}
+    assert {r.prompt_id for r in X.prompt_search(log, active=False).collect()} == {"p3"}
+
+
+def test_ranks_and_intervals(log, spark):
+    w = by(N.wilson_interval(log), "project_id")["P"]
+    assert w.citation_rate == pytest.approx(1 / 3) and w.citation_low == pytest.approx(0.0968, abs=1e-3) and w.citation_high == pytest.approx(0.7, abs=1e-2)
+    m = by(N.mean_citation_rank(log), "name")
+    assert (m["Brandlab"].cited, m["Brandlab"].mean_rank, m["Digit"].mean_rank) == (2, 1.0, 1.0)
+    assert by(N.brand_rank_among_domains(log), "domain")["brandlab.ca"].place == 2
+    t = by(N.taken_by(log), "prompt_id", "domain")
+    assert (t["p2", "digit.ca"].answers, t["p2", "digit.ca"].owner_name, t["p1", "clutch.co"].answers) == (2, "Digit", 1)
+    d = by(N.competitor_duel(log), "name")["Digit"]
+    assert (d.both, d.rival_only, d.brand_only, d.neither) == (0, 2, 2, 2)
+    pages = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "page string, faq boolean")
+    cited = spark.createDataFrame([("a", "E", True), ("b", "E", False), ("c", "E", False)], "page string, engine_id string, cited boolean")
+    c = by(N.signal_calibration(pages, cited, ["faq"]), "has_signal", project=None)
+    assert (c[True].n, c[True].cited_share, c[False].cited_share) == (2, 0.5, 0.0)
 
 
 def test_inspection_flags_and_verdict(log):
