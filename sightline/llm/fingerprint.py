@@ -40,17 +40,22 @@ def vectors(rows: DataFrame, keys: list[str], unit: str = "unit") -> DataFrame:
     hashed = rows.select(
         *keys, some.alias("some"), *[F.when(some, F.xxhash64(F.col(unit), F.lit(h))).alias(h) for h in wide + signs]
     )
-    count = F.count(F.when(F.col("some"), 1))
     sums = []
     for h in wide:
         sums += [F.sum(F.col(h).bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(h, 32))]
+    # Two bits of a sign hash are counted in one sum, 32 binary digits apart.
+    pair = F.lit((1 << 32) + 1)
     for h in signs:
-        sums += [2 * F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1))) - count for i in range(64)]
-    sums.append(count)
+        sums += [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(pair)) for i in range(32)]
+    sums.append(F.count(F.when(F.col("some"), 1)))
     summed = hashed.groupBy(*keys).agg(*[F.coalesce(c, F.lit(0)).alias(f"s{i}") for i, c in enumerate(sums)])
-    return summed.select(
-        *keys, F.array(*[F.pmod(f"s{i}", F.lit(_modulus(i))) for i in range(len(sums))]).alias("vector")
-    )
+    count = F.col(f"s{len(sums) - 1}")
+    lanes = [F.col(f"s{i}") for i in range(LANES)]
+    for i in range(LANES, len(sums) - 1):
+        ones = (F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"s{i}", 32))
+        lanes += [2 * n - count for n in ones]
+    lanes.append(count)
+    return summed.select(*keys, F.array(*[F.pmod(x, F.lit(_modulus(i))) for i, x in enumerate(lanes)]).alias("vector"))
 
 
 def _modulus(lane: int) -> int:
