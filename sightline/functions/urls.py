@@ -124,10 +124,6 @@ def bare_url(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"[?#].*$", ""), r"/+$", "")
 
 
-def url_matches(a: Column, b: Column) -> Column:
-    return F.coalesce(normalize_url(a) == normalize_url(b), F.lit(False))
-
-
 def same_site(source_url: Column, target_domain: Column) -> Column:
     """The source is a page of the target's site, subdomains included."""
     host = F.regexp_extract(normalize_url(source_url), r"^[^/?]*", 0)

@@ -115,8 +115,9 @@ def cited_instead(log, k: int = 8) -> DataFrame:
     )
 
 
-def comparison_candidates(log, k: int = K.MAX_COMPARISON_PAGES) -> DataFrame:
-    """Pages cited in place of the URL: the first three third-party sources of each answer, by number of questions."""
+def comparison_candidates(log, k: int = K.MAX_COMPARISON_PAGES, per_answer: int = 3) -> DataFrame:
+    """Top k pages cited in place of the URL, by number of questions: the first ``per_answer`` third-party
+    sources of each answer count."""
     open_answers = answer_flags(log).filter(F.col("error").isNull() & ~F.col("url_cited")).select(
         "result_id", "inspection_id", "project_id", "question_index", "engine_id"
     )
@@ -127,7 +128,7 @@ def comparison_candidates(log, k: int = K.MAX_COMPARISON_PAGES) -> DataFrame:
     third = rows.join(theirs, ["result_id", "rank"], "left_anti").withColumn(
         "page", F.coalesce(normalize_url(F.col("url")), F.col("url"))
     ).filter(F.col("page") != F.col("target"))
-    first = top_per_group(third, ["result_id"], [F.asc("rank")], 3, rank="_r")
+    first = top_per_group(third, ["result_id"], [F.asc("rank")], per_answer, rank="_r")
     pages = first.groupBy("inspection_id", "page").agg(
         F.min("url").alias("url"),
         F.count_distinct("question_index").alias("questions"),

@@ -40,11 +40,6 @@ def joined(column: Column, sep: str = ",") -> Column:
     return F.array_join(column, sep)
 
 
-def full_days(days: int, allowed: tuple[int, ...] = K.ALLOWED_DAYS) -> int:
-    """Requested period, or the default when it is not one of the allowed ones."""
-    return days if days in allowed else K.DEFAULT_DAYS
-
-
 def theme_order(theme: Column) -> list[Column]:
     """French-style order of themes: accents and case ignored, the no-theme group last."""
     from sightline.functions.text import normalize_text

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions import constants as K
@@ -28,23 +29,17 @@ def _lines(body: Column) -> Column:
 def robots_rules(files: DataFrame) -> DataFrame:
     """(origin, body) -> (origin, group_agent, allow, path): each rule under each agent of its group.
 
-    A group is a run of consecutive user-agent lines; its number is the count of
-    runs started so far, folded along the lines of one file.
+    A group is a run of consecutive user-agent lines; its number is the running count of
+    such runs over the lines of one file.
     """
     typed = F.filter(_lines(F.col("body")), lambda x: x["key"].isin("user-agent", "allow", "disallow"))
-    start = F.struct(F.lit(0).alias("group"), F.lit(False).alias("in_agents"), F.array().cast("array<struct<group:int,key:string,value:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        is_agent = x["key"] == "user-agent"
-        group = F.when(is_agent & ~acc["in_agents"], acc["group"] + 1).otherwise(acc["group"])
-        entry = F.struct(group.alias("group"), x["key"].alias("key"), x["value"].alias("value"))
-        return F.struct(group.alias("group"), is_agent.alias("in_agents"), F.concat(acc["out"], F.array(entry)).alias("out"))
-
-    rows = files.select("origin", F.explode(F.aggregate(typed, start, step)["out"]).alias("r")).select("origin", "r.*")
-    heads = rows.filter("key = 'user-agent'").select("origin", "group", F.lower("value").alias("group_agent"))
-    rules = rows.filter((F.col("key") != "user-agent") & (F.col("value") != "")).select(
-        "origin", "group", (F.col("key") == "allow").alias("allow"), F.col("value").alias("path")
-    )
+    lines = files.select("origin", F.posexplode(typed).alias("n", "x")).select("origin", "n", "x.key", "x.value")
+    order = W.partitionBy("origin").orderBy("n")
+    is_agent = F.col("key") == "user-agent"
+    starts = is_agent & (F.coalesce(F.lag("key").over(order), F.lit("")) != "user-agent")
+    rows = lines.withColumn("_starts", starts.cast("int")).withColumn("group", F.sum("_starts").over(order))
+    heads = rows.filter(is_agent).select("origin", "group", F.lower("value").alias("group_agent"))
+    rules = rows.filter(~is_agent & (F.col("value") != "")).select("origin", "group", (F.col("key") == "allow").alias("allow"), F.col("value").alias("path"))
     return heads.join(rules, ["origin", "group"], "left").select("origin", "group_agent", "allow", "path")
 
 
@@ -61,35 +56,36 @@ def robots_access(pages: DataFrame, files: DataFrame) -> DataFrame:
     ``pages``: (page_id, origin, page_path); ``files``: (origin, body), no row or a null
     body meaning no file (all allowed). The most specific group applies (the
     agent's own, else ``*``), then the longest matching path; allow wins a tie.
+
+    A file's groups become one short row per origin, joined once with the pages; each page
+    then judges each group once, and the agents read the verdict of their group.
     """
     bodies = files.filter(F.col("body").isNotNull())
-    rules = robots_rules(bodies)
-    # Group of each agent per file: its own name when the file has one, else the star group.
-    every = F.array(*[F.lit(a[0].lower()) for a in K.AI_AGENTS])
-    heads = rules.select("origin", "group_agent").distinct()
-    serves = F.when(F.col("group_agent") == "*", every).otherwise(F.array("group_agent"))
-    chosen = heads.select("origin", "group_agent", F.explode(serves).alias("_a")).groupBy("origin", "_a").agg(
-        F.max_by("group_agent", F.col("group_agent") != "*").alias("group_agent")
-    )
-    scoped = chosen.join(rules, ["origin", "group_agent"])
-    hits = (
-        pages.join(scoped, "origin")
-        .filter(F.col("path").isNotNull() & F.regexp_like("page_path", _path_pattern(F.col("path"))))
-        .groupBy("page_id", "_a")
-        .agg(F.max_by("allow", F.struct(F.length("path"), F.col("allow"))).alias("allowed"))
-    )
-    explicit = bodies.select("origin", F.lower("body").alias("_body"))
+    rules = robots_rules(bodies).withColumn("pattern", _path_pattern(F.col("path")))
+    rule = F.when(F.col("path").isNotNull(), F.struct("path", "allow", "pattern"))
+    # A robots file is short (crawlers read 500 KB at most), and so are its lists.
+    groups = rules.groupBy("origin", "group_agent").agg(F.collect_list(rule).alias("rules"))
+    sites = groups.groupBy("origin").agg(F.collect_list(F.struct("group_agent", "rules")).alias("groups"))
+    sites = bodies.select("origin", F.lower("body").alias("_body")).join(sites, "origin", "left")
+
+    def verdict(group: Column) -> Column:
+        hits = F.filter(group["rules"], lambda r: F.regexp_like(F.col("page_path"), r["pattern"]))
+        best = F.array_max(F.transform(hits, lambda r: F.struct(F.length(r["path"]).alias("length"), r["allow"].alias("allow"))))
+        return F.struct(group["group_agent"].alias("group_agent"), F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
+
     listed = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(a, ("agent", "vendor", "role"))]) for a in K.AI_AGENTS])
-    grid = pages.select("page_id", "origin", F.explode(listed).alias("x")).select("page_id", "origin", "x.*")
-    return (
-        grid.withColumn("_a", F.lower("agent"))
-        .join(hits, ["page_id", "_a"], "left")
-        .join(explicit, "origin", "left")
-        .select(
-            "page_id", "agent", "vendor", "role",
-            F.coalesce("allowed", F.lit(True)).alias("allowed"),
-            F.coalesce(F.contains(F.col("_body"), F.concat(F.lit("user-agent: "), F.col("_a"))), F.lit(False)).alias("explicit"),
-        )
+    judged = pages.join(sites, "origin", "left").select(
+        "page_id", "_body", F.coalesce(F.transform("groups", verdict), F.array().cast("array<struct<group_agent:string,allowed:boolean>>")).alias("verdicts")
+    )
+
+    def of_group(name: Column) -> Column:
+        return F.try_element_at(F.filter("verdicts", lambda v: v["group_agent"] == name), F.lit(1))["allowed"]
+
+    own = F.lower("x.agent")
+    return judged.select("page_id", "_body", "verdicts", F.explode(listed).alias("x")).select(
+        "page_id", "x.agent", "x.vendor", "x.role",
+        F.coalesce(of_group(own), of_group(F.lit("*")), F.lit(True)).alias("allowed"),
+        F.coalesce(F.contains(F.col("_body"), F.concat(F.lit("user-agent: "), own)), F.lit(False)).alias("explicit"),
     )
 
 

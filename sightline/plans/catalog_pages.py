@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from sightline.functions import constants as K
 from sightline.functions import dates, text, urls
-from sightline.operators import compare as C
+from sightline.operators import analysis as Y
 from sightline.operators import inspections as I
 from sightline.operators import robots as B
 from sightline.operators import scoring as S
 from sightline.operators.page_type import with_page_type
 from sightline.operators.signals import content_hash, extract_signals, page_info
+from sightline.plans.built_pages import built_pages
 from sightline.plans.catalog import plain, query
 from sightline.sources.binding import ts
 from sightline.sources.stage import dealt
 
 NOW = "2026-09-08 12:00:00"
+NOW_INDEX = "2001-08-02 00:00:00"
 
 
 # --- texts ------------------------------------------------------------------------------
@@ -247,41 +249,66 @@ def _content(log):
 
 @query("citability_index")
 def _index(log):
-    """Access, content of the middle question, observed result, index and reading per page with questions."""
-    signals = typed_signals(log)
-    access = S.score_access(fetched(log, signals)).select("page_id", F.col("access.total").alias("access"))
-    content = S.upper_median(content_scores(log, signals), ["page_id"], F.col("content.total"), "question_index")
-    result = I.result_score(log).select(F.col("inspection_id").alias("page_id"), "result", "confidence")
-    j = content.join(access, "page_id").join(result, "page_id", "left").fillna(0, ["result"]).fillna("low", ["confidence"])
-    a, c, r = F.col("access"), F.col("median_total"), F.col("result")
-    reading = S.recommended_reading(a, c, r)
-    return j.select(
-        "page_id", "questions", "access", F.col("median_total").alias("content"), "result", "confidence",
-        S.citability_index(a, c, r).alias("index"), reading.alias("reading"), S.reading_title(reading).alias("reading_title"),
-    )
-
-
-def compared(log) -> DataFrame:
-    """Each page is compared with the other pages of its block of eight numbers."""
-    other = F.floor(F.col("page_id") / 8) * 8 + (F.col("page_id") + F.col("step")) % 8
-    return log.raw("pages").select("page_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("step")).select(
-        F.col("page_id").alias("target_id"), other.alias("page_id")
+    return Y.citability_index(log, page_cache(log, Y.targets(log)), ts(NOW_INDEX))
+
+
+def page_cache(log, wanted: DataFrame) -> DataFrame:
+    """Signals, page type and fetch facts of normalised URLs."""
+    return with_page_type(extract_signals(dealt(built_pages(log, wanted), "page"))).drop("main_text", "body_text")
+
+
+def analysis_cache(log) -> DataFrame:
+    """The page cache of one analysis: the pages inspected and those cited in their place."""
+    return page_cache(log, Y.targets(log).select("page").union(Y.compared_pages(log).select("page")))
+
+
+def source_pages(log) -> DataFrame:
+    """The normalised URLs of all sources of the window."""
+    seen = log.sources.join(log.window().select("result_id"), "result_id", "left_semi")
+    return seen.select("url").distinct().select(urls.normalize_url(F.col("url")).alias("page"))
+
+
+@query("built_page_signals")
+def _built_signals(log):
+    """Signals of every page that answers of the window give as a source."""
+    asked = built_pages(log, source_pages(log)).withColumns({"question_lang": F.lit("en-GB"), "place": F.lit("Paris")})
+    s = with_page_type(extract_signals(dealt(asked, "page")))
+    size = lambda c: F.size(c).alias(c)
+    first = F.try_element_at(F.col("sections"), F.lit(1))
+    return s.select(
+        "page", "title", "h1", "description", F.col("lang"), "word_count", "canonical", "canonical_self", "robots_meta",
+        F.array_join(F.array_sort("json_ld_types"), ",").alias("json_ld_types"), "js_suspect", size("h2"), size("h3"), size("headings"), size("sections"),
+        F.when(F.size("sections") >= 2, first["lead"]).otherwise("").alias("first_lead"), "date_modified", "date_published", "author", "author_role",
+        "person_schema", "organization_schema", size("same_as"), "about_contact_links", "outbound_links",
+        F.array_join("outbound_domains", ",").alias("outbound_domains"), "numbers_count", "lists_count", "tables_count", "has_faq",
+        "has_summary_block", "h2_questions", "h2_entities", "quote_count", "title_year", "place_mentioned", "lang_matches",
+        F.array_join("snippet_directives", ",").alias("snippet_directives"), "brand_name", "brand_consistent", "contact_form",
+        F.size(F.split("text_in_first_quarter", " ")).alias("first_quarter_words"), "page_type", "type_confidence",
+    )
+
+
+@query("inspection_content_scores")
+def _inspection_content(log):
+    """Grid rows of each inspection's target for each of its questions."""
+    c = Y.content_scores(log, page_cache(log, Y.targets(log)), ts(NOW_INDEX))
+    return c.select("inspection_id", "question_index", "page_type", F.col("content.total").alias("total"), F.explode("content.rows").alias("r")).select(
+        "inspection_id", "question_index", "page_type", "total", "r.key", "r.points", "r.max"
     )
 
 
 @query("compare_signals")
 def _compare(log):
-    return C.compare_signals(typed_signals(log), compared(log), ts(NOW))
+    return Y.compare_signals(log, analysis_cache(log), ts(NOW_INDEX))
 
 
 @query("top_gaps")
 def _gaps(log):
-    return C.top_gaps(C.compare_signals(typed_signals(log), compared(log), ts(NOW))).select("target_id", "rank", "key", "gap")
+    return Y.top_gaps(log, analysis_cache(log), ts(NOW_INDEX)).select("inspection_id", "rank", "key", "gap")
 
 
 @query("page_typology")
 def _typology(log):
-    return C.page_typology(typed_signals(log), compared(log))
+    return Y.page_typology(log, analysis_cache(log))
 
 
 @query("stale_analyses")

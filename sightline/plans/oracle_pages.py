@@ -20,7 +20,7 @@ def quoted(text: str) -> str:
 def pages_sql() -> None:
     q = SQL
     q["normalize_documents"] = f"SELECT doc_id, md5({norm('text')}) AS fingerprint FROM documents"
-    q["document_languages"] = f"""WITH s AS (SELECT doc_id, array_to_string(list_slice(string_split({norm('text')},' '),1,600),' ') AS t FROM documents),
+    q["document_languages"] = f"""WITH s AS (SELECT doc_id, {norm('text')} AS t FROM documents),
         c AS (SELECT doc_id, len(regexp_extract_all(t,'\\b({K.FR_STOP})\\b')) AS fr, len(regexp_extract_all(t,'\\b({K.EN_STOP})\\b')) AS en FROM s)
         SELECT doc_id, CASE WHEN fr+en<8 THEN '' WHEN fr>en*1.5 THEN 'fr' WHEN en>fr*1.5 THEN 'en' ELSE '' END AS lang FROM c"""
     stop = ",".join(quoted(w) for w in K.QUESTION_STOP_WORDS)
@@ -71,7 +71,7 @@ def pages_sql() -> None:
     q["page_info"] = f"""SELECT page_id, {plain_text("regexp_extract(html,'<title>([^<]*)</title>',1)")} AS title, {plain_text("regexp_extract(html,'<h1>([^<]*)</h1>',1)")} AS h1,
         left(lower(regexp_extract(html,'<html lang="([^"]*)"',1)),2) AS lang, {words} AS word_count, md5({main}) AS main_text_md5, {words}<50 AND contains(lower(html),'<script') AS js_suspect,
         len(regexp_extract_all(html,'<h2')) AS h2_count, CAST(NULL AS VARCHAR) AS published_at, CAST(NULL AS VARCHAR) AS canonical,
-        length(left(coalesce((SELECT string_agg(x,' ' ORDER BY i) FROM (SELECT unnest(ps) AS x, unnest(range(len(ps))) AS i) WHERE length(x)>40),{main}),1500)) AS excerpt_length
+        length(coalesce((SELECT string_agg(x,' ' ORDER BY i) FROM (SELECT unnest(ps) AS x, unnest(range(len(ps))) AS i) WHERE length(x)>40),{main})) AS excerpt_length
         FROM (SELECT page_id, html, [{plain_text('p')} FOR p IN (string_split(regexp_extract(html,'<article>(.*)</article>',1,'s'),'<p>'))[2:]] AS ps FROM pages)"""
     shape = "length(regexp_extract(lower(url),'^[a-z]+://[^/?#]+'))%5"
     path = "regexp_extract(url,'^[a-z]+://[^/?#]*([^#]*)',1)"

@@ -93,3 +93,18 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str = "id
 
 def outside_allowed(table: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     return table.filter(~F.col(column).isin(allowed))
+
+
+def quality_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows that break a rule, per rule: a missing parent or a value that is not allowed."""
+    rules = {
+        f"{child}.{key}": orphans(tables[child], key, tables[parent])
+        for child, key, parent in PARENTS
+        if child in tables and parent in tables
+    }
+    rules |= {f"{t}.{c}": outside_allowed(tables[t], c, allowed) for (t, c), allowed in ALLOWED_VALUES.items() if t in tables}
+    counts = [rows.agg(F.lit(rule).alias("rule"), F.count("*").alias("rows")) for rule, rows in rules.items()]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import constants as K
+from sightline.functions.text import let
 from sightline.functions.urls import normalize_domain
 
 _LINK = "struct<url:string,title:string>"
@@ -131,11 +132,13 @@ def normalize_engine_responses(responses: DataFrame) -> DataFrame:
     def is_cited(page: Column) -> Column:
         return F.coalesce(F.array_contains("cited_urls", page["url"]), F.lit(True))
 
-    first_listed = F.filter("listed", lambda p, i: F.array_position(F.col("listed.url"), p["url"]) == i + 1)
-    first_read = F.filter(
-        "read",
-        lambda p, i: (F.array_position(F.col("read.url"), p["url"]) == i + 1) & ~F.array_contains(F.col("listed.url"), p["url"]),
+    tagged = F.concat(
+        F.transform("listed", lambda p: F.struct(p["url"].alias("url"), p["title"].alias("title"), F.lit(True).alias("listed"))),
+        F.transform("read", lambda p: F.struct(p["url"].alias("url"), p["title"].alias("title"), F.lit(False).alias("listed"))),
     )
+    kept = _first_of_each(tagged)
+    first_listed = F.filter(kept, lambda p: p["listed"])
+    first_read = F.filter(kept, lambda p: ~p["listed"])
     cited = F.transform(F.filter(first_listed, is_cited), lambda p: entry(p, F.lit(True)))
     unused = F.transform(F.filter(first_listed, lambda p: ~is_cited(p)), lambda p: entry(p, F.lit(False)))
     extra = F.transform(first_read, lambda p: entry(p, F.lit(False)))
@@ -147,6 +150,16 @@ def normalize_engine_responses(responses: DataFrame) -> DataFrame:
     return parts.select("result_id", F.concat(cited, unused, extra).alias("sources"), "search_queries", searches.cast("long").alias("searches"))
 
 
+def _first_of_each(pages: Column) -> Column:
+    """The first page of each URL, in order: one sort by URL and place, so long lists stay cheap."""
+    placed = F.array_sort(
+        F.transform(F.filter(pages, lambda p: p["url"].isNotNull()), lambda p, i: F.struct(p["url"].alias("url"), i.alias("i"), p.alias("page")))
+    )
+    first = let(placed, lambda t: F.filter(t, lambda x, i: (i == 0) | (F.get(t, i - 1)["url"] != x["url"])))
+    in_order = F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["page"].alias("page"))))
+    return F.transform(in_order, lambda x: x["page"])
+
+
 def resolve_source_redirects(sources: DataFrame, redirects: DataFrame) -> DataFrame:
     """Replace search redirects by their target and keep each URL once per answer.
 
