@@ -9,7 +9,7 @@ and returns the components, without testing all pairs of a group of copies.
 3. The rest is indexed: shingles in ascending document frequency, of each set the first
    ones that any partner must share (prefix). Index lists are cut into blocks by set size,
    blocks of incompatible size are skipped, and inside a list entries whose position
-   leaves too few shingles are skipped.
+   leaves too few shingles, or whose parity bits differ too much, are skipped.
 4. Answers from related sets: each set is compared with the leader of its lists first. Sets
    linked to a leader form its star. Jaccard distance is a metric, so the computed answer
    of one star's leader against another's decides for all members unless it falls near the
@@ -37,6 +37,7 @@ from sightline.llm.links import components
 from sightline.llm.sources import checkpointed
 
 U, I = np.uint64, np.int64
+BITS = 256
 LOW = U(1 << 62)  # hashes below are a quarter of all
 KEYS = {"key": np.uint32, "doc": I}
 FOUND = {"doc": I, "n": np.int32}
@@ -126,7 +127,7 @@ def shared_low(docs: DataFrame, shingle: int, n_shards: int) -> DataFrame:
 
 
 def indexed(read: DataFrame, asked: DataFrame, n_shards: int, shingle: int, percent: int) -> DataFrame:
-    """``node, n, shingles, tokens, places`` of the asked sets that share a prefix shingle.
+    """``node, n, shingles, bits, tokens, places`` of the asked sets that share a prefix shingle.
 
     read: ``doc_id, text, block``; asked: ``block, doc_id, d1`` of the sets in the join.
     tokens: the prefix shingles that some other set has, places: their positions in the set
@@ -180,10 +181,10 @@ def indexed(read: DataFrame, asked: DataFrame, n_shards: int, shingle: int, perc
                 prefix = np.lexsort((shingles, rank))[: n - _share(n, percent) + 1]
                 place = np.flatnonzero(rank[prefix] > 0)
                 if len(place):
-                    rows.append((doc, n, shingles.view(I), shingles[prefix[place]].view(I), place.astype(np.int32)))
-        columns = list(zip(*rows)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        names = ["node", "n", "shingles", "tokens", "places"]
+                    rows.append((doc, n, shingles.view(I), parity_bits(shingles), shingles[prefix[place]].view(I), place.astype(np.int32)))
+        columns = list(zip(*rows)) or [[]] * 6
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        names = ["node", "n", "shingles", "bits", "tokens", "places"]
         return pa.table({name: pa.array(c, k) for name, c, k in zip(names, columns, kinds)})
 
     by_block = read.groupBy("block")
@@ -191,10 +192,24 @@ def indexed(read: DataFrame, asked: DataFrame, n_shards: int, shingle: int, perc
     told = counts.groupBy("shard").applyInArrow(levels, exchange.schema(LEVELS))
     told = told.unionByName(asked, allowMissingColumns=True)
     return by_block.cogroup(told.groupBy("block")).applyInArrow(
-        prefixes, "node long, n long, shingles array<long>, tokens array<long>, places array<int>"
+        prefixes, "node long, n long, shingles array<long>, bits array<long>, tokens array<long>, places array<int>"
     )
 
 
+def parity_bits(shingles: np.ndarray) -> list[int]:
+    """BITS bits, each the parity of the number of shingles that fall on it, as long values.
+
+    Every shingle that two sets do not share turns one bit, so the sets differ in at least
+    as many shingles as their bits differ.
+    """
+    odd = np.bincount(((shingles >> U(3)) % U(BITS)).astype(I), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(I).tolist()
+
+
+def _bits_differ(one: str, two: str) -> Column:
+    return sum(F.bit_count(F.col(f"{one}{i}").bitwiseXOR(F.col(f"{two}{i}"))) for i in range(BITS // 64))
+
+
 def _share(n: int, percent: int) -> int:
     """Least intersection of a set of n with any partner."""
     return -(-percent * n // 100)
@@ -245,6 +260,8 @@ def similar_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """``a, b`` links whose components are those of all links between the sets."""
     bound = 1 - percent / 100
+    words_of_bits = range(BITS // 64)
+    bits = sets.select("node", "n", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in words_of_bits])
     posted = sets.select(
         "node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("entry")
     ).select("node", "n", F.col("entry.tokens").alias("token"), (F.col("n") - F.col("entry.places")).alias("rest"))
@@ -279,11 +296,21 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     posts = starred.withColumn("size_block", block).groupBy("token", "size_block", "star").agg(
         F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("rest")
     )
+    # Leaders' bits bound their distance before any set is read; members are within their star's radius.
+    radii = members.groupBy("star").agg(F.max("far").alias("radius"))
+    leaders = bits.withColumnsRenamed({"node": "star", "n": "lead_n"}).join(radii, "star", "left")
+    posts = posts.join(leaders.withColumn("radius", F.coalesce("radius", F.lit(0.0))), "star")
     one = posts.select(
+        *[F.col(f"b{i}").alias(f"p{i}") for i in words_of_bits], F.col("lead_n").alias("l1"), F.col("radius").alias("r1"),
         "token", F.explode(F.array(F.col("size_block"), F.col("size_block") + 1)).alias("size_block"), F.col("size_block").alias("block1"),
         F.col("star").alias("s1"), F.col("least_n").alias("n1"), F.col("most_n").alias("m1"), F.col("rest").alias("rest1"),
     )
-    two = posts.select("token", "size_block", F.col("star").alias("s2"), F.col("least_n").alias("n2"), F.col("most_n").alias("m2"), F.col("rest").alias("rest2"))
+    two = posts.select(
+        *[F.col(f"b{i}").alias(f"q{i}") for i in words_of_bits], F.col("lead_n").alias("l2"), F.col("radius").alias("r2"),
+        "token", "size_block", F.col("star").alias("s2"), F.col("least_n").alias("n2"), F.col("most_n").alias("m2"), F.col("rest").alias("rest2"),
+    )
+    least = F.greatest(F.lit(0.0), percent / 100 - F.col("r1") - F.col("r2"))  # similarity of the leaders of linked members
+    apart = (F.col("l1") + F.col("l2")) * (1 - least) / (1 + least) + 1e-6
     meet = (
         (one["token"] == two["token"])
         & (one["size_block"] == two["size_block"])
@@ -292,14 +319,17 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         & (100 * F.col("m2") >= percent * F.col("n1"))
         & (100 * F.col("m1") >= percent * F.col("n2"))
         & _possible(percent, F.col("n1"), F.col("n2"), F.col("rest1"), F.col("rest2"))
+        & (_bits_differ("p", "q") <= apart)
     )
     stars = one.join(two, meet).select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).distinct()
-    radii = members.groupBy("star").agg(F.max("far").alias("radius"))
     distances = verified(stars, sets).withColumn("far", 1 - F.col("common") / F.col("union"))
+    known = leaders.select(
+        "star", F.coalesce("radius", F.lit(0.0)).alias("r"), F.col("lead_n").alias("l"), *[F.col(f"b{i}").alias(f"q{i}") for i in words_of_bits]
+    )
     distances = checkpointed(
-        distances.join(radii.select(F.col("star").alias("a"), F.col("radius").alias("r1")), "a", "left")
-        .join(radii.select(F.col("star").alias("b"), F.col("radius").alias("r2")), "b", "left")
-        .select("a", "b", "common", "union", "far", (F.coalesce("r1", F.lit(0.0)) + F.coalesce("r2", F.lit(0.0))).alias("radii"))
+        distances.join(known.select(F.col("star").alias("a"), F.col("r").alias("r1")), "a")
+        .join(known.withColumnsRenamed({"star": "b", "r": "r2", "l": "l2"}), "b")
+        .withColumn("radii", F.col("r1") + F.col("r2"))
         .where(_linked(percent) | ((F.col("radii") > 0) & (F.col("far") <= bound + F.col("radii") + 1e-9)))
     )
     sure = checkpointed(answers.select("a", "b").union(distances.where(_linked(percent)).select("a", "b")))
@@ -310,14 +340,32 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     for side in ("a", "b"):
         own = now.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
         open_ = open_.join(own, side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-    open_ = checkpointed(open_.where("c_a <> c_b").select(F.col("a").alias("s1"), F.col("b").alias("s2"), F.col("far").alias("between")))
-    left = starred.select("token", F.col("node").alias("x"), F.col("n").alias("n1"), F.col("rest").alias("rest1"), F.col("star").alias("s1"), F.col("far").alias("far1"))
-    right = starred.select("token", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("star").alias("s2"), F.col("far").alias("far2"))
+    open_ = open_.where("c_a <> c_b").select(
+        F.col("a").alias("s1"), F.col("b").alias("s2"), F.col("far").alias("between"), F.col("r2"), F.col("l2"), *[f"q{i}" for i in words_of_bits]
+    )
+    open_ = checkpointed(open_)
+    # A member meets the other star only if the star's leader, which its members are near, is near enough itself.
+    nodes = bits.join(members, "node", "left").select(
+        "node", "n", F.coalesce("star", "node").alias("star"), F.coalesce("far", F.lit(0.0)).alias("far"), *[f"b{i}" for i in words_of_bits]
+    )
+    own_bits = lambda name: [F.col(f"b{i}").alias(f"{name}{i}") for i in words_of_bits]
+    first = nodes.select(F.col("node").alias("x"), F.col("n").alias("n1"), F.col("star").alias("s1"), F.col("far").alias("far1"), *own_bits("p"))
+    least = F.greatest(F.lit(0.0), percent / 100 - F.col("r2"))
+    reach = (
+        (F.col("between") - F.col("far1") - F.col("r2") <= bound + 1e-9)
+        & (_bits_differ("p", "q") <= (F.col("n1") + F.col("l2")) * (1 - least) / (1 + least) + 1e-6)
+    )
+    asks = first.join(open_.withColumnRenamed("s1", "star1"), (F.col("s1") == F.col("star1")) & reach).drop(*[f"q{i}" for i in words_of_bits])
+    tokens = lambda node, rest: posted.select("token", F.col("node").alias(node), F.col("rest").alias(rest))
+    left = asks.join(tokens("x", "rest1"), "x")
+    second = nodes.select(F.col("node").alias("y"), F.col("n").alias("n2"), F.col("star").alias("s2"), F.col("far").alias("far2"), *own_bits("q"))
+    right = second.join(open_.select("s2").distinct(), "s2", "left_semi").join(tokens("y", "rest2"), "y")
     near = (
         (F.col("between") - F.col("far1") - F.col("far2") <= bound + 1e-9)
         & (100 * F.col("n2") >= percent * F.col("n1"))
         & (100 * F.col("n1") >= percent * F.col("n2"))
         & _possible(percent, F.col("n1"), F.col("n2"), F.col("rest1"), F.col("rest2"))
+        & (_bits_differ("p", "q") <= (F.col("n1") + F.col("n2")) * (100 - percent) / (100 + percent) + 1e-6)
     )
-    last = left.join(open_, "s1").join(right, ["token", "s2"]).where(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    last = left.join(right, ["token", "s2"]).where(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     return sure.union(verified(last, sets).where(_linked(percent)).select("a", "b"))
