@@ -73,6 +73,9 @@ def pages_sql() -> None:
         len(regexp_extract_all(html,'<h2')) AS h2_count, CAST(NULL AS VARCHAR) AS published_at, CAST(NULL AS VARCHAR) AS canonical,
         length(coalesce((SELECT string_agg(x,' ' ORDER BY i) FROM (SELECT unnest(ps) AS x, unnest(range(len(ps))) AS i) WHERE length(x)>40),{main})) AS excerpt_length
         FROM (SELECT page_id, html, [{plain_text('p')} FOR p IN (string_split(regexp_extract(html,'<article>(.*)</article>',1,'s'),'<p>'))[2:]] AS ps FROM pages)"""
+    title, h1 = plain_text("regexp_extract(html,'<title>([^<]*)</title>',1)"), plain_text("regexp_extract(html,'<h1>([^<]*)</h1>',1)")
+    q["page_hashes"] = f"""SELECT hash, count(*) AS pages, min(page_id) AS first_page FROM (
+        SELECT page_id, sha256({title}||chr(10)||{h1}||chr(10)||chr(10)||{main}) AS hash FROM pages) GROUP BY 1"""
     shape = "length(regexp_extract(lower(url),'^[a-z]+://[^/?#]+'))%5"
     path = "regexp_extract(url,'^[a-z]+://[^/?#]*([^#]*)',1)"
     agents = ",".join(f"({i},{quoted(a)},{quoted(v)},{quoted(r)})" for i, (a, v, r) in enumerate(K.AI_AGENTS))
