@@ -154,14 +154,14 @@ def mention_spans(texts: pd.Series, terms: pd.Series) -> pd.Series:
         if text is None or wanted is None:
             return []
         decomposed = unicodedata.normalize("NFD", text)
-        out = []
-        for term in wanted:
-            if not term.strip():
-                continue
-            for m in pattern(term).finditer(decomposed):
-                start = _utf16(unicodedata.normalize("NFC", decomposed[: m.start()]))
-                out.append({"start": start, "end": start + _utf16(unicodedata.normalize("NFC", m.group())), "term": term})
-        return sorted(out, key=lambda s: s["start"])
+        found = sorted((m.start(), m.group(), term) for term in wanted if term.strip() for m in pattern(term).finditer(decomposed))
+        out, at, units = [], 0, 0
+        for start, matched, term in found:
+            # A match starts at a letter, never inside one, so offsets add up from match to match.
+            units += _utf16(unicodedata.normalize("NFC", decomposed[at:start]))
+            at = start
+            out.append({"start": units, "end": units + _utf16(unicodedata.normalize("NFC", matched)), "term": term})
+        return out
 
     return pd.Series([spans(x, w) for x, w in zip(texts, terms)])
 

@@ -132,7 +132,10 @@ def url_history(log, urls: DataFrame) -> DataFrame:
     """
     wanted = urls.select("project_id", F.regexp_extract(F.lower(normalize_url(F.col("url"))), r"^[^?]*", 0).alias("bare")).distinct()
     answers = log.window().select("result_id", "project_id", "prompt_id", "engine_id", "created_at")
-    rows = log.ranked_of(answers).withColumn("bare", bare_url(F.col("url")))
+    # Answers that hold one of the URLs first; only their sources are ranked.
+    held = log.sources.select("result_id", bare_url(F.col("url")).alias("bare")).join(answers.select("result_id", "project_id"), "result_id")
+    holders = answers.join(held.join(wanted, ["project_id", "bare"], "left_semi").select("result_id").distinct(), "result_id", "left_semi")
+    rows = log.ranked_of(holders).withColumn("bare", bare_url(F.col("url")))
     return rows.join(answers, "result_id").join(wanted, ["project_id", "bare"]).select(
         "project_id", F.col("bare").alias("page"), "result_id", "prompt_id", "engine_id", "created_at", "rank"
     )

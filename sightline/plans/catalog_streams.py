@@ -57,9 +57,9 @@ def _stream_dedup(log):
 
 @query("stream_run_counters")
 def _stream_counters(log):
-    answers = log.answers_from(_stream(log, "orders")).select("run_id", "error", "cost_usd")
+    answers = log.answers_from(_stream(log, "orders")).select("run_id", "created_at", "error", "cost_usd")
     updates = jobs.run_available(jobs.run_counters(answers), "stream-counters", "update")
-    return jobs.latest_update(updates, ["run_id"]).withColumn("cost_usd", F.col("cost_usd").cast("double"))
+    return jobs.run_totals(updates).withColumn("cost_usd", F.col("cost_usd").cast("double"))
 
 
 @query("stream_daily_rates")

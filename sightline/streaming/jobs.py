@@ -32,13 +32,24 @@ def dedup_results(stream: DataFrame, keys: list[str] = RESULT_KEY, at: str = "cr
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_counters(stream: DataFrame) -> DataFrame:
-    """Answers, errors and cost per run; use the update mode."""
-    return stream.groupBy("run_id").agg(
+def run_counters(stream: DataFrame, at: str = "created_at", delay: str = "2 days") -> DataFrame:
+    """Answers, errors and cost per run and day; use the update mode and add the days up with `run_totals`.
+
+    The state holds the days that can still change: those older than the delay are let go.
+    """
+    rows = stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", delay)
+    counted = rows.groupBy("run_id", F.window("_at", "1 day").alias("_day")).agg(
         F.count("*").alias("done_count"),
         F.count_if(F.col("error").isNotNull()).alias("error_count"),
         F.sum(F.col("cost_usd").cast("decimal(20,9)")).alias("cost_usd"),
     )
+    return counted.select("run_id", F.date_format("_day.start", "yyyy-MM-dd").alias("day"), "done_count", "error_count", "cost_usd")
+
+
+def run_totals(updates: DataFrame) -> DataFrame:
+    """Counters per run from the updates of `run_counters`."""
+    days = latest_update(updates, ["run_id", "day"])
+    return days.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("done_count", "error_count", "cost_usd")])
 
 
 def detect(stream: DataFrame, entities: DataFrame) -> DataFrame:
@@ -78,6 +89,8 @@ def _check_cap(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
 def cost_cap(stream: DataFrame, caps: DataFrame) -> DataFrame:
     """One row per run, the first time its cumulative cost exceeds its cap.
 
+    The state is one number and one flag per run; it is kept, because a processing-time limit
+    would keep a job over what is available from ever ending.
     Money travels as whole billionths, so the sum does not depend on the order.
     ``stream``: (run_id, cost_usd); ``caps``: (run_id or project_id, cap_usd), joined by the shared column.
     """

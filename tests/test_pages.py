@@ -202,3 +202,65 @@ def test_robots(spark):
     assert all(got[(i, "GPTBot")] == (True, False) for i in (3, 4))
     r = {x.page_id: x for x in B.access_report(a).collect()}
     assert r[2].blocked_agents == ["GPTBot"] and r[3].all_allowed and len(r[1].blocked_agents) == 9
+
+
+def test_nothing_is_cut(spark):
+    """Texts that differ late have different hashes; sections after the 40th and headings after the 12th count."""
+    from sightline.operators.signals import content_hash, page_info
+
+    filler = "".join(f"<p>Paragraph {i} says what it says at some length, as paragraphs do.</p>" for i in range(60))
+    sections = "".join(f"<h2>Part {i}?</h2><p>Text of the part.</p>" for i in range(60))
+    rows = [(n, f"https://x.ca/{n}", f"<html><body><main><h1>T</h1>{filler}<p>The end is {n}.</p>{sections}</main></body></html>") for n in (1, 2)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    info = page_info(pages).select("page_id", content_hash(F.col("title")).alias("hash"), F.size("h2").alias("n")).collect()
+    assert len({r.hash for r in info}) == 2 and {r.n for r in info} == {60}
+    s = extract_signals(pages).select(F.size("sections").alias("n"), F.element_at("sections", 60).alias("last"), F.size("h3").alias("h3")).first()
+    assert (s.n, s.last.heading, s.last.lead) == (60, "Part 59?", "Text of the part.")
+
+
+def test_many_headings_take_seconds(spark):
+    import time
+
+    from sightline.operators.html import flatten
+
+    page = "<html><body><main>" + "".join(f"<h2>Heading {i}</h2><p>Its text {i}.</p>" for i in range(5000)) + "</main></body></html>"
+    start = time.perf_counter()
+    found = [e for e in flatten(page)["elements"] if e["tag"] == "h2"]
+    assert time.perf_counter() - start < 5
+    assert len(found) == 5000 and found[4321]["lead"] == "Its text 4321." and found[7]["text"] == "Heading 7"
+
+
+def test_running_sums_of_long_lists(spark):
+    lists = [[], [3], list(range(64)), list(range(65)), [i * 7 % 13 for i in range(1000)]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>")
+    got = {r.i: r.s for r in df.select("i", S.running_sums(F.col("x")).alias("s")).collect()}
+    for i, x in enumerate(lists):
+        assert got[i] == [sum(x[:k]) for k in range(len(x) + 1)]
+
+
+def test_middle_question_is_picked(spark):
+    rows = [(1, q, t) for q, t in enumerate([10, 30, 20, 20, 5])] + [(2, 4, 9), (2, 2, 9), (2, 3, 9), (2, 1, 9)]
+    df = spark.createDataFrame(rows, "page_id int, q int, t int")
+    got = {r.page_id: (r.questions, r.median_total, r.q) for r in S.upper_median(df, ["page_id"], F.col("t"), "q").collect()}
+    assert got == {1: (5, 20, 2), 2: (4, 9, 3)}
+
+
+def test_robots_groups_and_patterns(spark):
+    body = "# c\r\nUser-agent: ClaudeBot\nUser-agent: PerplexityBot\nDisallow: /*?page=\nAllow: /x$\nDisallow: /x\n\nUser-agent: ClaudeBot\nDisallow: /late"
+    files = spark.createDataFrame([("o", body)], "origin string, body string")
+    p = spark.createDataFrame([(1, "o", "/a?page=2"), (2, "o", "/x"), (3, "o", "/xy"), (4, "o", "/late"), (5, "o", "/")], "page_id int, origin string, page_path string")
+    got = {(r.page_id, r.agent): r.allowed for r in B.robots_access(p, files).collect()}
+    assert [got[(i, "ClaudeBot")] for i in range(1, 6)] == [False, True, False, False, True]
+    assert [got[(i, "PerplexityBot")] for i in range(1, 6)] == [False, True, False, True, True]
+    assert all(got[(i, "GPTBot")] for i in range(1, 6))
+
+
+def test_figures_of_each_kind(spark):
+    from sightline.functions.text import count_numbers
+
+    cases = {
+        "$ 12 and 1 200,50 euros": 2, "50 % or 3 pour cent": 2, "on 2024-05-06, 3 mars 2021 or May 4, 2020 or 1/2/1999": 4,
+        "in 1998 but not 20245 nor 3-1998": 1, "3 semaines, 12 kg, 5 pages": 3, "version 3 of item 12": 0,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.n for r in df.select("t", count_numbers(F.col("t")).alias("n")).collect()} == cases
