@@ -160,8 +160,8 @@ def train_scorer(
     return weights, bias
 
 
-def learn_abuse(docs: DataFrame, labels: DataFrame, rows: int, most: int = 256) -> list[str]:
-    """Words that occur in toxic labelled documents and hardly in others (at most ``most``).
+def learn_abuse(docs: DataFrame, labels: DataFrame, rows: int, most: int = 256) -> np.ndarray:
+    """Hashes of words that occur in toxic labelled documents and hardly in others (at most ``most``).
 
     Occurrences count once per word before, so copies of a text add nothing. A word needs
     so many toxic contexts that chance would pick none of the sample's words: with a share
@@ -170,28 +170,38 @@ def learn_abuse(docs: DataFrame, labels: DataFrame, rows: int, most: int = 256)
     sample = (
         labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
+        .agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    seen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most ``rows`` small rows
-    split = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
-    pairs = seen.select("toxic", split.alias("words")).select(
-        "toxic", F.explode(F.array_distinct(F.arrays_zip(F.col("words"), F.concat(F.array(F.lit("")), "words")))).alias("pair")
-    )
-    contexts = pairs.where("pair['words'] <> ''").groupBy("pair").agg(F.min("toxic").alias("toxic"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each word with the word before it, once per slice, and whether only toxic texts hold the pair."""
+        for batch in words.slices(batches, "text"):
+            w = words.stripped(words.of_texts(batch.column("text")))
+            before = np.zeros(len(w.hash), dtype=np.uint64)
+            before[1:] = np.where(w.row[1:] == w.row[:-1], w.hash[:-1], np.uint64(0))
+            context = words.mix(w.hash * np.uint64(3) + before)
+            toxic = batch.column("toxic").to_numpy()[w.row]
+            order = np.lexsort((toxic, context))
+            first = np.ones(len(order), dtype=bool)
+            first[1:] = context[order][1:] != context[order][:-1]
+            kept = order[first]
+            arrays = [pa.array(w.hash[kept].view(np.int64)), pa.array(context[kept].view(np.int64)), pa.array(toxic[kept], pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["word", "context", "toxic"])
+
+    seen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")  # at most ``rows`` small rows
+    contexts = seen.mapInArrow(pairs, "word long, context long, toxic int").groupBy("word", "context").agg(F.min("toxic").alias("toxic"))
     counted = checkpointed(
-        contexts.groupBy(F.col("pair")["words"].alias("word"))
-        .agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
-        .where("bad >= 0.95 * all OR bad = 0")
+        contexts.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all")).where("bad >= 0.95 * all OR bad = 0")
     )
     share = sample.agg(F.avg("toxic")).first()[0] or 0.0
     vocabulary = counted.count()
     if not 0 < share < 1 or not vocabulary:
-        return []
+        return np.zeros(0, dtype=np.uint64)
     least = max(3, int(np.ceil(np.log(0.01 / vocabulary) / np.log(share))))
     telling = counted.where(F.col("bad") >= least).orderBy(F.desc("bad"), "word").limit(most)
-    return sorted(r["word"] for r in telling.collect())
+    return np.sort(np.array([r["word"] for r in telling.collect()], dtype=np.int64).view(np.uint64))
 
 
 class Model(NamedTuple):
@@ -211,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon_rows: int = 20_000, train_ro
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     labels = labels.select("doc_id", "quality", "toxic")
     abuse = word_hashes(list(ABUSE))
-    learned = word_hashes(learn_abuse(docs, labels, lexicon_rows))
+    learned = learn_abuse(docs, labels, lexicon_rows)
     names = FORM[:-1] + TONE[:-1]
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon_rows: int = 20_000, train_ro
         as_vote(F.col("quality") == 0, F.col("quality") == 1).alias("label_quality"),
         as_vote(F.col("toxic") == 1, F.col("toxic") == 0).alias("label_toxic"),
     )
+    voted = checkpointed(voted)  # a few bytes per document; the texts are read once for it
     # At most 3 ** 9 patterns, whatever the number of documents.
     counted = voted.groupBy(*FORM, *TONE).count().collect()
     counted.sort(key=lambda r: [r[name] for name in FORM + TONE])
