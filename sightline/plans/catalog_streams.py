@@ -9,6 +9,7 @@ from sightline.functions import constants as K
 from sightline.operators.detect import detect_rows
 from sightline.plans.catalog import plain, query
 from sightline.sources.binding import SCHEMAS
+from sightline.sources.stage import dealt
 from sightline.streaming import jobs
 
 
@@ -37,7 +38,7 @@ def listed_answers(log, orders: DataFrame) -> DataFrame:
 
 @query("detect_rows")
 def _detect_rows(log):
-    return plain(detect_rows(listed_answers(log, log.raw("orders")), log.entities))
+    return plain(detect_rows(listed_answers(log, dealt(log.raw("orders"), "o_orderkey")), log.entities))
 
 
 @query("stream_detect")
