@@ -12,10 +12,14 @@ through the automata of the shards that can match it:
    words, every state with the smallest id that holds its words, and each passage is
    streamed through it; the matching statistics of ``size`` words and more give the
    smallest id of every window. Where it has one passage, that passage's id is the answer.
-4. Words of windows whose smallest id is smaller than the document's own go.
-
-An automaton is bounded by its shard's references, never by the number of copies, and it
-goes only to where passages of its shard are; sending all shards to all tasks would read
+4. A hot anchor, around which the blocks together hold more than ``hot_passages`` different
+   passages (a shared header meets every document's own words), gets no automaton: each block
+   cuts its passages there into windows and sends each window once, with its smallest id,
+   to the shard of the window. So one key is one entry per block again.
+5. Words of windows whose smallest id is smaller than the document's own go.
+
+An automaton is bounded by ``hot_passages`` passages, never by the number of documents, and
+it goes only to where passages of its shard are; sending all shards to all tasks would read
 the corpus once per shard.
 
 Defined cases: null and empty texts have no words; rows with the same id are not earlier
@@ -35,6 +39,8 @@ from pyspark.sql import DataFrame
 from sightline.llm import exchange, words
 
 U, I = np.uint64, np.int64
+HOT_PASSAGES = 64
+HOT = U(0)  # in place of a passage: the anchor is hot
 
 
 class Passages:
@@ -137,8 +143,8 @@ class Automaton:
         return found
 
 
-ANCHORS = {"key": U, "low": I, "high": I}
-SHARED = {"key": U}
+ANCHORS = {"key": U, "low": I, "high": I, "n": np.uint8}
+SHARED = {"key": U, "hot": np.uint8}
 CONTENTS = {"key": U, "content": U, "low": I}
 ASKED = {"key": U, "content": U}
 ANSWERS = {"key": U, "content": U, "low": I, "n": np.int32}
@@ -161,7 +167,7 @@ def _joined(key: np.ndarray, content: np.ndarray) -> np.ndarray:
     return words.mix(key * U(3) + content)
 
 
-def removed_words(docs: DataFrame, size: int = 13, gram: int = 6) -> DataFrame:
+def removed_words(docs: DataFrame, size: int = 13, gram: int = 6, hot_passages: int = HOT_PASSAGES) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept`` of every row of docs (``doc_id, text``)."""
     read, _, n_shards = exchange.blocks(docs)
 
@@ -171,19 +177,32 @@ def removed_words(docs: DataFrame, size: int = 13, gram: int = 6) -> DataFrame:
             raw = words.of_texts(batch.column("text"))
             yield batch, exchange.ids(batch), raw, Passages(raw, size, gram)
 
+    def windows_around(hot: np.ndarray, raw: words.Words, found: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, first word and passage of every window around hot anchors."""
+        some = np.flatnonzero(_within(found.anchor, hot))
+        if not len(some):
+            return np.zeros(0, dtype=U), np.zeros(0, dtype=I), some
+        n = found.last[some] - found.first[some] + 1
+        passage = np.repeat(some, n)
+        first = found.first[passage] + np.arange(len(passage)) - np.repeat(np.cumsum(n) - n, n)
+        return words.windows(raw.hash, size)[first], first, passage
+
     def anchors(table: pa.Table) -> pa.Table:
-        keys, docs_ = [np.zeros(0, dtype=U)], [np.zeros(0, dtype=I)]
+        keys, contents_, docs_ = [np.zeros(0, dtype=U)], [np.zeros(0, dtype=U)], [np.zeros(0, dtype=I)]
         for _, own, _, found in slices_of(table):
             keys.append(found.anchor)
+            contents_.append(found.content)
             docs_.append(own[found.row])
-        key, doc = np.concatenate(keys), np.concatenate(docs_)
+        key, passage, doc = np.concatenate(keys), np.concatenate(contents_), np.concatenate(docs_)
         order, begin = _sorted_groups(key)
-        key, doc = key[order], doc[order]
+        key, passage, doc = key[order], passage[order], doc[order]
+        n = _different(passage, begin)
         low = np.minimum.reduceat(doc, begin) if len(begin) else doc
         high = np.maximum.reduceat(doc, begin) if len(begin) else doc
         key = key[begin]
         block = table.column("block")[0].as_py()
-        return exchange.dealt(block, exchange.shard_of(key, n_shards), {"key": key, "low": low, "high": high}, n_shards)
+        columns = {"key": key, "low": low, "high": high, "n": np.minimum(n, 255).astype(np.uint8)}
+        return exchange.dealt(block, exchange.shard_of(key, n_shards), columns, n_shards)
 
     def shared(table: pa.Table) -> pa.Table:
         got, counts = exchange.gathered(table, ANCHORS)
@@ -192,16 +211,20 @@ def removed_words(docs: DataFrame, size: int = 13, gram: int = 6) -> DataFrame:
         group[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
         low, high = np.minimum.reduceat(got["low"][order], begin), np.maximum.reduceat(got["high"][order], begin)
         kept = (low < high)[group]
-        return exchange.answered(table, counts, kept, {"key": got["key"]})
+        hot = np.add.reduceat(got["n"][order].astype(I), begin) > min(hot_passages, 254)  # counts end at 255
+        return exchange.answered(table, counts, kept, {"key": got["key"], "hot": hot[group].astype(np.uint8)})
 
     def contents(read_table: pa.Table, shared_table: pa.Table) -> pa.Table:
         if not read_table.num_rows or not shared_table.num_rows:
             return exchange.empty(CONTENTS)
-        wanted = np.sort(exchange.gathered(shared_table, SHARED)[0]["key"])
-        parts = [(np.zeros(0, dtype=U), np.zeros(0, dtype=U), np.zeros(0, dtype=I))]
-        for _, own, _, found in slices_of(read_table):
+        got, _ = exchange.gathered(shared_table, SHARED)
+        wanted, hot = (np.sort(got["key"][got["hot"] == is_hot]) for is_hot in (0, 1))
+        parts = [(hot, np.full(len(hot), HOT), np.full(len(hot), exchange.NO_ID))]
+        for _, own, raw, found in slices_of(read_table):
             hit = _within(found.anchor, wanted)
             parts.append((found.anchor[hit], found.content[hit], own[found.row[hit]]))
+            window, _, passage = windows_around(hot, raw, found)
+            parts.append((window, found.anchor[passage], own[found.row[passage]]))
         key, content, doc = (np.concatenate(x) for x in zip(*parts))
         order, begin = _sorted_groups(key, content)
         low = np.minimum.reduceat(doc[order], begin) if len(begin) else doc[:0]
@@ -265,6 +288,7 @@ def removed_words(docs: DataFrame, size: int = 13, gram: int = 6) -> DataFrame:
     def finished(read_table: pa.Table, answer_table: pa.Table) -> pa.Table:
         got, _ = exchange.gathered(answer_table, {"n": np.int32}) if answer_table.num_rows else ({"n": np.zeros(0, dtype=np.int32)}, None)
         asked = {c: exchange.gathered(answer_table, {c: ANSWERS[c]})[0][c] for c in ("key", "content", "low")}
+        hot = np.sort(asked["key"][asked["content"] == HOT])
         name = _joined(asked["key"], asked["content"])
         order = np.argsort(name, kind="stable")
         name, n = name[order], got["n"][order]
@@ -285,6 +309,11 @@ def removed_words(docs: DataFrame, size: int = 13, gram: int = 6) -> DataFrame:
                 late = np.flatnonzero(lows[start[a] : start[a] + n[a]] < d) + found.first[i]
                 np.add.at(cover, late, 1)
                 np.add.at(cover, late + size, -1)
+            window, first, passage = windows_around(hot, raw, found)
+            at = np.searchsorted(name, _joined(window, found.anchor[passage]))
+            late = first[lows[start[at]] < own[found.row[passage]]]
+            np.add.at(cover, late, 1)
+            np.add.at(cover, late + size, -1)
             gone = np.cumsum(cover[:-1]) > 0
             bounds = raw.of_row()
             for i in range(len(own)):
@@ -312,6 +341,14 @@ def removed_words(docs: DataFrame, size: int = 13, gram: int = 6) -> DataFrame:
     )
 
 
+def _different(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """How many different values each group has."""
+    sizes = np.diff(np.append(begin, len(values)))
+    group, many = np.repeat(np.arange(len(begin)), sizes), np.repeat(sizes > 1, sizes)
+    order, first = _sorted_groups(group[many], values[many])
+    return np.maximum(np.bincount(group[many][order][first], minlength=len(begin)), 1)
+
+
 def _within(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Whether each value is among the wanted ones (sorted)."""
     if not len(wanted):

@@ -61,6 +61,29 @@ def test_few_words(spark, docs_of):
     assert tuples(substrings.removed_words(docs_of(rows), size=5, gram=2)) == brute(rows, 5)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_anchors_give_the_same(spark, docs_of, hot, monkeypatch):
+    monkeypatch.setattr(exchange, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(exchange, "SHARD_BYTES", 9000)
+    rows = texts(150, 4)
+    assert tuples(substrings.removed_words(docs_of(rows), hot_passages=hot)) == brute(rows)
+
+
+def test_a_shared_header_needs_no_automaton_of_all_documents(spark, docs_of, monkeypatch):
+    plain = substrings._window_lows
+
+    def bounded(passages, *others):
+        _, counts = np.unique(passages.column("key").to_numpy(), return_counts=True)
+        assert counts.max(initial=0) <= 64
+        return plain(passages, *others)
+
+    monkeypatch.setattr(substrings, "_window_lows", bounded)
+    header = " ".join(f"head{i}" for i in range(20))
+    rows = [(i, f"{header} " + " ".join(f"own{i}x{k}" for k in range(10))) for i in range(300)]
+    rows += [(300 + i, " ".join(f"own{i}x{k}" for k in range(4)) + f" {header} own{i % 7}x0 own{i % 7}x1") for i in range(100)]
+    assert tuples(substrings.removed_words(docs_of(rows))) == brute(rows)
+
+
 def test_edge_cases(spark, docs_of):
     run = " ".join(f"w{i}" for i in range(13))
     long = " ".join(f"v{i % 5000}" for i in range(60_000))
