@@ -7,10 +7,12 @@ whole item, if shorter) are joined with the windows of all texts by hash. Matche
 one alignment of a document and an item are evidence together; what fills the item's
 slots must be filled consistently: equal values by equal values, different numbers or
 names by different ones. So a question asked again with other numbers is found, and a
-text that only shares a pattern of slots is not.
+text that only shares a pattern of slots is not. Where an alignment is inconsistent, its
+verbatim windows (every slot holds the item's own value) still count.
 
 A document is contaminated by an item if consistent matches cover ``least_cover`` of the
-item's words, or ``long_run`` words in a row. Windows need ``least_literals`` words that
+item's words, if consistent and verbatim ones together cover ``least_verbatim``, or if
+either hold ``long_run`` words in a row. Windows need ``least_literals`` words that
 are no placeholders (all but one, in shorter ones).
 
 The hashes of at most ``block_windows`` benchmark windows at a time go to the executors to
@@ -150,11 +152,12 @@ def contaminated(
     least_cover: float = 0.5,
     long_run: int = 13,
     block_windows: int = 1_000_000,
+    least_verbatim: float = 0.9,
 ) -> DataFrame:
     """``doc_id, item_id, cover, run, doc_at``: the items that documents repeat.
 
-    cover: share of the item's words in consistent matches; run: longest stretch of words;
-    doc_at: the first matching word of the document.
+    cover: share of the item's words in consistent or verbatim matches; run: longest stretch
+    of words; doc_at: the first matching word of the document.
     """
     benchmark = item_windows(items, size, least_literals)
     n_blocks = 1 + benchmark.count() // block_windows
@@ -178,17 +181,25 @@ def contaminated(
     # One alignment: the item lies over the document at one shift.
     lines = (
         matched.select(
-            "doc_id", "item_id", "n_words", "size", "item_at", "at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs")
+            "doc_id", "item_id", "n_words", "size", "item_at", "at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"),
+            (F.col("slots") == F.col("item_slots")).alias("verbatim"),
         )
         .groupBy("doc_id", "item_id", "n_words", "shift")
         .agg(
             F.sort_array(F.collect_set(F.struct("item_at", "size"))).alias("windows"),
             F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
             F.min("at").alias("doc_at"),
+            F.sort_array(F.collect_set(F.when(F.col("verbatim"), F.struct("item_at", "size")))).alias("verbatim"),
+            F.min(F.when(F.col("verbatim"), F.col("at"))).alias("verbatim_at"),
         )
     )
     values = lambda side: F.size(F.array_distinct(F.col("pairs")[side]))
-    consistent = lines.where((values("item") == F.size("pairs")) & (values("doc") == F.size("pairs")))
+    whole = (values("item") == F.size("pairs")) & (values("doc") == F.size("pairs"))
+    evidence = lines.select(
+        "doc_id", "item_id", "n_words", whole.alias("whole"),
+        F.when(whole, F.col("windows")).otherwise(F.col("verbatim")).alias("windows"),
+        F.when(whole, F.col("doc_at")).otherwise(F.col("verbatim_at")).alias("doc_at"),
+    ).where(F.size("windows") > 0)
     covered = F.array_distinct(
         F.flatten(F.transform("windows", lambda w: F.sequence(w["item_at"], w["item_at"] + w["size"] - 1)))
     )
@@ -202,17 +213,23 @@ def contaminated(
         ),
         lambda acc: acc["best"],
     )
-    scored = consistent.select("doc_id", "item_id", "n_words", "doc_at", F.sort_array(covered).alias("words")).select(
-        "doc_id", "item_id", "n_words", "doc_at", "words", run.alias("run")
+    scored = evidence.select("doc_id", "item_id", "n_words", "whole", "doc_at", F.sort_array(covered).alias("words")).select(
+        "doc_id", "item_id", "n_words", "whole", "doc_at", "words", run.alias("run")
     )
+    distinct = lambda words: F.size(F.array_distinct(F.flatten(F.collect_set(words))))
     return (
         scored.groupBy("doc_id", "item_id", "n_words")
         .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_set("words")))).alias("covered"),
+            distinct(F.col("words")).alias("covered"),
+            distinct(F.when(F.col("whole"), F.col("words"))).alias("consistent"),
             F.max("run").alias("run"),
             F.min("doc_at").alias("doc_at"),
         )
         .withColumn("cover", F.col("covered") / F.col("n_words"))
-        .where((F.col("cover") >= least_cover) | (F.col("run") >= long_run))
+        .where(
+            (F.col("consistent") / F.col("n_words") >= least_cover)
+            | (F.col("cover") >= least_verbatim)
+            | (F.col("run") >= long_run)
+        )
         .select("doc_id", "item_id", "cover", "run", "doc_at")
     )

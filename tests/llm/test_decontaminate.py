@@ -33,6 +33,29 @@ def test_equal_slots_must_be_filled_equally(spark, docs_of):
     assert pairs(decontaminate.contaminated(docs, items, size=6)) == [(1, 1)]
 
 
+def test_verbatim_words_count_beside_an_inconsistent_slot(spark, docs_of):
+    item = (
+        "we put 12 red stones into the first box and then walk along the river until the old bridge , "
+        "where 12 more stones and 40 small shells are waiting for us under a green cloth"
+    )
+    docs = docs_of(
+        [
+            (1, item),
+            (2, "Before it. " + item.replace("12 more", "13 more")),  # equal numbers become different
+            (3, "Before it. " + item.replace("40 small", "12 small")),  # different ones become equal
+            (4, "we put 7 red stones into the first box and more"),  # one window, not verbatim
+            (5, item.replace("12", "7", 1).replace("40", "9")),  # verbatim from the red stones to the small shells
+        ]
+    )
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(docs, items_of(spark, [(1, item)])).collect()}
+    assert set(got) == {1, 2, 3, 5}
+    assert got[1]["cover"] == 1 and got[2]["run"] >= 13 and got[3]["run"] >= 13 and got[5]["run"] >= 13
+    assert got[2]["doc_at"] == 2 and got[5]["doc_at"] == 3
+    short = "we add 12 plums to the bowl and see that 12 of them are still green and hard as wood"
+    found = decontaminate.contaminated(docs_of([(1, short.replace("12 of", "13 of"))]), items_of(spark, [(1, short)])).collect()
+    assert [(r["cover"], r["run"]) for r in found] == [(0.95, 10)]  # 19 of 20 words
+
+
 def test_short_items_blocks_and_repeats(spark, docs_of):
     items = items_of(spark, [(1, "small question here"), (2, "small question here"), (3, "Another quite long question that nobody asks in any of the texts")])
     docs = docs_of([(1, "a small question here ."), (1, "a small question here ."), (2, "long " * 60_000 + "small question here"), (3, "here question small")])
