@@ -4,8 +4,9 @@ Words of natural text are few tokens for their length; keys and passwords are no
 candidate is a run of ``[A-Za-z0-9+/_.=-]`` that holds letters and digits and is long
 enough; what a byte-pair vocabulary needs more than one token per
 ``max_chars_per_token`` characters for is reported as kind ``random``, unless it is a
-known public form: a digest of a usual length, a UUID, a date, a version or a dotted
-name, a file name, or plain numbers.
+known public form: a digest of a usual length, a UUID, a date, a version, a name, or
+plain numbers. Hosts with paths and file names, and runs that are not dense as a whole, are
+cut at ``=``, then at ``/``, then at dots, and each part is a candidate of its own.
 
 Spans are ``kind, start, end`` in code points, end exclusive. Null texts are empty and
 have no spans; the whole text is scanned, whatever its length; repeated rows are scanned
@@ -47,8 +48,8 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _PUBLIC = re.compile(
     r"[-+/_.=0-9]*"  # numbers, dates, versions
     r"|[A-Za-z]+([-_./][A-Za-z]+)*[-_./]?[0-9]{0,4}"  # names and paths with a number at the end
-    r"|([A-Za-z0-9-]+\.)+[A-Za-z]{2,6}(/[A-Za-z0-9_.=-]*)*"  # hosts and files
 )
+_HOST = re.compile(r"([A-Za-z0-9-]+\.)+[A-Za-z]{2,6}(/[A-Za-z0-9_.=-]*)*")  # hosts and files
 _ANY_BASE = r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"
 
 
@@ -70,18 +71,25 @@ def is_public_form(run: str) -> bool:
 def random_spans(
     text: str, count_tokens: Callable[[str], int], least: int, max_chars_per_token: float
 ) -> list[tuple[str, int, int]]:
-    """Runs that need more tokens than text of their length does."""
+    """Runs, or parts of runs, that need more tokens than text of their length does."""
     found = []
-    for m in _RUN.finditer(text):
-        run, start = m[0].strip("=.-_/"), m.start() + len(m[0]) - len(m[0].lstrip("=.-_/"))
-        if "=" in run:  # a name before the value
-            start, run = start + run.rindex("=") + 1, run[run.rindex("=") + 1 :]
+
+    def look(run: str, start: int) -> None:
+        start, run = start + len(run) - len(run.lstrip("=.-_/")), run.strip("=.-_/")
         if len(run) < least or is_public_form(run):
-            continue
+            return
         if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
-            continue
-        if len(run) <= max_chars_per_token * count_tokens(run):
+            return
+        if "=" not in run and not _HOST.fullmatch(run) and len(run) <= max_chars_per_token * count_tokens(run):
             found.append(("random", start, start + len(run)))
+            return
+        mark = next((c for c in "=/." if c in run), None)  # a name before the value, a path, a host or file
+        for part in run.split(mark) if mark else []:
+            look(part, start)
+            start += len(part) + 1
+
+    for m in _RUN.finditer(text):
+        look(m[0], m.start())
     return found
 
 

@@ -53,6 +53,17 @@ def test_random_strings_are_found_and_public_forms_are_not(count_tokens):
         assert find(clean) == []
 
 
+def test_random_parts_of_urls_and_files_are_found(spark, docs_of, count_tokens):
+    key = "x9Kq2LmZp7Rt4WvYb8Nc3Dfg"
+    for form in ("https://hooks.slack.com/services/T00000000/B00000000/{}", "api.example.com/v1/{}", "api.example.com/v1/{}/a=1", "see {}.txt now", "cdn.example.com/a/{}.html", "documentation/understandable/introduction/international/{}/development/government"):
+        text = form.format(key)
+        assert [text[a:b] for _, a, b in secrets.random_spans(text, count_tokens, 20, 2.0)] == [key], form
+    for part in ("123e4567-e89b-12d3-a456-426614174000", "d41d8cd98f00b204e9800998ecf8427e.png", "top-10-reasons-why-you-should-travel-in-2024.html", "2024/01/02/12345678901234567890"):
+        assert secrets.random_spans(f"www.example.com/items/{part}", count_tokens, 20, 2.0) == [], part
+    row = secrets.scan_secrets(docs_of([(1, f"get api.example.com/v1/{key} now")])).first()
+    assert (row["n_random"], row["spans"]) == (1, "random:23:47")
+
+
 def test_query(spark, sf, text_of):
     got = catalog.QUERIES["op7_secret_scans"](spark, sf).collect()
     assert len(got) == len(text_of)
