@@ -23,7 +23,7 @@ A conversation is one output row, so its own events meet in one row, as its text
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The marks of the template and the control strings that texts may hold.
@@ -51,8 +51,15 @@ def _role_in(role: Column) -> Column:
 
 
 def turns_as_events(turns: DataFrame) -> DataFrame:
-    """Finished turns (``conv_id, turn, role, text``) as a log of one piece each."""
-    return turns.select(
+    """Finished turns (``conv_id, turn, role, text``) as a log of one piece each.
+
+    Every row is a message of its own, also those with the same turn: they are numbered by
+    turn (null last), role and text.
+    """
+    texts = [F.coalesce(name, F.lit("")) for name in ("role", "text")]
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), *texts)
+    number = F.row_number().over(order)
+    return turns.select("conv_id", number.alias("turn"), "role", "text").select(
         "conv_id", "turn", F.col("turn").alias("seq"), F.lit("delta").alias("kind"), "role", "text"
     )
 

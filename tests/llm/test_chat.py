@@ -69,3 +69,16 @@ def test_escape_hides_control_strings_and_can_be_undone(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t"))).alias("u")).first()
     assert row["u"] == text
     assert not any(c in row["e"] for c in ("<|", "</s>", "<s>", "[INST]", "[/INST]"))
+
+
+def test_turns_with_the_same_number_stay_apart_as_in_the_twin(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "x"), (1, 1, "user", "y"), (1, None, "assistant", "last"), (1, None, None, None), (2, 5, "user", "é")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(catalog.SQL["op1_chat_formatting"])
+    names = [c[0] for c in want.description]
+    got = catalog.QUERIES["op1_chat_formatting"](spark, str(tmp_path)).select(names).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want.fetchall())
