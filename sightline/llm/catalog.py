@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import chat, decontaminate, fingerprint, html_blocks, lines, packing, quality, secrets, setjoin, substrings
+from sightline.llm import alignment, chat, decontaminate, fingerprint, html_blocks, lines, packing, quality, secrets, setjoin, substrings
 from sightline.llm.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,9 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens over every whole text."""
+    return alignment.align(table(spark, sf_dir, "documents"))
