@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import alignment, chat, decontaminate, fingerprint, html_blocks, lines, packing, quality, secrets, setjoin, substrings
+from sightline.llm import alignment, chat, decontaminate, fingerprint, html_blocks, lines, packing, quality, secrets, setjoin, simhash, substrings
 from sightline.llm.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,9 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers' tokens over every whole text."""
     return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and the components of those within four bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
