@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import alignment, chat, decontaminate, fingerprint, html_blocks, lines, packing, quality, secrets, setjoin, simhash, substrings
+from sightline.llm import alignment, chat, compression, decontaminate, fingerprint, html_blocks, lines, packing, quality, secrets, setjoin, simhash, substrings
 from sightline.llm.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,46 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and the components of those within four bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_vector_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-byte codes of every vector, their errors, and a digest of the codebooks."""
+    return compression.with_label_errors(*compression.compress(table(spark, sf_dir, "embeddings")))
+
+
+def _vector_twin(rounds: int = 4) -> str:
+    """Each round's nearest entries and means as tables of their own."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""nearest{k} AS MATERIALIZED (
+  SELECT row, p, min({{'d': d, 'e': e}}) AS best FROM (
+    SELECT row, p, e, list_sum(list_transform(list_zip(piece, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM pieces JOIN book{k} USING (p)) GROUP BY row, p
+)""")
+        if k < rounds:
+            steps.append(f"""means{k} AS MATERIALIZED (
+  SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS moved FROM (
+    SELECT p, best.e AS e, i, sum(piece[i]) AS s, count(*) AS n
+    FROM nearest{k} JOIN pieces USING (row, p), unnest(range(1, len(piece) + 1)) AS places(i) GROUP BY ALL
+  ) GROUP BY p, e
+), book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(moved, entry) AS entry FROM book{k} LEFT JOIN means{k} USING (p, e))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pieces AS MATERIALIZED (
+  SELECT row, vec_id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS piece FROM kept, unnest(range(4)) AS parts(p)
+), book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, piece AS entry FROM pieces
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 256
+), {", ".join(steps)}, coded AS (
+  SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM nearest{rounds} GROUP BY row
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (row)
+"""
+
+
+SQL["op13_vector_compression"] = _vector_twin()
