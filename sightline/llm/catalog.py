@@ -83,24 +83,31 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the later copies of runs of three lines or more."""
+    """Every document without the later copies of runs of three lines, or of fifty words, or more."""
     cleaned = lines.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-SQL["op3_line_dedup"] = """
+SQL["op3_line_dedup"] = r"""
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), numbered AS (
   SELECT doc_id, unnest(range(len(lines))) AS line, unnest(lines) AS words FROM split
+), counted AS (
+  SELECT *, len(regexp_extract_all(words, '[^\x20\x09-\x0D]+')) AS n FROM numbered
 ), windows AS (
-  SELECT doc_id, line, words || chr(10) || lead(words) OVER w || chr(10) || lead(words, 2) OVER w AS seen
-  FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY line)
+  SELECT doc_id, line, 1 AS length, words AS seen, n FROM counted
+  UNION ALL
+  SELECT doc_id, line, 2, words || chr(10) || lead(words) OVER w, n + lead(n) OVER w
+  FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY line)
+  UNION ALL
+  SELECT doc_id, line, 3, words || chr(10) || lead(words) OVER w || chr(10) || lead(words, 2) OVER w, 50
+  FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY line)
 ), later AS (
-  SELECT doc_id, line FROM windows WHERE trim(seen, ' ' || chr(10)) <> ''
-  QUALIFY row_number() OVER (PARTITION BY seen ORDER BY doc_id, line) > 1
+  SELECT doc_id, line, length FROM windows WHERE n >= 50 AND trim(seen, ' ' || chr(10)) <> ''
+  QUALIFY row_number() OVER (PARTITION BY length, seen ORDER BY doc_id, line) > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, line + more AS line FROM later, (SELECT unnest(range(3)) AS more)
+  SELECT DISTINCT doc_id, line + more AS line FROM later, (SELECT unnest(range(3)) AS more) WHERE more < length
 ), marked AS (
   SELECT n.*, g.line IS NOT NULL AS gone FROM numbered n LEFT JOIN gone g USING (doc_id, line)
 )

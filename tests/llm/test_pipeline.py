@@ -35,7 +35,7 @@ def test_each_stage_as_brute_force(spark, outputs):
     left = [(i, t) for (i, t), (_, old) in zip(lines_brute(rows(good), 3), rows(good))]
     texts = dict(rows(good))
     assert rows(lines) == [(i, t) for i, t in left if t or not texts[i]]
-    least = {i for i, _, c in join_brute(rows(lines)) if i == c}
+    least = {i for i, _, c in join_brute(rows(lines), 5, 80) if i == c}
     assert rows(joined) == [r for r in rows(lines) if r[0] in least]
     bad = {r["doc_id"] for r in decontaminate.contaminated(joined, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert bad and rows(clean) == [r for r in rows(joined) if r[0] not in bad]
