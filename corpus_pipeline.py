@@ -20,15 +20,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of line runs; documents of which nothing is left go."""
+    """Texts without later copies of runs of three lines or fifty words; documents of which nothing is left go."""
     cleaned = lines.remove_repeats(docs)
     left = cleaned.where("n_removed < n_lines").withColumn("n_chars", F.length("text").cast("long"))
     return left.select(docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id."""
-    found = setjoin.similar_components(docs)
+    """Of each component of near duplicates (five-word shingles, 80 percent), the document with the smallest id."""
+    found = setjoin.similar_components(docs, shingle=5, percent=80)
     others = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
