@@ -24,6 +24,13 @@ def domain_matches(host: Column, target: Column) -> Column:
     return (h != "") & (t != "") & ((h == t) | h.endswith(F.concat(F.lit("."), t)))
 
 
+def url_matches(url: Column, target: Column) -> Column:
+    """The URL is the page of a normalised URL. Hosts are compared first: only URLs on the
+    target's own host are parsed."""
+    same_host = F.substring_index(target, "/", 1) == normalize_domain(url)
+    return F.coalesce(F.when(same_host, normalize_url(url) == target), F.lit(False))
+
+
 def host_suffixes(host: Column) -> Column:
     """``a.b.c`` -> [a.b.c, b.c, c]: lets a suffix test become an equality join."""
     labels = F.split(host, r"\.")

@@ -94,7 +94,8 @@ def detections(answers: DataFrame, ranked: DataFrame, texts: DataFrame, entities
 
 
 def recompute_detections(detected: DataFrame, path: str) -> None:
-    """Replace the detections of the projects present in ``detected`` and keep the others."""
+    """Replace the detections of the projects present in ``detected`` and keep the others, in plain
+    files in place; ``recompute_projects`` does so without readers seeing half of it."""
     (
         detected.write.partitionBy("project_id")
         .option("partitionOverwriteMode", "dynamic")
@@ -103,6 +104,18 @@ def recompute_detections(detected: DataFrame, path: str) -> None:
     )
 
 
+def recompute_projects(verdicts, log, entities: DataFrame, projects: DataFrame) -> int:
+    """New verdicts for the answers of some projects after their dictionaries changed, as a new version.
+
+    verdicts: the snapshots that hold them (``project_id`` slices); entities: the changed
+    dictionaries; projects: ``project_id``. Also projects that no answer names any more lose
+    their old rows. Other projects are neither read again nor written.
+    """
+    chosen = projects.select("project_id").distinct()
+    answers = log.results.join(chosen, "project_id", "left_semi")
+    return verdicts.replace(log.detected(entities.join(chosen, "project_id", "left_semi"), answers), chosen)
+
+
 def entity_flags(log, answers: DataFrame) -> DataFrame:
     """Sparse (result, entity) verdicts of some answers, cited or mentioned, from the stored detections.
     Pairs seen nowhere are left out: sums over this table equal sums over the dense verdicts."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sightline.functions import constants as K
 from sightline.functions.pricing import exact_sum
 from sightline.functions.text import find_term, normalize_text
-from sightline.functions.urls import normalize_domain, normalize_url
+from sightline.functions.urls import normalize_domain, normalize_url, url_matches
 from sightline.operators.domains import all_owners, with_owner
 from sightline.operators.windows import top_per_group
 
@@ -28,9 +28,7 @@ def answer_flags(log) -> DataFrame:
     rows = log.inspection_ranked_of(cells).select("result_id", "rank", "cited_rank", "domain", "url").join(
         cells.select("result_id", "project_id", "target"), "result_id"
     )
-    # The host is compared first: only sources on the target's own host have their URL parsed.
-    same_host = F.substring_index("target", "/", 1) == normalize_domain(F.col("url"))
-    on_url = F.when(same_host, normalize_url(F.col("url")) == F.col("target"))
+    on_url = url_matches(F.col("url"), F.col("target"))
     urls = rows.filter(on_url).groupBy("result_id").agg(F.min("cited_rank").alias("url_rank"), F.min("rank").alias("url_seen"))
     sites = all_owners(rows, brands).groupBy("result_id").agg(F.min("cited_rank").alias("domain_rank"), F.min("rank").alias("domain_seen"))
     out = cells.join(urls, "result_id", "left").join(sites, "result_id", "left")

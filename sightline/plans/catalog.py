@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline import schema
+from sightline.functions import urls
 from sightline.operators import answers as A
 from sightline.operators import details as X
 from sightline.operators import detect as D
 from sightline.operators import ranks as N
 from sightline.operators import source_metrics as S
+from sightline.sources import tables
 from sightline.sources.binding import ENGINE_MODELS, AnswerLog
+from sightline.sources.snapshots import Snapshots
+from sightline.sources.stage import kept_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -374,6 +379,53 @@ def _spans(log):
     return spans.select("result_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), F.col("s.term").alias("term"))
 
 
+def without_rival(log) -> DataFrame:
+    """The dictionaries after one project has dropped a rival."""
+    return log.entities.filter(F.col("entity_id") != DROPPED_RIVAL)
+
+
+DROPPED_RIVAL = 20
+
+
+@query("recompute_detections")
+def _recompute(log):
+    """All verdicts after the dictionary of one project has changed; the other projects keep their files."""
+    kept = Snapshots(log.spark, kept_path(log.spark, "recomputed", log.root), ["project_id"])
+    kept.current(lambda: log.detections)
+    changed = log.entities.filter(F.col("entity_id") == DROPPED_RIVAL).select("project_id")
+    D.recompute_projects(kept, log, without_rival(log), changed)
+    return plain(kept.read())
+
+
+@query("snapshot_copy")
+def _copied(log):
+    """Prompts and projects copied twice, and read back through the declared schemas."""
+    def as_declared(name: str, df: DataFrame) -> DataFrame:
+        return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.TABLES[name].fields])
+
+    given = {
+        "prompts": as_declared("prompts", log.prompts.withColumn("id", F.col("prompt_id"))),
+        "projects": as_declared("projects", log.projects.withColumn("id", F.col("project_id"))),
+    }
+    target = kept_path(log.spark, "copy", log.root)
+    tables.snapshot_copy(log.spark, {"projects": given["projects"]}, target, force=True)
+    tables.snapshot_copy(log.spark, given, target, force=True)
+    copied = {name: tables.scan_table(log.spark, target, name) for name in given}
+    prompts = copied["prompts"].groupBy(F.col("project_id").alias("id")).agg(
+        F.count("*").alias("prompts"), F.count_if("active").alias("active"), F.min("text").alias("first_text"), F.sum(F.size("tags")).alias("tags")
+    )
+    return copied["projects"].select("id", "brand_name", "repeats").join(prompts, "id")
+
+
+@query("domain_matches")
+def _on_domain(log):
+    """Source URLs of the window on the domain of each project's brand."""
+    w = log.window().select("result_id", "project_id")
+    brands = log.entities.filter("entity_type = 'brand'").select("project_id", F.get("domains", F.lit(0)).alias("domain"))
+    rows = log.sources.join(w, "result_id").select("project_id", "url").join(brands, "project_id")
+    return rows.groupBy("project_id").agg(F.count("*").alias("sources"), F.count_if(urls.domain_matches(F.col("url"), F.col("domain"))).alias("own"))
+
+
 # Names of the survey for queries registered under a shorter one.
 ALIASES = {
     "ingest_results_idempotent": "ingest_results",

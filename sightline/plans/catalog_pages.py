@@ -16,7 +16,8 @@ from sightline.operators.signals import content_hash, extract_signals, page_info
 from sightline.plans.built_pages import built_pages
 from sightline.plans.catalog import plain, query
 from sightline.sources.binding import ts
-from sightline.sources.stage import dealt
+from sightline.sources.page_cache import PageCache
+from sightline.sources.stage import dealt, kept_path
 
 NOW = "2026-09-08 12:00:00"
 NOW_INDEX = "2001-08-02 00:00:00"
@@ -247,19 +248,30 @@ def _content(log):
     )
 
 
-@query("citability_index")
-def _index(log):
-    return Y.citability_index(log, page_cache(log, Y.targets(log)), ts(NOW_INDEX))
-
-
-def page_cache(log, wanted: DataFrame) -> DataFrame:
+def analysed(log, wanted: DataFrame) -> DataFrame:
     """Signals, page type and fetch facts of normalised URLs."""
     return with_page_type(extract_signals(dealt(built_pages(log, wanted), "page"))).drop("main_text", "body_text")
 
 
-def analysis_cache(log) -> DataFrame:
-    """The page cache of one analysis: the pages inspected and those cited in their place."""
-    return page_cache(log, Y.targets(log).select("page").union(Y.compared_pages(log).select("page")))
+def page_cache(log) -> PageCache:
+    """The kept page records of this folder of tables, which all queries of the analysis share."""
+    return PageCache(log.spark, kept_path(log.spark, "pages", log.root), lambda wanted: analysed(log, wanted))
+
+
+def target_pages(log) -> DataFrame:
+    """Records of the pages inspected."""
+    return page_cache(log).refresh(Y.targets(log), ts(NOW_INDEX))
+
+
+def compared_pages(log) -> DataFrame:
+    """Records of the pages inspected and of those cited in their place."""
+    wanted = Y.targets(log).select("page").union(Y.compared_pages(log).select("page"))
+    return page_cache(log).refresh(wanted, ts(NOW_INDEX))
+
+
+@query("citability_index")
+def _index(log):
+    return Y.citability_index(log, target_pages(log), ts(NOW_INDEX))
 
 
 def source_pages(log) -> DataFrame:
@@ -290,7 +302,7 @@ def _built_signals(log):
 @query("inspection_content_scores")
 def _inspection_content(log):
     """Grid rows of each inspection's target for each of its questions."""
-    c = Y.content_scores(log, page_cache(log, Y.targets(log)), ts(NOW_INDEX))
+    c = Y.content_scores(log, target_pages(log), ts(NOW_INDEX))
     return c.select("inspection_id", "question_index", "page_type", F.col("content.total").alias("total"), F.explode("content.rows").alias("r")).select(
         "inspection_id", "question_index", "page_type", "total", "r.key", "r.points", "r.max"
     )
@@ -298,17 +310,17 @@ def _inspection_content(log):
 
 @query("compare_signals")
 def _compare(log):
-    return Y.compare_signals(log, analysis_cache(log), ts(NOW_INDEX))
+    return Y.compare_signals(log, compared_pages(log), ts(NOW_INDEX))
 
 
 @query("top_gaps")
 def _gaps(log):
-    return Y.top_gaps(log, analysis_cache(log), ts(NOW_INDEX)).select("inspection_id", "rank", "key", "gap")
+    return Y.top_gaps(log, compared_pages(log), ts(NOW_INDEX)).select("inspection_id", "rank", "key", "gap")
 
 
 @query("page_typology")
 def _typology(log):
-    return Y.page_typology(log, analysis_cache(log))
+    return Y.page_typology(log, compared_pages(log))
 
 
 @query("stale_analyses")

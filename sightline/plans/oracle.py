@@ -354,6 +354,18 @@ def sources_sql() -> None:
         LEFT JOIN (SELECT result_id, entity_id, row_number() OVER (PARTITION BY result_id ORDER BY pos) AS rank FROM mention_pairs) m ON m.result_id=r.result_id AND m.entity_id=e.entity_id
         WHERE r.error IS NULL"""
     )
+    q["recompute_detections"] = (
+        q["detections"].replace("FROM mention_pairs)", "FROM mention_pairs WHERE entity_id<>20)").replace("WHERE r.error IS NULL", "WHERE r.error IS NULL AND e.entity_id<>20")
+    )
+    q["snapshot_copy"] = with_ctes(
+        """SELECT p.project_id AS id, e.name AS brand_name, p.p%2+1 AS repeats, count(*) AS prompts, count(*) FILTER (r.active) AS active,
+        min(r.text) AS first_text, CAST(sum(len(r.tags)) AS BIGINT) AS tags
+        FROM projects p JOIN prompts r ON r.project_id=p.project_id JOIN entities e ON e.project_id=p.project_id AND e.entity_type='brand' GROUP BY ALL"""
+    )
+    q["domain_matches"] = with_ctes(
+        """SELECT w.project_id, count(*) AS sources, count(*) FILTER (s.domain=e.domain OR s.domain LIKE '%.'||e.domain) AS own
+        FROM win w JOIN sources s USING (result_id) JOIN entities e ON e.project_id=w.project_id AND e.entity_type='brand' GROUP BY 1"""
+    )
 
 
 answers_sql()

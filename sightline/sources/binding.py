@@ -20,7 +20,8 @@ from sightline.functions.pricing import exact_sum
 from sightline.operators.detect import detections
 from sightline.operators.windows import ordinal
 from sightline.sources.log import engines_per_project
-from sightline.sources.stage import stored
+from sightline.sources.snapshots import Snapshots
+from sightline.sources.stage import kept_path
 
 AS_OF = "2001-08-02 00:00:00"
 DAYS = 365
@@ -272,13 +273,19 @@ class AnswerLog:
         )
 
     @cached_property
+    def verdicts(self) -> Snapshots:
+        """The kept verdicts of this folder of tables."""
+        return Snapshots(self.spark, kept_path(self.spark, "detections", self.root), ["project_id"])
+
+    @property
     def detections(self) -> DataFrame:
-        """The verdicts on every answer, written once per folder of tables and read from then on."""
-        return stored(
-            self.spark,
-            f"{self.root}/detections",
-            lambda: detections(self.results, self.ranked_of(self.results), self.texts_of(self.results), self.entities),
-        )
+        """The newest verdicts on every answer; computed when they are first read."""
+        return self.verdicts.current(lambda: self.detected(self.entities))
+
+    def detected(self, entities: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+        """The verdicts on answers (by default all) by a dictionary."""
+        a = self.results if answers is None else answers
+        return detections(a, self.ranked_of(a), self.texts_of(a), entities)
 
     # Inspection answers are answers of the log, so they share its sources and texts.
     inspection_sources = property(lambda self: self.sources)

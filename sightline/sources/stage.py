@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_STORED: dict[tuple[str, str], str] = {}
+from sightline.sources.snapshots import Files
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,14 +30,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table that an application writes once, when it is first read."""
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _STORED:
-        path = new_path(spark, name.rsplit("/", 1)[-1])
-        build().write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+def kept_path(spark: SparkSession, name: str, root: str) -> str:
+    """Where an application keeps a table derived from the files below ``root``: another place as
+    soon as a file there is added, replaced or removed."""
+    inputs = hashlib.sha256(repr((root, Files(spark, root).listing())).encode()).hexdigest()[:16]
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{inputs}"
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:
