@@ -17,6 +17,7 @@ from sightline.plans.built_pages import built_pages
 from sightline.plans.catalog import plain, query
 from sightline.sources.binding import ts
 from sightline.sources.page_cache import PageCache
+from sightline.sources.snapshots import Snapshots
 from sightline.sources.stage import dealt, kept_path
 
 NOW = "2026-09-08 12:00:00"
@@ -263,10 +264,15 @@ def target_pages(log) -> DataFrame:
     return page_cache(log).refresh(Y.targets(log), ts(NOW_INDEX))
 
 
-def compared_pages(log) -> DataFrame:
+def compared(log) -> DataFrame:
+    """The pages cited in place of each inspection's URL, kept for all queries of the analysis."""
+    kept = Snapshots(log.spark, kept_path(log.spark, "compared", log.root), ["inspection_id"])
+    return kept.current(lambda: Y.compared_pages(log))
+
+
+def compared_records(log) -> DataFrame:
     """Records of the pages inspected and of those cited in their place."""
-    wanted = Y.targets(log).select("page").union(Y.compared_pages(log).select("page"))
-    return page_cache(log).refresh(wanted, ts(NOW_INDEX))
+    return page_cache(log).refresh(Y.targets(log).select("page").union(compared(log).select("page")), ts(NOW_INDEX))
 
 
 @query("citability_index")
@@ -310,17 +316,17 @@ def _inspection_content(log):
 
 @query("compare_signals")
 def _compare(log):
-    return Y.compare_signals(log, compared_pages(log), ts(NOW_INDEX))
+    return Y.compare_signals(log, compared_records(log), ts(NOW_INDEX), compared(log))
 
 
 @query("top_gaps")
 def _gaps(log):
-    return Y.top_gaps(log, compared_pages(log), ts(NOW_INDEX)).select("inspection_id", "rank", "key", "gap")
+    return Y.top_gaps(log, compared_records(log), ts(NOW_INDEX), compared=compared(log)).select("inspection_id", "rank", "key", "gap")
 
 
 @query("page_typology")
 def _typology(log):
-    return Y.page_typology(log, compared_pages(log))
+    return Y.page_typology(log, compared_records(log), compared(log))
 
 
 @query("stale_analyses")
