@@ -7,9 +7,9 @@ start reaches the running maximum, that is where A and B tokens both end. Inside
 every overlap of an A and a B token is a link; a pair of ids counts as often as the corpus
 links it.
 
-1. Slices of a few megabytes are encoded and aligned, and written out as one row each (a
-   *block*): what its documents have, its distinct id pairs, and each link as the place of its
-   pair. So no text is encoded twice, and equal or missing ids never meet in one group.
+1. Slices of about a megabyte (*blocks*) are encoded and aligned, and written out: a row per
+   document with each link as the place of its pair, and the block's distinct id pairs in rows
+   of some thousand. So no text is encoded twice, and equal or missing ids never meet in one group.
 2. Pairs are counted over all blocks, with the highest count of every B id.
 3. Each block asks for the counts of its own pairs and adds them up per document. A pair is one
    row per block, however often it occurs.
@@ -41,7 +41,8 @@ from sightline.llm import words
 from sightline.llm.sources import stored
 
 FOLDER = "/opt/tokenizers"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+ROW_PAIRS = 4096
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 #: Fixed value: how byte-level vocabularies of this kind split a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -168,7 +169,7 @@ def aligned(texts: pa.Array, a: Vocabulary, b: Vocabulary) -> Aligned:
     start_a, start_b = end_a - a.lengths[ids_a], end_b - b.lengths[ids_b]
     token, start, end = np.concatenate((ids_a, ids_b)), np.concatenate((start_a, start_b)), np.concatenate((end_a, end_b))
     side = np.repeat(np.array([0, 1], dtype=np.int8), [len(ids_a), len(ids_b)])
-    order = np.lexsort((side, start))
+    order = np.lexsort((start,))  # stable: A before B at the same start
     token, start, end, side = token[order], start[order], end[order], side[order]
     opens = np.ones(len(order), dtype=bool)
     opens[1:] = start[1:] >= np.maximum.accumulate(end)[:-1]
@@ -197,8 +198,8 @@ def _decimals(n: int) -> pa.Array:
     return pa.array([f"{i}{mark}" for i in range(n) for mark in ",|;"], pa.large_string())
 
 
-def group_texts(found: Aligned) -> list[bytes]:
-    """``a1,a2|b1;a3|b2,b3`` of each text: ids of the groups' tokens."""
+def group_texts(found: Aligned, n_ids: int) -> list[bytes]:
+    """``a1,a2|b1;a3|b2,b3`` of each text: ids (below n_ids) of the groups' tokens."""
     if not len(found.token):
         return [b""] * (len(found.of_text) - 1)
     part = 2 * found.group + found.side
@@ -206,7 +207,7 @@ def group_texts(found: Aligned) -> list[bytes]:
     part, token = part[order], found.token[order]
     last = np.append(part[1:] != part[:-1], True)
     codes = 3 * token + np.where(last, 1 + (part & 1), 0)
-    written = _decimals(int(token.max()) + 1).take(pa.array(codes))
+    written = _decimals(n_ids).take(pa.array(codes))
     _, offsets, data = written.buffers()
     ends = np.frombuffer(offsets, dtype=np.int64)[found.of_text].tolist()
     view = memoryview(data)
@@ -248,31 +249,44 @@ def alignments(docs: DataFrame, a_file: str = f"{FOLDER}/byte_bpe_50k.json", b_f
     return _rows(docs).mapInArrow(read, f"doc_id long, groups array<{group}>")
 
 
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that hold the given stretches of an array."""
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _blocks(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """One row per slice: its documents' own columns, its pairs (with counts) and its links."""
+    """Rows of documents (``pair`` null) and of pairs (``link`` null) of every slice.
+
+    link: for each link the place of its pair in the block; pair, n: ids and counts of the pairs from place ``first`` on.
+    """
     models = _models(docs.sparkSession, a_file, b_file)
-    longs = pa.list_(pa.int64())
+    counts = {name: pa.int64() for name in COUNTS}
+    kinds = {"block": pa.int64(), "doc_id": pa.int64(), **counts, "groups_sha256": pa.string(), "link": pa.binary()}
+    kinds |= {"first": pa.int64(), "pair": pa.binary(), "n": pa.binary()}
+
+    def rows(columns: dict, size: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(size, kind)) for k, kind in kinds.items()], list(kinds))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_level(models.value[0]), pieces(models.value[1])
-        task = TaskContext.get().partitionId()
+        task, n_ids = TaskContext.get().partitionId(), max(len(a.lengths), len(b.lengths))
         for number, batch in enumerate(words.slices(batches, "text", BLOCK_BYTES)):
             found = aligned(batch.column("text"), a, b)
-            digests = [hashlib.sha256(g).hexdigest() if g else "" for g in group_texts(found)]
+            block = (task << 32) | number
+            digests = [hashlib.sha256(g).hexdigest() if g else "" for g in group_texts(found, n_ids)]
             pair, link, n = np.unique((found.link_a << 32) | found.link_b, return_inverse=True, return_counts=True)
-            columns = {
-                "block": pa.array([(task << 32) | number], pa.int64()),
-                "doc_id": pa.array([batch.column("doc_id").to_pylist()], longs),
-                **{name: pa.array([found.counts[name].tolist()], longs) for name in COUNTS},
-                "groups_sha256": pa.array([digests], pa.list_(pa.string())),
-                "pair": pa.array([pair.tobytes()], pa.binary()),
-                "n": pa.array([n.tobytes()], pa.binary()),
-                "link": pa.array([link.astype(np.int32).tobytes()], pa.binary()),
-            }
-            yield pa.RecordBatch.from_pydict(columns)
-
-    counts = ", ".join(f"{name} array<long>" for name in COUNTS)
-    schema = f"block long, doc_id array<long>, {counts}, groups_sha256 array<string>, pair binary, n binary, link binary"
+            ends = np.concatenate(([0], np.cumsum(found.counts["n_links"])))
+            columns = {name: pa.array(found.counts[name], pa.int64()) for name in COUNTS}
+            columns |= {"doc_id": batch.column("doc_id"), "groups_sha256": pa.array(digests, pa.string()), "link": _packed(link.astype(np.int32), ends)}
+            yield rows(columns | {"block": pa.array(np.full(batch.num_rows, block))}, batch.num_rows)
+            cuts = np.append(np.arange(0, len(pair), ROW_PAIRS), len(pair))
+            size = len(cuts) - 1
+            columns = {"block": pa.array(np.full(size, block)), "first": pa.array(cuts[:-1]), "pair": _packed(pair, cuts), "n": _packed(n, cuts)}
+            yield rows(columns, size)
+
+    counts = ", ".join(f"{name} long" for name in COUNTS)
+    schema = f"block long, doc_id long, {counts}, groups_sha256 string, link binary, first long, pair binary, n binary"
     return _rows(docs).mapInArrow(read, schema)
 
 
@@ -283,11 +297,12 @@ def _pairs(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 pair, n = np.frombuffer(row["pair"], dtype=np.int64), np.frombuffer(row["n"], dtype=np.int64)
-                columns = [np.full(len(pair), row["block"]), np.arange(len(pair), dtype=np.int32)]
+                columns = [np.full(len(pair), row["block"]), np.arange(row["first"], row["first"] + len(pair), dtype=np.int32)]
                 columns += [(pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32), n]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "place", "a", "b", "n"])
 
-    return blocks.select("block", "pair", "n").mapInArrow(read, "block long, place int, a int, b int, n long")
+    asked = blocks.where("pair IS NOT NULL").select("block", "first", "pair", "n")
+    return asked.mapInArrow(read, "block long, place int, a int, b int, n long")
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -304,17 +319,16 @@ def align(docs: DataFrame, a_file: str = f"{FOLDER}/byte_bpe_50k.json", b_file:
     told = pairs.drop("n").join(pair_counts(pairs), ["a", "b"]).select("block", "place", "n", "best")
 
     def add(rows: pa.Table, facts: pa.Table) -> pa.Table:
-        row = rows.to_pylist()[0]
         place = facts.column("place").to_numpy()
         n, best = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
         n[place], best[place] = facts.column("n").to_numpy(), pc.cast(facts.column("best"), pa.int64()).to_numpy()
-        link = np.frombuffer(row["link"], dtype=np.int32)
-        ends = np.concatenate(([0], np.cumsum(row["n_links"]))).astype(np.int64)
-        sums = {name: np.diff(np.concatenate(([0], np.cumsum(x[link])))[ends]) for name, x in (("n_best", best), ("count_sum", n))}
-        columns = {name: pa.array(row[name], pa.int64()) for name in ["doc_id", *COUNTS]}
-        columns |= {name: pa.array(x, pa.int64()) for name, x in sums.items()}
-        return pa.table(columns | {"groups_sha256": pa.array(row["groups_sha256"], pa.string())})
+        link = np.frombuffer(b"".join(rows.column("link").to_pylist()), dtype=np.int32)
+        ends = np.concatenate(([0], np.cumsum(rows.column("n_links").to_numpy())))
+        sums = [pa.array(np.diff(np.concatenate(([0], np.cumsum(x[link])))[ends])) for x in (best, n)]
+        kept = rows.select(["doc_id", *COUNTS])
+        return kept.append_column("n_best", sums[0]).append_column("count_sum", sums[1]).append_column("groups_sha256", rows.column("groups_sha256"))
 
     columns = ", ".join(f"{name} long" for name in ["doc_id", *COUNTS, "n_best", "count_sum"])
-    by_block = blocks.drop("pair", "n").groupBy("block").cogroup(told.groupBy("block"))
+    documents = blocks.where("link IS NOT NULL").drop("first", "pair", "n")
+    by_block = documents.groupBy("block").cogroup(told.groupBy("block"))
     return by_block.applyInArrow(add, f"{columns}, groups_sha256 string")
