@@ -10,9 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.functions.text import normalize_text, term_pattern
+from sightline.functions.text import normalize_text, once, term_pattern
 from sightline.functions.urls import normalize_domain
 from sightline.operators.domains import all_owners
+from sightline.operators.term_index import holding
 
 
 def _in_scope(rows: DataFrame, answers: DataFrame) -> DataFrame:
@@ -49,13 +50,11 @@ def needles(entities: DataFrame) -> DataFrame:
 def mention_pairs(answers: DataFrame, texts: DataFrame, entities: DataFrame) -> DataFrame:
     """(result, entity) pairs mentioned in the text: first position and matched terms.
 
-    The substring test sits in the join condition, so only texts that hold a
-    needle leave the join; the word-edge pattern runs on those alone. Domains
-    count (as plain substrings) only when no term of the entity was found.
+    The term index finds the texts that hold a needle; the word-edge pattern runs on those
+    alone. Domains count (as plain substrings) only when no term of the entity was found.
     """
     t = _in_scope(texts, answers).select("result_id", "project_id", normalize_text(F.col("raw_text")).alias("body"))
-    n = needles(entities)
-    hits = t.join(n, (t.project_id == n.project_id) & F.contains(t.body, n.bare)).select(
+    hits = holding(t, needles(entities), "result_id").select(
         "result_id", "entity_id", "entity_type", "ordinal", "is_term", "no", "needle",
         F.when(F.col("is_term"), F.regexp_instr("body", F.col("pattern"))).otherwise(F.expr("locate(bare, body)")).alias("at"),
     )
@@ -179,6 +178,20 @@ def mention_spans(texts: pd.Series, terms: pd.Series) -> pd.Series:
     return pd.Series([spans(x, w) for x, w in zip(texts, terms)])
 
 
+def spans_in_texts(texts: DataFrame, entities: DataFrame) -> DataFrame:
+    """``result_id, spans`` of the texts (``result_id, project_id, raw_text``) that hold a term of their project.
+
+    Only terms whose bare letters occur in the text go to the span search, and texts without any never leave the JVM.
+    """
+    bare = lambda term: F.trim(normalize_text(term))
+    each = entities.select("project_id", F.explode("terms").alias("term")).select("project_id", F.struct("term", bare(F.col("term")).alias("bare")).alias("t"))
+    lists = each.where("t.bare <> ''").groupBy("project_id").agg(F.array_sort(F.collect_list("t")).alias("_terms"))
+    body = normalize_text(F.col("raw_text"))
+    near = once(texts.join(lists, "project_id"), {"_body": body}).withColumn("_near", F.filter("_terms", lambda t: F.contains("_body", t["bare"])))
+    wanted = near.where(F.size("_near") > 0).select("result_id", "raw_text", F.transform("_near", lambda t: t["term"]).alias("terms"))
+    return wanted.select("result_id", mention_spans("raw_text", "terms").alias("spans"))
+
+
 def project_dictionaries(entities: DataFrame) -> DataFrame:
     """The entities of each project as one list; a project tracks a short list of names by design."""
     domains = F.filter(F.transform("domains", normalize_domain), lambda d: d != "")

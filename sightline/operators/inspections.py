@@ -10,6 +10,7 @@ from sightline.functions.pricing import exact_sum
 from sightline.functions.text import find_term, normalize_text
 from sightline.functions.urls import normalize_domain, normalize_url, url_matches
 from sightline.operators.domains import all_owners, with_owner
+from sightline.operators.term_index import holding
 from sightline.operators.windows import top_per_group
 
 
@@ -211,10 +212,8 @@ def forbidden_terms(entities: DataFrame, min_length: int = 3) -> DataFrame:
 
 def neutrality_violations(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """First forbidden term each question names, null when it is neutral. ``questions``: (question_id, project_id, text)."""
-    q = questions.withColumn("_body", normalize_text(F.col("text")))
-    t = forbidden_terms(entities)
-    near = q.join(t, (q.project_id == t.project_id) & F.contains(q._body, t.bare)).select("question_id", "_body", "ordinal", "no", "term")
-    hits = near.filter(find_term(F.col("_body"), F.col("term")) >= 0)
+    q = questions.select("question_id", "project_id", normalize_text(F.col("text")).alias("body"))
+    hits = holding(q, forbidden_terms(entities).withColumn("is_term", F.lit(True)), "question_id").filter(find_term(F.col("body"), F.col("term")) >= 0)
     first = hits.groupBy("question_id").agg(F.min_by("term", F.struct("ordinal", "no")).alias("term"))
     return questions.select("question_id", "project_id").join(first, "question_id", "left")
 

@@ -373,9 +373,8 @@ def _valid(log):
 def _spans(log):
     """Spans of the brand's and rivals' names in the answer texts."""
     w = log.window()
-    terms = log.entities.groupBy("project_id").agg(F.array_sort(F.flatten(F.collect_list("terms"))).alias("terms"))
-    t = log.texts_of(w).join(w.select("result_id", "project_id"), "result_id").join(terms, "project_id")
-    spans = t.select("result_id", F.explode(D.mention_spans("raw_text", "terms")).alias("s"))
+    t = log.texts_of(w).join(w.select("result_id", "project_id"), "result_id")
+    spans = D.spans_in_texts(t, log.entities).select("result_id", F.explode("spans").alias("s"))
     return spans.select("result_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), F.col("s.term").alias("term"))
 
 
