@@ -160,12 +160,13 @@ def train_scorer(
     return weights, bias
 
 
-def learn_abuse(docs: DataFrame, labels: DataFrame, rows: int, most: int = 256) -> np.ndarray:
-    """Hashes of words that occur in toxic labelled documents and hardly in others (at most ``most``).
+def learn_abuse(docs: DataFrame, labels: DataFrame, rows: int) -> np.ndarray:
+    """Hashes of words that occur in toxic labelled documents and hardly in others.
 
     Occurrences count once per word before, so copies of a text add nothing. A word needs
     so many toxic contexts that chance would pick none of the sample's words: with a share
-    p of toxic documents and V words, n contexts where V * p ** n < 0.01.
+    p of toxic documents and V words, n contexts where V * p ** n < 0.01. This bound alone ends the list; the sample of at most ``rows``
+    documents limits it.
     """
     sample = (
         labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
@@ -200,7 +201,7 @@ def learn_abuse(docs: DataFrame, labels: DataFrame, rows: int, most: int = 256)
     if not 0 < share < 1 or not vocabulary:
         return np.zeros(0, dtype=np.uint64)
     least = max(3, int(np.ceil(np.log(0.01 / vocabulary) / np.log(share))))
-    telling = counted.where(F.col("bad") >= least).orderBy(F.desc("bad"), "word").limit(most)
+    telling = counted.where(F.col("bad") >= least)
     return np.sort(np.array([r["word"] for r in telling.collect()], dtype=np.int64).view(np.uint64))
 
 
