@@ -39,8 +39,7 @@ from sightline.llm.sources import checkpointed
 U, I = np.uint64, np.int64
 BITS = 256
 LOW = U(1 << 62)  # hashes below are a quarter of all
-KEYS = {"key": np.uint32, "doc": I}
-FOUND = {"doc": I, "n": np.int32}
+LOW_COUNTS = {"key": np.uint32, "n": np.uint8}
 COUNTS = {"key": np.uint32, "n": np.int32}
 LEVELS = {"key": np.uint32, "level": np.uint8}
 
@@ -81,49 +80,49 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(read, "doc_id long, n long, d1 long, d2 long, n_low long")
 
 
-def shared_low(docs: DataFrame, shingle: int, n_shards: int) -> DataFrame:
-    """``doc_id, shared``: how many of a text's hashes below LOW other texts have too."""
+def shared_low(read: DataFrame, shingle: int, n_shards: int) -> DataFrame:
+    """``doc_id, shared``: how many of a text's hashes below LOW other texts have too.
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.slices(batches, "text"):
-            own = exchange.ids(batch)
-            sets = [s[: np.searchsorted(s, LOW)] for s in shingle_sets(words.of_texts(batch.column("text"), lower=True), shingle)]
-            key = np.concatenate([*sets, np.zeros(0, dtype=U)])
-            doc = np.repeat(own, [len(s) for s in sets])
-            # A slice is named by its first rows; equal names would only be answered together.
-            name = int(words.mix(own[:1].view(U) + U(len(own)))[0] >> U(1))
-            columns = {"key": key.astype(np.uint32), "doc": doc}
-            yield from exchange.batches(exchange.dealt(name, exchange.shard_of(key, n_shards), columns, n_shards))
-
-    def count(table: pa.Table) -> pa.Table:
-        got, counts = exchange.gathered(table, KEYS)
-        order = np.argsort(got["key"], kind="stable")
-        key = got["key"][order]
-        same = np.zeros(len(key), dtype=bool)
-        same[1:] = key[1:] == key[:-1]
-        same[:-1] |= same[1:]
-        shared = np.zeros(len(key), dtype=bool)
-        shared[order] = same
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        rows = []
-        for i, (block, shard) in enumerate(zip(table.column("block").to_pylist(), table.column("shard").to_pylist())):
-            docs_ = got["doc"][ends[i] : ends[i + 1]][shared[ends[i] : ends[i + 1]]]
-            if len(docs_):
-                doc, n = np.unique(docs_, return_counts=True)
-                rows.append((block, shard, doc.tobytes(), n.astype(np.int32).tobytes()))
-        columns = list(zip(*rows)) or [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(["block", "shard", "doc", "n"], columns, kinds)})
-
-    def add(table: pa.Table) -> pa.Table:
-        got, _ = exchange.gathered(table, {"doc": I})
-        n, _ = exchange.gathered(table, {"n": np.int32})
-        doc, at = np.unique(got["doc"], return_inverse=True)
-        return pa.table({"doc_id": doc, "shared": np.bincount(at, n["n"], minlength=len(doc)).astype(I)})
+    read: ``doc_id, text, block``. A block sends each of its hashes once, with whether it has
+    it twice, and is told which ones others have: a shingle of all documents is one entry per block.
+    """
+
+    def low_sets(table: pa.Table) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        for batch in words.slices(exchange.batches(table), "text"):
+            sets = shingle_sets(words.of_texts(batch.column("text"), lower=True), shingle)
+            yield exchange.ids(batch), [s[: np.searchsorted(s, LOW)] for s in sets]
 
-    sent = docs.mapInArrow(send, exchange.schema(KEYS))
-    found = sent.groupBy("shard").applyInArrow(count, exchange.schema(FOUND))
-    return found.groupBy("block").applyInArrow(add, "doc_id long, shared long")
+    def counted(table: pa.Table) -> pa.Table:
+        sets = [s for _, found in low_sets(table) for s in found]
+        key, n = np.unique(np.concatenate([*sets, np.zeros(0, dtype=U)]), return_counts=True)
+        columns = {"key": key.astype(np.uint32), "n": np.minimum(n, 2).astype(np.uint8)}
+        return exchange.dealt(table.column("block")[0].as_py(), exchange.shard_of(key, n_shards), columns, n_shards)
+
+    def shared(table: pa.Table) -> pa.Table:
+        got, counts = exchange.gathered(table, LOW_COUNTS)
+        _, at = np.unique(got["key"], return_inverse=True)
+        return exchange.answered(table, counts, np.bincount(at, got["n"])[at] > 1, {"key": got["key"]})
+
+    def add(table: pa.Table, told: pa.Table) -> pa.Table:
+        docs_, found = [np.zeros(0, dtype=I)], [np.zeros(0)]
+        if table.num_rows and told.num_rows:
+            got, counts = exchange.gathered(told, {"key": np.uint32})
+            shard = np.repeat(told.column("shard").to_numpy(), counts)
+            known = np.unique((shard.astype(U) << U(32)) | got["key"].astype(U))
+            for own, sets in low_sets(table):
+                key = np.concatenate([*sets, np.zeros(0, dtype=U)])
+                name = (exchange.shard_of(key, n_shards).astype(U) << U(32)) | (key & U(0xFFFFFFFF))
+                hit = known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name
+                row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                docs_.append(own)
+                found.append(np.bincount(row, hit, minlength=len(sets)))
+        doc, at = np.unique(np.concatenate(docs_), return_inverse=True)
+        return pa.table({"doc_id": doc, "shared": np.bincount(at, np.concatenate(found), minlength=len(doc)).astype(I)})
+
+    by_block = read.groupBy("block")
+    sent = by_block.applyInArrow(counted, exchange.schema(LOW_COUNTS))
+    told = sent.groupBy("shard").applyInArrow(shared, exchange.schema({"key": np.uint32}))
+    return by_block.cogroup(told.groupBy("block")).applyInArrow(add, "doc_id long, shared long")
 
 
 def indexed(read: DataFrame, asked: DataFrame, n_shards: int, shingle: int, percent: int) -> DataFrame:
@@ -244,7 +243,7 @@ def similar_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     # Exact pre-filter: a partner has all but n - share(n) of the set's shingles.
     missing = F.col("n") - F.ceil(F.col("n") * percent / 100)
     likely = (
-        same.join(shared_low(texts, shingle, n_shards).withColumnRenamed("doc_id", "node"), "node", "left")
+        same.join(shared_low(read, shingle, n_shards).withColumnRenamed("doc_id", "node"), "node", "left")
         .where((F.col("n_low") - F.coalesce("shared", F.lit(0)) <= missing) & F.col("node").isNotNull())
         .select(F.pmod(F.xxhash64("node"), F.lit(n_blocks)).alias("block"), F.col("node").alias("doc_id"), "d1")
     )

@@ -1,8 +1,10 @@
 import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from sightline.llm import catalog, setjoin
+from sightline.llm import catalog, exchange, setjoin, words
 from sightline.llm.links import components
 
 
@@ -64,6 +66,22 @@ def test_query(spark, sf, text_of):
     assert tuples(got) == brute(sorted(text_of.items()))
 
 
+def test_a_shingle_of_all_texts_is_one_entry_per_block(spark, docs_of):
+    """Counts of shared hashes equal brute force, with common shingles and several blocks."""
+    common = " ".join(f"head{i}" for i in range(40))
+    rows = [(i, f"{common} " + " ".join(f"own{i}x{j % (3 + i % 5)}y{j}" for j in range(30))) for i in range(200)]
+    rows += [(7, "another text of a known id"), (None, common), (300, None), (301, "")]
+    read = docs_of(rows).selectExpr("doc_id", "coalesce(text, '') AS text", "pmod(xxhash64(doc_id), 6) AS block")
+    got = {r["doc_id"]: r["shared"] for r in setjoin.shared_low(read, 3, 3).collect()}
+
+    lows = [(i, s[s < setjoin.LOW]) for i, s in zip([i for i, _ in rows], setjoin.shingle_sets(words.of_texts(pa.array([t or "" for _, t in rows]), lower=True), 3))]
+    seen = Counter(k for _, low in lows for k in low.tolist())
+    want = Counter()
+    for i, low in lows:
+        want[exchange.NO_ID if i is None else i] += sum(seen[k] > 1 for k in low.tolist())
+    assert {i: n for i, n in got.items() if n} == {i: n for i, n in want.items() if n}
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 70), (70, 90), (5, 5)]
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
