@@ -417,22 +417,30 @@ def labelled_by_tags(html: str) -> tuple[list[Block], np.ndarray] | None:
     return found, clear.astype(float)
 
 
-def learn(pages: DataFrame, train_pages: int = 200, made_pages: int = 1200, seed: int = 7) -> dict[str, np.ndarray]:
+def sampled(pages: DataFrame, most: int, most_chars: int) -> list[str]:
+    """``most`` pages of 1 to ``most_chars`` characters, picked by the hash of their id.
+
+    The ids are picked first, each page and id once, so the html of no other page is sent.
+    """
+    usable = pages.where(F.length("html").between(1, most_chars)).select("page_id", "html", F.xxhash64("html").alias("page_hash"))
+    order = [F.xxhash64("page_id"), "page_id", "page_hash"]
+    picked = usable.select("page_id", "page_hash").distinct().orderBy(*order).limit(most)
+    same = F.col("page_id").eqNullSafe(F.col("picked_id")) & (F.col("page_hash") == F.col("picked_hash"))
+    found = usable.join(F.broadcast(picked.toDF("picked_id", "picked_hash")), same, "left_semi")  # at most ``most`` pairs of numbers
+    return [r["html"] for r in found.dropDuplicates(["page_id", "page_hash"]).orderBy(*order).collect()]
+
+
+def learn(pages: DataFrame, train_pages: int = 200, made_pages: int = 1200, seed: int = 7, train_chars: int = 100_000) -> dict[str, np.ndarray]:
     """Weights of a network trained for the pages at hand.
 
-    train_pages: bound of the sample; pages of more than 100,000 characters are not sampled.
+    train_pages: bound of the sample; train_chars: longer pages are labelled like all, but not
+    trained on, so that the sample's size has a bound.
     """
-    sample = (
-        pages.where("html IS NOT NULL AND length(html) BETWEEN 1 AND 100000")
-        .select("page_id", "html")
-        .orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html"))
-        .limit(train_pages)
-        .collect()
-    )
+    sample = sampled(pages, train_pages, train_chars)
     rng = np.random.default_rng(seed)
-    lines = [b.text for row in sample for b in blocks_of(row["html"])] or ["Some text, as an example.", "More of it"]
+    lines = [b.text for html in sample for b in blocks_of(html)] or ["Some text, as an example.", "More of it"]
     made = [labelled_by_mark(made_page(rng, lines)) for _ in range(made_pages)]
-    made += [x for row in sample if (x := labelled_by_tags(row["html"])) is not None]
+    made += [x for html in sample if (x := labelled_by_tags(html)) is not None]
     return train([m[0] for m in made], [m[1] for m in made], seed=seed)
 
 

@@ -83,6 +83,15 @@ def test_edge_cases(spark, weights):
     assert hb.extract(spark.createDataFrame([], "page_id long, url string, html string"), weights).count() == 0
 
 
+def test_sample_holds_a_repeated_page_once(spark):
+    rows = [(1, "<p>hot</p>")] * 500 + [(i, f"<p>page {i}</p>") for i in range(2, 60)] + [(None, "<p>no id</p>"), (70, None), (71, ""), (72, "x" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(7)
+    all_ = hb.sampled(pages, 1000, 100)
+    assert sorted(all_) == sorted({h for _, h in rows if h and len(h) <= 100})
+    some = hb.sampled(pages, 20, 100)
+    assert some == all_[:20] and hb.sampled(pages.limit(0), 20, 100) == []
+
+
 def test_query(spark, sf):
     got = catalog.QUERIES["op10_html_extraction"](spark, sf)
     assert got.columns == ["page_id", "url", "text", "n_chars"] and got.where("n_chars = 0").count() == 0
