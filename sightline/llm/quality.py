@@ -23,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sightline.llm import words
@@ -217,9 +217,10 @@ class Model(NamedTuple):
 def fit(docs: DataFrame, labels: DataFrame, lexicon_rows: int = 20_000, train_rows: int = 8_000) -> Model:
     """Estimate the labellers and train the scorer on docs (``doc_id, text``).
 
-    labels: ``doc_id, quality, toxic`` of some documents; they vote as labellers.
+    labels: ``doc_id, quality, toxic`` of some documents; they vote as labellers. The training
+    sample holds an id once (with the text of the least hash), whatever the number of its rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_hash", F.xxhash64("text"))
     labels = labels.select("doc_id", "quality", "toxic")
     abuse = word_hashes(list(ABUSE))
     learned = learn_abuse(docs, labels, lexicon_rows)
@@ -229,13 +230,14 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon_rows: int = 20_000, train_ro
         for batch in words.slices(batches, "text"):
             votes = labeller_votes(words.stripped(words.of_texts(batch.column("text"))), abuse, learned)
             arrays = [pa.array(votes[name], pa.int8()) for name in names]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *arrays], ["doc_id", "text_hash", *names])
 
-    read = docs.mapInArrow(vote, "doc_id long, " + ", ".join(f"{name} tinyint" for name in names))
+    read = docs.mapInArrow(vote, "doc_id long, text_hash long, " + ", ".join(f"{name} tinyint" for name in names))
     given = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     as_vote = lambda bad, good: F.when(bad, BAD).when(good, GOOD).otherwise(NONE).cast("tinyint")
     voted = read.join(given, "doc_id", "left").select(
         "doc_id",
+        "text_hash",
         *names,
         as_vote(F.col("quality") == 0, F.col("quality") == 1).alias("label_quality"),
         as_vote(F.col("toxic") == 1, F.col("toxic") == 0).alias("label_toxic"),
@@ -253,8 +255,10 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon_rows: int = 20_000, train_ro
             clean *= 1 - estimate(table[:, columns], counts)[0]
     posterior = {tuple(p): 1 - c for p, c in zip(table.tolist(), clean)}
 
-    chosen = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    chosen = {r["doc_id"]: posterior[tuple(r[name] for name in FORM + TONE)] for r in chosen.collect()}
+    chosen = {
+        (r["doc_id"], r["text_hash"]): posterior[tuple(r[name] for name in FORM + TONE)]
+        for r in _lowest(voted.where("doc_id IS NOT NULL"), train_rows, int(counts.sum()))
+    }
     weights, bias = _fit(docs, chosen, abuse, learned)
     return Model(abuse, learned, weights.astype(np.float32), float(bias))
 
@@ -292,9 +296,25 @@ def keep_good(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     return docs.mapInArrow(kept, docs.schema)
 
 
-def _fit(docs: DataFrame, chosen: dict[int, float], abuse: np.ndarray, learned: np.ndarray):
+def _lowest(voted: DataFrame, bound: int, total: int) -> list[Row]:
+    """One row of each of the ``bound`` ids with the least hashes.
+
+    Rows above a hash that four times the bound are expected below are left out before
+    anything moves; where repeated ids leave too few, the rest is read as well.
+    """
+    key = F.xxhash64("doc_id")
+    below = min(2**63 - 1, -(2**63) + 4 * bound * 2**64 // max(total, 1))
+    for rows in (voted.where(key <= below), voted):
+        once = rows.groupBy("doc_id").agg(F.min(F.struct("text_hash", *FORM, *TONE)).alias("r")).select("doc_id", "r.*")
+        found = once.orderBy(key, "doc_id").limit(bound).collect()
+        if len(found) == bound or below == 2**63 - 1:
+            break
+    return found
+
+
+def _fit(docs: DataFrame, chosen: dict[tuple[int, int], float], abuse: np.ndarray, learned: np.ndarray):
     """Scorer of the chosen documents (a bounded number), from features made on the executors."""
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    ids = docs.sparkSession.createDataFrame(list(chosen), "doc_id long, text_hash long")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text"):
@@ -306,12 +326,15 @@ def _fit(docs: DataFrame, chosen: dict[int, float], abuse: np.ndarray, learned:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "slots", "vals"])
 
     rows = (
-        docs.join(F.broadcast(ids), "doc_id")
+        docs.join(F.broadcast(ids), ["doc_id", "text_hash"])
+        .dropDuplicates(["doc_id"])
+        .select("doc_id", "text")
         .mapInArrow(featured, "doc_id long, slots array<int>, vals array<float>")
         .toArrow()
         .sort_by("doc_id")
     )
     slots, vals = rows["slots"].combine_chunks(), rows["vals"].combine_chunks()
     row = np.repeat(np.arange(len(rows)), np.diff(slots.offsets.to_numpy())) if len(rows) else np.zeros(0, dtype=int)
-    target = np.array([chosen[i] for i in rows["doc_id"].to_pylist()])
+    wanted = {i: clean for (i, _), clean in chosen.items()}
+    target = np.array([wanted[i] for i in rows["doc_id"].to_pylist()])
     return train_scorer(row, slots.flatten().to_numpy(), vals.flatten().to_numpy().astype(float), target)

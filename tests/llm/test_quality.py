@@ -51,6 +51,25 @@ def test_nulls_empty_and_repeated_rows(spark, docs_of):
     assert quality.classify(docs_of([]), labels).count() == 0
 
 
+def test_a_repeated_id_is_one_row_of_the_sample(spark, docs_of):
+    """The bounded sample is the same whatever the number of copies of a row, and texts of an id count once."""
+    kinds = lambda i: "calm words and so on, told at some length here." if i % 4 else "| ".join(["junk"] * 60)
+    rows = [(i, f"{kinds(i)} n{i}") for i in range(300)]
+    hot = rows + [(5, f"{kinds(5)} n5")] * 400
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0, "clash") for i in range(0, 300, 2)], LABELS)
+    seen = []
+
+    def keep_rows(row, slot, value, target):
+        seen.append(target)
+        return np.zeros(quality.N_WEIGHTS), 0.0
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "train_scorer", keep_rows)
+        for given in (rows, hot, rows + [(5, f"other {k}") for k in range(400)]):
+            quality.fit(docs_of(given), labels, train_rows=40)
+    assert [len(t) for t in seen] == [40, 40, 40]
+
+
 def test_votes_abstain_where_texts_are_short():
     import pyarrow as pa
 
