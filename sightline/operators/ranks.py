@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sightline.functions.urls import normalize_url
 from sightline.operators.answers import brand_rates
 from sightline.operators.detect import cited_pairs
 from sightline.operators.domains import with_owner
@@ -95,13 +96,73 @@ def competitor_duel(log) -> DataFrame:
     )
 
 
-def signal_calibration(pages: DataFrame, cited: DataFrame, signals: list[str]) -> DataFrame:
+def _some(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit("")) != ""
+
+
+def page_flags() -> dict[str, Column]:
+    """Signals of a page record as yes or no, by name, to be held against citations."""
+    many = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    count = lambda c, least=1: F.coalesce(F.col(c), F.lit(0)) >= least
+    return {
+        "description": _some("description"),
+        "canonical_self": F.col("canonical_self"),
+        "snippet_directive": many("snippet_directives"),
+        "structured_data": many("json_ld_types"),
+        "person_schema": F.col("person_schema"),
+        "organization_schema": F.col("organization_schema"),
+        "same_as": many("same_as"),
+        "author": _some("author"),
+        "dated": _some("date_modified") | _some("date_published"),
+        "title_year": F.col("title_year").isNotNull(),
+        "question_headings": count("h2_questions"),
+        "entity_headings": count("h2_entities"),
+        "lists": count("lists_count"),
+        "tables": count("tables_count"),
+        "numbers": count("numbers_count", 5),
+        "quotes": count("quote_count"),
+        "faq": F.col("has_faq"),
+        "summary_block": F.col("has_summary_block"),
+        "outbound_links": count("outbound_links"),
+        "about_contact_links": F.col("about_contact_links"),
+        "brand_consistent": F.col("brand_consistent"),
+        "contact_form": F.col("contact_form"),
+        "long_text": count("word_count", 300),
+        "script_rendered": F.col("js_suspect"),
+    }
+
+
+def cited_pages(log) -> DataFrame:
+    """``page, engine_id, cited``: pages that answers of the window have as a source, and whether one cites it."""
+    answers = log.window().select("result_id", "engine_id")
+    return log.sources.join(answers, "result_id").groupBy("engine_id", normalize_url(F.col("url")).alias("page")).agg(
+        F.max("cited").alias("cited")
+    )
+
+
+def signal_calibration(pages: DataFrame, cited: DataFrame, signals: dict[str, Column] | list[str]) -> DataFrame:
     """Per engine and signal: share of cited pages among those that have the signal and those that do not.
 
-    pages: ``page`` and one boolean column per signal; cited: ``page, engine_id, cited``.
+    pages: one record per ``page``; signals: conditions on it by name, or names of boolean
+    columns; an unknown signal counts as absent. cited: ``page, engine_id, cited``.
     """
-    listed = F.array(*[F.struct(F.lit(s).alias("signal"), F.coalesce(F.col(s), F.lit(False)).alias("has")) for s in signals])
-    rows = cited.join(pages.select("page", F.explode(listed).alias("s")), "page")
-    return rows.groupBy("engine_id", F.col("s.signal").alias("signal"), F.col("s.has").alias("has_signal")).agg(
-        F.count("*").alias("n"), F.avg(F.col("cited").cast("int")).alias("cited_share")
+    tests = signals if isinstance(signals, dict) else {s: F.col(s) for s in signals}
+    flags = pages.select("page", *[F.coalesce(test, F.lit(False)).alias(f"_f{i}") for i, test in enumerate(tests.values())])
+    # Per engine, one pass counts all signals: a row per page and signal is never made.
+    met = cited.join(flags, "page").groupBy("engine_id").agg(
+        F.count("*").alias("_n"),
+        F.count_if(F.col("cited")).alias("_c"),
+        F.array(*[_met(name, F.col(f"_f{i}")) for i, name in enumerate(tests)]).alias("_signals"),
     )
+    each = met.select("engine_id", "_n", "_c", F.explode("_signals").alias("s"))
+    has = F.struct(F.lit(True).alias("has"), F.col("s.n").alias("n"), F.col("s.cited").alias("cited"))
+    lacks = F.struct(F.lit(False).alias("has"), (F.col("_n") - F.col("s.n")).alias("n"), (F.col("_c") - F.col("s.cited")).alias("cited"))
+    sides = each.select("engine_id", F.col("s.signal").alias("signal"), F.explode(F.array(has, lacks)).alias("side")).where("side.n > 0")
+    return sides.select(
+        "engine_id", "signal", F.col("side.has").alias("has_signal"), F.col("side.n").alias("n"),
+        (F.col("side.cited") / F.col("side.n")).alias("cited_share"),
+    )
+
+
+def _met(name: str, flag: Column) -> Column:
+    return F.struct(F.lit(name).alias("signal"), F.count_if(flag).alias("n"), F.count_if(flag & F.col("cited")).alias("cited"))

@@ -187,22 +187,6 @@ for _name, _op in {
     query(_name)(_op)
 
 
-@query("signal_calibration")
-def _calibration(log):
-    """Three signals of a URL held against whether answers cite it, per engine."""
-    from sightline.functions.urls import normalize_url
-
-    answers = log.window().select("result_id", "engine_id")
-    cited = log.sources.join(answers, "result_id").groupBy("engine_id", normalize_url(F.col("url")).alias("page")).agg(
-        F.max("cited").alias("cited")
-    )
-    number = F.regexp_extract("page", "([0-9]+)$", 1).cast("int")
-    pages = cited.select("page").distinct().select(
-        "page", (number % 2 == 0).alias("even"), (number >= 25).alias("late"), F.contains("page", F.lit("s1")).alias("one")
-    )
-    return N.signal_calibration(pages, cited, ["even", "late", "one"])
-
-
 @query("tag_vocabulary")
 def _tags(log):
     return log.prompts.select("project_id", F.explode("tags").alias("tag")).distinct()

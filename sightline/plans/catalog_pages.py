@@ -9,6 +9,7 @@ from sightline.functions import constants as K
 from sightline.functions import dates, text, urls
 from sightline.operators import analysis as Y
 from sightline.operators import inspections as I
+from sightline.operators import ranks as N
 from sightline.operators import robots as B
 from sightline.operators import scoring as S
 from sightline.operators.page_type import with_page_type
@@ -305,6 +306,13 @@ def _built_signals(log):
     )
 
 
+@query("signal_calibration")
+def _calibration(log):
+    """Signals of the kept page records held against whether answers cite the page, per engine."""
+    records = page_cache(log).refresh(source_pages(log), ts(NOW_INDEX))
+    return N.signal_calibration(records, N.cited_pages(log), N.page_flags())
+
+
 @query("inspection_content_scores")
 def _inspection_content(log):
     """Grid rows of each inspection's target for each of its questions."""

@@ -75,6 +75,6 @@ def _stream_daily(log):
 @query("stream_cost_cap")
 def _stream_cap(log):
     caps = log.projects.select("project_id", (F.col("cost_cap_eur") / K.USD_TO_EUR).alias("cap_usd"))
-    answers = log.answers_from(_stream(log, "orders")).select("run_id", "project_id", "cost_usd")
+    answers = log.answers_from(_stream(log, "orders")).select("run_id", "project_id", "cost_usd", "created_at")
     told = jobs.run_available(jobs.cost_cap(answers, caps), "stream-cap", "update")
     return told.select("run_id", F.round("cap_usd", 6).alias("cap_usd"), F.round("spent_usd", 6).alias("spent_usd"))

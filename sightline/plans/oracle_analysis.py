@@ -67,6 +67,15 @@ METRICS = {
     "quoteCount": "quote_count", "ageMonths": "age", "author": "person_schema::INT", "organizationSchema": "organization_schema::INT", "sameAs": "same_as",
 }
 
+FLAGS_OF_PAGES = {
+    "description": "description<>''", "canonical_self": "canonical_self", "snippet_directive": "snippet_directives<>''", "structured_data": "json_ld_types<>''",
+    "person_schema": "person_schema", "organization_schema": "organization_schema", "same_as": "same_as>0", "author": "author IS NOT NULL",
+    "dated": "date_modified IS NOT NULL", "title_year": "title_year IS NOT NULL", "question_headings": "q>0", "entity_headings": "e>0", "lists": "lists_count>0",
+    "tables": "tables_count>0", "numbers": "numbers_count>=5", "quotes": "quote_count>0", "faq": "has_faq", "summary_block": "has_summary_block",
+    "outbound_links": "q>0", "about_contact_links": "about_contact_links", "brand_consistent": "brand_consistent", "contact_form": "contact_form",
+    "long_text": "word_count>=300", "script_rendered": "js_suspect",
+}
+
 
 def chain() -> dict[str, str]:
     """Blocks of the chain: candidates, signals of targets and candidates, grid rows, totals."""
@@ -100,6 +109,15 @@ def analysis_sql() -> None:
         numbers_count, lists_count, tables_count, has_faq, has_summary_block, q AS h2_questions, e AS h2_entities, quote_count, title_year, place_mentioned, lang='en' AS lang_matches,
         snippet_directives, brand_name, brand_consistent, contact_form, first_quarter_words, page_type, type_confidence FROM ({signals("SELECT page FROM wsources")})"""
     )
+    held = " UNION ALL ".join(f"SELECT page, '{name}' AS signal, {test} AS has_signal FROM sg" for name, test in FLAGS_OF_PAGES.items())
+    q["signal_calibration"] = with_ctes(
+        "SELECT engine_id, signal, has_signal, count(*) AS n, avg(CAST(cited AS INTEGER)) AS cited_share FROM pc JOIN held USING (page) GROUP BY 1,2,3",
+        extra={
+            "pc": "SELECT engine_id, page, bool_or(cited) AS cited FROM wsources GROUP BY 1,2",
+            "sg": signals("SELECT page FROM wsources"),
+            "held": held,
+        },
+    )
     q["inspection_content_scores"] = with_ctes(
         """SELECT q.inspection_id, q.question_index, g.page_type, CAST(c.total AS INTEGER) AS total, g.key, g.points, g.max
         FROM questions q JOIN inspections i USING (inspection_id) JOIN gr g ON g.page=i.page JOIN ct c ON c.page=i.page""",

@@ -310,13 +310,6 @@ def detail_sql() -> None:
         WHERE e.entity_type='competitor' GROUP BY 1,2,3""",
         extra={"wb": "SELECT project_id, result_id, cited AS bc FROM b WHERE error IS NULL"},
     )
-    q["signal_calibration"] = with_ctes(
-        """SELECT engine_id, signal, has_signal, count(*) AS n, avg(CAST(cited AS INTEGER)) AS cited_share FROM (
-        SELECT engine_id, cited, unnest([{'signal':'even','has':num%2=0},{'signal':'late','has':num>=25},{'signal':'one','has':contains(page,'s1')}], recursive:=true) FROM pc) x(engine_id, cited, signal, has_signal) GROUP BY 1,2,3""",
-        extra={
-            "pc": "SELECT engine_id, page, bool_or(cited) AS cited, CAST(regexp_extract(page,'([0-9]+)$',1) AS INTEGER) AS num FROM wsources GROUP BY 1,2"
-        },
-    )
 
 
 runs_sql()

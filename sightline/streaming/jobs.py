@@ -70,37 +70,49 @@ def _partial_costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Sum the costs per run within a task, so a busy run sends a few rows on."""
     for batch in batches:
         if batch.num_rows:
-            sums = pa.Table.from_batches([batch]).group_by(["run_id", "cap"]).aggregate([("cost", "sum")])
-            yield from sums.select(["run_id", "cap", "cost_sum"]).rename_columns(["run_id", "cap", "cost"]).combine_chunks().to_batches()
+            sums = pa.Table.from_batches([batch]).group_by(["run_id", "cap"]).aggregate([("cost", "sum"), ("at_ms", "max")])
+            named = sums.select(["run_id", "cap", "cost_sum", "at_ms_max"]).rename_columns(["run_id", "cap", "cost", "at_ms"])
+            yield from named.combine_chunks().to_batches()
 
 
 def _check_cap(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    spent, told = state.get if state.exists else (0, False)
+    if state.hasTimedOut:
+        state.remove()
+        return
+    spent, told, last = state.get if state.exists else (0, False, 0)
     cap = None
     for frame in frames:
         spent += int(frame["cost"].sum())
         cap = int(frame["cap"].iloc[0])
+        if frame["at_ms"].notna().any():
+            last = max(last, int(frame["at_ms"].max()))
     if cap is not None and spent > cap and not told:
         told = True
         yield pd.DataFrame({"run_id": [key[0]], "spent_usd": [spent / 1e9], "cap_usd": [cap / 1e9]})
-    state.update((spent, told))
+    state.update((spent, told, last))
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
 
 
-def cost_cap(stream: DataFrame, caps: DataFrame) -> DataFrame:
+def cost_cap(stream: DataFrame, caps: DataFrame, at: str = "created_at", keep: str = "7 days") -> DataFrame:
     """One row per run, the first time its cumulative cost exceeds its cap.
 
-    The state is one number and one flag per run; it is kept, because a processing-time limit
-    would keep a job over what is available from ever ending.
+    The state is two numbers and one flag per run, let go once answers arrive that are more than
+    ``keep`` younger than the run's last one; rows that are that late themselves are dropped
+    and counted by Spark, so ``keep`` must exceed any delay of an answer. Time is that of the rows:
+    a replay of old files behaves as the live job did, and ends. Rows without a time or a cost are
+    counted as they are and cost nothing, respectively.
     Money travels as whole billionths, so the sum does not depend on the order.
-    ``stream``: (run_id, cost_usd); ``caps``: (run_id or project_id, cap_usd), joined by the shared column.
+    ``stream``: (run_id, cost_usd, created_at); ``caps``: (run_id or project_id, cap_usd), joined by the shared column.
     """
     key = "run_id" if "run_id" in caps.columns else "project_id"
     money = stream.join(caps, key).select(
-        "run_id", F.round(F.col("cap_usd") * 1e9).cast("long").alias("cap"), F.round(F.col("cost_usd") * 1e9).cast("long").alias("cost")
+        F.col("run_id").cast("string").alias("run_id"), F.round(F.col("cap_usd") * 1e9).cast("long").alias("cap"),
+        F.coalesce(F.round(F.col("cost_usd") * 1e9).cast("long"), F.lit(0)).alias("cost"), F.unix_millis(F.col(at).cast("timestamp")).alias("at_ms"),
     )
-    partial = money.mapInArrow(_partial_costs, "run_id string, cap long, cost long")
-    return partial.groupBy("run_id").applyInPandasWithState(
-        _check_cap, "run_id string, spent_usd double, cap_usd double", "spent long, told boolean", "update", GroupStateTimeout.NoTimeout
+    partial = money.mapInArrow(_partial_costs, "run_id string, cap long, cost long, at_ms long")
+    timed = partial.withColumn("_at", F.timestamp_millis("at_ms")).withWatermark("_at", keep)
+    return timed.groupBy("run_id").applyInPandasWithState(
+        _check_cap, "run_id string, spent_usd double, cap_usd double", "spent long, told boolean, last long", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
