@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -45,12 +47,9 @@ ENDS = {
     "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"},
 }
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?"
-    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*+))")
+_DECLARED = re.compile(r"<[!?]")
+_MARKS = re.compile(r"[\"'>]")
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 PATH_ROWS, WORD_ROWS, PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 4096, 4096, 24, 8, 10, 24
@@ -72,10 +71,30 @@ def _named(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _tag_ends(html: str) -> tuple[list[int], list[int]]:
+    """Places of quotes and ``>``, and for each where a tag that reaches it outside quotes ends (-1: nowhere).
+
+    One pass from the right for the whole page: a tag that never ends costs no scan of its own.
+    """
+    marks = [m.start() for m in _MARKS.finditer(html)]
+    ends = [-1] * (len(marks) + 1)
+    later: dict[str, int] = {}
+    for i in range(len(marks) - 1, -1, -1):
+        mark = html[marks[i]]
+        if mark == ">":
+            ends[i] = marks[i]
+            continue
+        if mark in later:
+            ends[i] = ends[later[mark] + 1]
+        later[mark] = i
+    return marks, ends
+
+
 def blocks_of(html: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = in_link = 0
 
@@ -94,21 +113,36 @@ def blocks_of(html: str) -> list[Block]:
         if in_link:
             linked += len(text.strip())
 
-    at, size = 0, len(html)
+    def leave() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
+    marks, ends = _tag_ends(html)
+    at, size, last = 0, len(html), html.rfind(">")
     while at < size:
-        tag = _TAG.search(html, at)
+        tag = _OPEN.search(html, at)
         if not tag:
             add(html[at:])
             break
+        if tag[2] and tag.start() > last:
+            # No tag ends from here on; a comment or a declaration takes the rest.
+            rest = _DECLARED.search(html, tag.start())
+            add(html[at : rest.start() if rest else size])
+            break
         if tag.start() > at:
             add(html[at : tag.start()])
         at = tag.end()
-        closing, name, attributes = tag[1], tag[2], tag[3]
-        if name is None:
-            closing, name, attributes = tag[4], tag[5], tag[6]
-            if name is None:
-                continue  # a comment or a declaration
-        name = name.lower()
+        if not tag[2]:
+            until = "-->" if tag[0] == "<!--" else ">"
+            end = html.find(until, at)
+            at = end + len(until) if end >= 0 else size
+            continue
+        end = ends[bisect_left(marks, at)]
+        if end < 0:
+            end = html.find(">", at)  # its quotes are not closed
+        closing, name, attributes = tag[1], tag[2].lower(), html[at:end]
+        at = end + 1
         if name in HIDDEN_TAGS:
             if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
@@ -123,18 +157,17 @@ def blocks_of(html: str) -> list[Block]:
         flush()
         in_link = 0
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    del stack[depth:]
-                    break
+            while opened[name] and leave() != name:
+                pass
             continue
         if stack and stack[-1][0] == "p":
-            stack.pop()
+            leave()
         over = ENDS.get(name)
         while over and stack and stack[-1][0] in over:
-            stack.pop()
+            leave()
         if name not in VOID_TAGS:
             stack.append((name, _named(name, attributes)))
+            opened[name] += 1
     flush()
     return found
 

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -21,6 +23,28 @@ def test_blocks_of_broken_pages():
     assert texts("<" * 2000 + "a") == ["<" * 2000 + "a"]
 
 
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[A-Za-z][^\s/>]*+(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[A-Za-z][^>]*>", re.S
+)
+
+
+def test_tags_end_as_one_pattern_says():
+    """Random broken markup without block tags: the text between tags, read with one pattern."""
+    rng = random.Random(5)
+    for _ in range(4000):
+        page = "".join(rng.choice(["<", "<a", "</b", " ", ">", '"', "'", "x", "!", "--", "<!--", "-->", "/", "<?"]) for _ in range(rng.randint(0, 24)))
+        want = " ".join(TAG.sub("", page).split())
+        assert texts(page) == ([want] if want else []), page
+
+
+def test_broken_pages_take_one_scan():
+    n = 200_000
+    for page in ("<a " * n, '<a "' * n, '<a ">" ' * n, "<a<" * n, "<a '>" * n, "<!" * n, "<ul>" * n + "</p>" * n, "x" + "<p>" * n):
+        start = time.perf_counter()
+        hb.blocks_of(page)
+        assert time.perf_counter() - start < 10, page[:20]
+
+
 def test_path_and_links():
     block = hb.blocks_of('<div class="side-bar bigBox" id=x1><a href="/">go</a> on')[0]
     assert block == hb.Block(("div", ".side", ".bar", ".big", ".box", ".x"), "go on", 2)
