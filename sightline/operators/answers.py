@@ -16,7 +16,7 @@ from sightline.functions.dates import local_day
 from sightline.functions.pricing import exact_sum
 from sightline.operators.detect import brand_flags, cited_pairs, entity_flags
 from sightline.operators.rates import euros, percent, points, rate, status, theme_order, themes
-from sightline.operators.windows import exact_median, top_per_group
+from sightline.operators.windows import exact_median, ordinal, top_per_group
 
 
 def _brand(log, answers: DataFrame) -> DataFrame:
@@ -309,10 +309,16 @@ def answer_status(log) -> DataFrame:
 
 
 def prompt_positions(log) -> DataFrame:
-    """Place of every prompt in its project's list: active ones first, then the newest."""
+    """Place of every prompt in its project's list: active ones first, then the newest.
+
+    Numbered by slices of (active, day), so a project with very many prompts is no single sort.
+    Unknown activity and an unknown time come last.
+    """
     order = [F.desc("active"), F.desc("created_at"), F.asc("prompt_id")]
+    # Slices in the order of the list: counted backwards, as later days come first.
+    slices = [F.coalesce((~F.col("active")).cast("int"), F.lit(2)), F.coalesce(-F.unix_date(F.to_date("created_at")), F.lit(2**31 - 1))]
     listed = log.prompts.select("project_id", "prompt_id", "active", "created_at")
-    return listed.withColumn("position", F.row_number().over(W.partitionBy("project_id").orderBy(*order)))
+    return ordinal(listed, ["project_id"], order, "position", slices)
 
 
 def prompt_matrix(log) -> DataFrame:

@@ -50,42 +50,63 @@ def _path_pattern(path: Column) -> Column:
     return F.concat(F.lit("^"), open_end)
 
 
+# Groups that decide for an AI agent: its own, or the one for all.
+_GROUPS = [a[0].lower() for a in K.AI_AGENTS] + ["*"]
+
+
+def _literal_prefix(path: Column) -> Column:
+    """The start of a robots path that holds no special character."""
+    return F.regexp_replace(F.substring_index(path, "*", 1), r"\$$", "")
+
+
+def heeded_groups(bodies: DataFrame, rules: DataFrame) -> DataFrame:
+    """Per origin: ``heeded``, for each agent in list order the place of its group in ``_GROUPS`` (null:
+    none); ``named``, whether the file names it; ``lengths``, the lengths of the rules' prefixes."""
+    present = F.col("present")
+    named = [F.bool_or(F.contains(F.lower("body"), F.lit(f"user-agent: {g}"))) for g in _GROUPS[:-1]]
+    heeded = [F.when(F.array_contains(present, g), i).when(F.array_contains(present, "*"), len(_GROUPS) - 1) for i, g in enumerate(_GROUPS[:-1])]
+    # Ten groups and as many lengths as a path is long, at most.
+    groups = rules.groupBy("origin").agg(F.collect_set("group_agent").alias("present"), F.collect_set(F.length("prefix")).alias("lengths"))
+    sites = bodies.groupBy("origin").agg(F.array(*named).alias("named")).join(groups, "origin", "left")
+    return sites.select("origin", "named", F.array(*heeded).alias("heeded"), "lengths")
+
+
 def robots_access(pages: DataFrame, files: DataFrame) -> DataFrame:
     """Per page and AI agent: allowed, and named explicitly or not.
 
     ``pages``: (page_id, origin, page_path); ``files``: (origin, body), no row or a null
     body meaning no file (all allowed). The most specific group applies (the
-    agent's own, else ``*``), then the longest matching path; allow wins a tie.
+    agent's own, else ``*``), then the longest matching path; allow wins a tie. A null
+    origin or path is matched by no rule.
 
-    A file's groups become one short row per origin, joined once with the pages; each page
-    then judges each group once, and the agents read the verdict of their group.
+    Rules are looked up as in a trie: a path asks for its prefixes, at the lengths that its site's
+    rules have, by an equality join on (origin, prefix). So a long file costs a page no more than
+    a short one, a hot origin is spread over its paths, and no text of a file reaches a page row.
     """
     bodies = files.filter(F.col("body").isNotNull())
-    rules = robots_rules(bodies).withColumn("pattern", _path_pattern(F.col("path")))
-    rule = F.when(F.col("path").isNotNull(), F.struct("path", "allow", "pattern"))
-    # A robots file is short (crawlers read 500 KB at most), and so are its lists.
-    groups = rules.groupBy("origin", "group_agent").agg(F.collect_list(rule).alias("rules"))
-    sites = groups.groupBy("origin").agg(F.collect_list(F.struct("group_agent", "rules")).alias("groups"))
-    sites = bodies.select("origin", F.lower("body").alias("_body")).join(sites, "origin", "left")
-
-    def verdict(group: Column) -> Column:
-        hits = F.filter(group["rules"], lambda r: F.regexp_like(F.col("page_path"), r["pattern"]))
-        best = F.array_max(F.transform(hits, lambda r: F.struct(F.length(r["path"]).alias("length"), r["allow"].alias("allow"))))
-        return F.struct(group["group_agent"].alias("group_agent"), F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
-
-    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(a, ("agent", "vendor", "role"))]) for a in K.AI_AGENTS])
-    judged = pages.join(sites, "origin", "left").select(
-        "page_id", "_body", F.coalesce(F.transform("groups", verdict), F.array().cast("array<struct<group_agent:string,allowed:boolean>>")).alias("verdicts")
+    rules = robots_rules(bodies).filter(F.col("group_agent").isin(*_GROUPS)).withColumn("prefix", _literal_prefix(F.col("path")))
+    sites = heeded_groups(bodies, rules)
+    pages = pages.select("page_id", "origin", "page_path")
+
+    asked = pages.select("origin", "page_path").dropna().distinct()
+    lengths = F.filter("lengths", lambda n: n <= F.length("page_path"))
+    probes = asked.join(sites.select("origin", "lengths"), "origin").select("origin", "page_path", F.explode(lengths).alias("n"))
+    probes = probes.select("origin", "page_path", F.left(F.col("page_path"), F.col("n")).alias("prefix"))
+    special = F.contains("path", F.lit("*")) | F.endswith("path", F.lit("$"))
+    found = probes.join(rules.filter(F.col("path").isNotNull()), ["origin", "prefix"]).filter(
+        ~special | F.regexp_like("page_path", _path_pattern(F.col("path")))
     )
+    # The longest path wins, and of equal ones the one that allows: the last bit says so.
+    weight = F.length("path") * 2 + F.col("allow").cast("int")
+    best = F.array(*[F.max(F.when(F.col("group_agent") == g, weight)) for g in _GROUPS])
+    verdicts = found.groupBy("origin", "page_path").agg(best.alias("best"))
 
-    def of_group(name: Column) -> Column:
-        return F.try_element_at(F.filter("verdicts", lambda v: v["group_agent"] == name), F.lit(1))["allowed"]
-
-    own = F.lower("x.agent")
-    return judged.select("page_id", "_body", "verdicts", F.explode(listed).alias("x")).select(
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(a, ("agent", "vendor", "role"))]) for a in K.AI_AGENTS])
+    judged = pages.join(sites.drop("lengths"), "origin", "left").join(verdicts, ["origin", "page_path"], "left")
+    rule = F.get("best", F.get("heeded", F.col("i")))
+    return judged.select("page_id", "heeded", "named", "best", F.posexplode(listed).alias("i", "x")).select(
         "page_id", "x.agent", "x.vendor", "x.role",
-        F.coalesce(of_group(own), of_group(F.lit("*")), F.lit(True)).alias("allowed"),
-        F.coalesce(F.contains(F.col("_body"), F.concat(F.lit("user-agent: "), own)), F.lit(False)).alias("explicit"),
+        F.coalesce(rule % 2 == 1, F.lit(True)).alias("allowed"), F.coalesce(F.get("named", F.col("i")), F.lit(False)).alias("explicit"),
     )
 
 

@@ -88,6 +88,38 @@ def test_exact_median(spark):
     assert got == {1: 5.0, 2: 2.5}
 
 
+@pytest.mark.parametrize("kind", ["short", "int", "long", "double"])
+def test_exact_median_of_unique_values(spark, kind):
+    """A hot key of unique values, a null key, negative values and nulls; no task gets all values of a key."""
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    spread = {"short": 2**15 - 1, "int": 2**31 - 1, "long": 2**52, "double": 1e9}[kind]
+    one = (lambda: rng.uniform(-spread, spread)) if kind == "double" else (lambda: rng.randint(-spread, spread))
+    rows = [(1, "e", one()) for _ in range(5001)] + [(1, "e", None)] + [(2, None, one()) for _ in range(4)] + [(3, "e", 7 if kind != "double" else -0.5)] * 6 + [(4, "e", None)]
+    df = spark.createDataFrame(rows, f"p int, e string, v {kind}")
+    found = X.exact_median(df, ["p", "e"], "v", "m")
+    want = {k: statistics.median(v for p, _, v in rows if p == k and v is not None) for k in (1, 2, 3)}
+    assert {r.p: r.m for r in found.collect()} == pytest.approx(want, abs=1e-6)
+    assert "percentile" not in found._jdf.queryExecution().toString()
+
+
+def test_prompts_are_listed_in_order(spark):
+    """Active first, newest first, ties by id; unknown activity and time last."""
+    from types import SimpleNamespace
+
+    import sightline.operators.answers as A
+
+    rows = [(1, i, [True, False, None][i % 3], None if i % 7 == 0 else f"2026-0{1 + i % 4}-1{i % 5} 0{i % 3}:00:00") for i in range(60)]
+    df = spark.createDataFrame(rows, "project_id int, prompt_id int, active boolean, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    got = {r.prompt_id: r.position for r in A.prompt_positions(SimpleNamespace(prompts=df)).collect()}
+    newest = sorted(rows, key=lambda r: r[1])
+    newest.sort(key=lambda r: r[3] or "", reverse=True)
+    newest.sort(key=lambda r: {True: 0, False: 1, None: 2}[r[2]])
+    assert got == {r[1]: n for n, r in enumerate(newest, 1)}
+
+
 def test_binding_detections_equal_brute_force(spark, sf):
     """Plain Python over every answer of the smallest tables, with the list form of the detection."""
     log = AnswerLog(spark, sf)

@@ -255,6 +255,51 @@ def test_robots_groups_and_patterns(spark):
     assert all(got[(i, "GPTBot")] for i in range(1, 6))
 
 
+def test_robots_as_brute_force(spark):
+    """Random files and paths, one origin with most of them, against one rule after the other."""
+    import random
+    import re
+
+    rng = random.Random(11)
+    agents = ["GPTBot", "ClaudeBot", "PerplexityBot", "*", "OtherBot"]
+    piece = lambda: rng.choice(["/a", "/b", "/ab", "/a.b", "/?q=", "/c+"])
+    path = lambda: "".join(piece() for _ in range(rng.randint(1, 4)))
+    sites, lines = {}, {}
+    for o in ("hot", "o1", "o2", "o3"):
+        sites[o], lines[o] = {}, []
+        for agent in rng.sample(agents, 3):
+            rules = []
+            lines[o].append(f"User-agent: {agent}")
+            for _ in range(rng.randint(0, 40 if o == "hot" else 6)):
+                p = rng.choice(["", "", "*", "/*"]) + path() + rng.choice(["", "", "", "$", "*", "*b", "$x"])
+                allow = rng.random() < 0.4
+                rules.append((p, allow))
+                lines[o].append(f"{'Allow' if allow else 'Disallow'}: {p}")
+            sites[o][agent.lower()] = rules
+    files = spark.createDataFrame([(o, "\n".join(x)) for o, x in lines.items()] + [("none", None)], "origin string, body string")
+    rows = [(i, rng.choice(["hot"] * 5 + ["o1", "o2", "o3", "none", None]), rng.choice([path(), path(), path(), "", None])) for i in range(600)]
+
+    def allowed(origin, page, agent):
+        groups = sites.get(origin, {})
+        rules = groups.get(agent.lower(), groups.get("*", []))
+        hits = []
+        for p, allow in rules:
+            end = p.endswith("$")
+            pattern = ".*".join(re.escape(x) for x in (p[:-1] if end else p).split("*")) + ("$" if end else "")
+            if page is not None and re.match(pattern, page):
+                hits.append((len(p), allow))
+        return max(hits)[1] if hits else True
+
+    got = B.robots_access(spark.createDataFrame(rows, "page_id int, origin string, page_path string"), files).collect()
+    asked = {i: (o, p) for i, o, p in rows}
+    assert len(got) == 600 * 9
+    for r in got:
+        o, p = asked[r.page_id]
+        assert r.allowed == allowed(o, p, r.agent), (o, p, r.agent)
+        assert r.explicit == (r.agent.lower() in sites.get(o, {}))
+    assert any(not r.allowed for r in got)
+
+
 def test_figures_of_each_kind(spark):
     from sightline.functions.text import count_numbers
 
