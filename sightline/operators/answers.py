@@ -66,10 +66,15 @@ def overview(log, zone: str = K.DEFAULT_TIME_ZONE) -> DataFrame:
     sov = pairs.join(answers.select("result_id", "project_id"), "result_id").groupBy("project_id").agg(
         _n(F.col("entity_type") == "brand").alias("_brand"), F.count("*").alias("_all")
     )
+    return headline(log, b, sov, zone)
+
+
+def headline(log, counts: DataFrame, voice: DataFrame, zone: str) -> DataFrame:
+    """Rates and changes from a project's counts of both periods and its citations, with the month's costs."""
     month = month_start(log.now, zone)
     runs = log.runs.filter(F.col("started_at") >= month).groupBy("project_id").agg(exact_sum(F.col("cost_usd")).alias("_runs"))
     insp = log.inspections.filter(F.col("created_at") >= month).groupBy("project_id").agg(exact_sum(F.col("cost_usd")).alias("_insp"))
-    j = b.join(sov, "project_id", "left").join(runs, "project_id", "left").join(insp, "project_id", "left")
+    j = counts.join(voice, "project_id", "left").join(runs, "project_id", "left").join(insp, "project_id", "left")
     zero = F.lit(0.0)
     c, m = rate(F.col("_cc"), F.col("answers")), rate(F.col("_cm"), F.col("answers"))
     return j.select(
@@ -134,6 +139,11 @@ def share_of_voice(log) -> DataFrame:
         _n(~cur & F.col("cited")).alias("_pc"),
         F.count_distinct(F.when(cur, F.col("prompt_id"))).alias("prompt_count"),
     )
+    return voices(log, totals, counts)
+
+
+def voices(log, totals: DataFrame, counts: DataFrame) -> DataFrame:
+    """Every entity of each project with its rates, from the project's answers and the entity's counts."""
     j = (
         log.entities.select("project_id", "entity_id", "entity_type", "name")
         .join(totals, "project_id", "left")

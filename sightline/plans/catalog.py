@@ -14,6 +14,7 @@ from sightline.operators import details as X
 from sightline.operators import detect as D
 from sightline.operators import ranks as N
 from sightline.operators import source_metrics as S
+from sightline.operators.cube import DailyCube
 from sightline.sources import tables
 from sightline.sources.binding import ENGINE_MODELS, AnswerLog
 from sightline.sources.snapshots import Snapshots
@@ -409,6 +410,24 @@ def _on_domain(log):
     return rows.groupBy("project_id").agg(F.count("*").alias("sources"), F.count_if(urls.domain_matches(F.col("url"), F.col("domain"))).alias("own"))
 
 
+def daily_cube(log) -> DailyCube:
+    """The cube of all days, kept per application."""
+    cube = DailyCube(log.spark, kept_path(log.spark, "cube", log.root))
+    if cube.entities.version == 0:
+        cube.refresh(log)
+    return cube
+
+
+@query("overview_from_cube")
+def _overview_from_cube(log):
+    return daily_cube(log).overview(log, zone="UTC")
+
+
+@query("share_of_voice_from_cube")
+def _voice_from_cube(log):
+    return daily_cube(log).share_of_voice(log)
+
+
 # Names of the survey for queries registered under a shorter one.
 ALIASES = {
     "ingest_results_idempotent": "ingest_results",

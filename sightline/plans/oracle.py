@@ -357,6 +357,7 @@ def sources_sql() -> None:
     q["recompute_detections"] = (
         q["detections"].replace("FROM mention_pairs)", "FROM mention_pairs WHERE entity_id<>20)").replace("WHERE r.error IS NULL", "WHERE r.error IS NULL AND e.entity_id<>20")
     )
+    q["overview_from_cube"], q["share_of_voice_from_cube"] = q["overview"], q["share_of_voice"]
     q["snapshot_copy"] = with_ctes(
         """SELECT p.project_id AS id, e.name AS brand_name, p.p%2+1 AS repeats, count(*) AS prompts, count(*) FILTER (r.active) AS active,
         min(r.text) AS first_text, CAST(sum(len(r.tags)) AS BIGINT) AS tags
