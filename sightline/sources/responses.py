@@ -166,9 +166,12 @@ def resolve_source_redirects(sources: DataFrame, redirects: DataFrame) -> DataFr
     ``sources``: (result_id, pos, url, title, domain); ``redirects``: (url, location).
     An unresolved redirect takes its title as host when the title looks like one.
     """
-    known = redirects.select(F.col("url").alias("_from"), F.col("location").alias("_to")).filter(F.col("_to").isNotNull())
+    spread = F.lit(0).cast("long").alias("_spread")
+    known = redirects.select(F.col("url").alias("_from"), F.col("location").alias("_to"), spread).filter(F.col("_to").isNotNull())
     marked = sources.withColumn("_from", F.when(F.col("url").rlike(K.SEARCH_REDIRECT), F.col("url")))
-    j = marked.join(known, "_from", "left")
+    # Sources that are no redirect have no key; hashed by their answer and URL too, they do not meet in one task.
+    marked = marked.withColumn("_spread", F.when(F.col("_from").isNull(), F.xxhash64("result_id", "url")).otherwise(0))
+    j = marked.join(known, ["_from", "_spread"], "left")
     host_like = F.trim("title").rlike(r"^(?i:[a-z0-9.-]+\.[a-z]{2,})$")
     resolved = j.select(
         "result_id", "pos", "title",
