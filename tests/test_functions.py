@@ -89,3 +89,14 @@ def test_intent_patterns_agree_with_a_second_engine(spark, pattern):
     samples = words + [w[:-1] for w in words] + [f"x {w} y" for w in words]
     want = [re.search(getattr(K, pattern), s, re.A) is not None for s in samples]
     assert column(spark, samples, text.matches(V, getattr(K, pattern))) == want
+
+
+def test_host_suffixes_are_cut_without_rebuilding_labels(spark):
+    hosts = ["a.b.c", "host", "", "a..b", "end.", ".start", "é.example", None]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", urls.host_suffixes(F.col("h")).alias("s"))
+    found = {r.h: r.s for r in df.collect()}
+    for h in hosts[:-1]:
+        labels = h.split(".")
+        assert found[h] == [".".join(labels[i:]) for i in range(len(labels))]
+    assert df.select(F.explode("s").alias("x")).where("x is null").count() == 0
+    assert "slice" not in df._jdf.queryExecution().optimizedPlan().toString()

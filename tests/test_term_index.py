@@ -59,3 +59,15 @@ def test_many_terms_in_one_project(spark):
     assert met < 20 * len(texts)
     plan = T.holding(t, n, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Join Inner, \(project_id#\d+ = project_id#\d+\)", plan)
+
+
+def test_a_small_index_meets_the_texts_in_one_pass(spark):
+    t, n = frames(spark, TEXTS, NEEDLES)
+    at_once, by_keys = T.holding(t, n, "id", small=True), T.holding(t, n, "id")
+    assert T.few(n) and matches(at_once) == matches(by_keys)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(at_once) and plan(at_once).count("Join Inner") == plan(by_keys).count("Join Inner") - 1
+
+
+def test_many_needles_are_not_few(spark):
+    assert T.few(spark.range(T.SMALL)) and not T.few(spark.range(T.SMALL + 1))
