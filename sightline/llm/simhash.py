@@ -220,6 +220,18 @@ def _stars(prints: DataFrame, parts: list[Part], distance: int, rounds: int) ->
     return found
 
 
+def _meetings(members: DataFrame, parts: list[Part], distance: int) -> DataFrame:
+    """Stars whose members ``print, star, radius`` might link, each pair once per value of a part in which they meet.
+
+    Each star asks for a value once and holds it once, however many of its members do.
+    """
+    by_star = ["part", "value", "star", "radius"]
+    asks = _indexed(members, parts, probed=True).select(*by_star).distinct().withColumnsRenamed({"star": "a", "radius": "r1"})
+    holds = _indexed(members, parts).select(*by_star).distinct().withColumnsRenamed({"star": "b", "radius": "r2"})
+    near = _apart("a", "b") <= distance + F.col("r1") + F.col("r2")
+    return asks.join(holds, ["part", "value"]).where((F.col("a") < F.col("b")) & near)
+
+
 def linked(prints: DataFrame, parts: list[Part], distance: int, rounds: int = 3) -> DataFrame:
     """``a, b`` links whose components are those of all links between the rows of ``print, n``."""
     led = checkpointed(_stars(prints, parts, distance, rounds))
@@ -228,11 +240,7 @@ def linked(prints: DataFrame, parts: list[Part], distance: int, rounds: int = 3)
     members = members.select("print", F.coalesce("star", "print").alias("star"))
     members = checkpointed(members.join(radii, "star", "left").withColumn("radius", F.coalesce("radius", F.lit(0))))
 
-    # Stars that meet in a part's value, each star once per value.
-    by_star = ["part", "value", "star", "radius"]
-    asks = _indexed(members, parts, probed=True).select("part", "value", F.col("star").alias("a"), F.col("radius").alias("r1"))
-    holds = _indexed(members, parts).select(*by_star).distinct().withColumnsRenamed({"star": "b", "radius": "r2"})
-    meet = asks.join(holds, ["part", "value"]).where((F.col("a") < F.col("b")) & (_apart("a", "b") <= distance + F.col("r1") + F.col("r2")))
+    meet = _meetings(members, parts, distance)
     meet = checkpointed(meet.select("a", "b", "r2", _apart("a", "b").alias("far")).distinct())
     sure = led.select(F.col("print").alias("a"), F.col("star").alias("b")).union(meet.where(F.col("far") <= distance).select("a", "b"))
     sure = checkpointed(sure)

@@ -115,3 +115,13 @@ def test_correlated_bits_share_a_part():
     parts = simhash.correlated_parts(4000, (set_.T @ set_).astype(float), 4)
     home = {b: k for k, part in enumerate(parts) for b in part}
     assert home[0] == home[40] == home[63] and home[17] == home[50]
+
+
+def test_stars_meet_once_per_value(spark):
+    """Two near stars of 50 members with the same low bits: the members' probes are not multiplied."""
+    rows = [(simhash._signed(star ^ (k << 40)), simhash._signed(star), 4) for star in (0b1, 0b11) for k in range(50)]
+    members = spark.createDataFrame(rows, "print long, star long, radius int")
+    parts = [simhash.Part(list(range(32)), 1), simhash.Part(list(range(32, 64)), 1)]
+    met = simhash._meetings(members, parts, 4).select("part", "value", "a", "b")
+    assert {(r.a, r.b) for r in met.collect()} == {(1, 3)}
+    assert met.count() == met.distinct().count() and met.where("part = 0").count() == 1
