@@ -69,5 +69,15 @@ def test_a_small_index_meets_the_texts_in_one_pass(spark):
     assert "strategy=broadcast" in plan(at_once) and plan(at_once).count("Join Inner") == plan(by_keys).count("Join Inner") - 1
 
 
+def test_repeated_ids_in_one_pass(spark):
+    """Every text of an id with the needles that any text of the id asks for, row by row; a null id has none."""
+    again = [(1, "P", "nimbo at a.b"), (1, "Q", "nimbo shop.com"), (2, "P", "at ax.ios and L'Ete!!!"), (2, "P", None), (None, "P", "nimbo"), (None, "P", "nimbo")]
+    t, n = frames(spark, TEXTS + again, NEEDLES)
+    rows = lambda df: sorted((r.id, r.body, r.project, r.needle) for r in df.collect())
+    n = n.withColumn("project", F.col("project_id"))
+    want = rows(T.holding(t, n, "id"))
+    assert rows(T.holding(t, n, "id", small=True)) == want and len(want) > len(set(want))
+
+
 def test_many_needles_are_not_few(spark):
     assert T.few(spark.range(T.SMALL)) and not T.few(spark.range(T.SMALL + 1))
